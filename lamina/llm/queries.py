@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.spelling import BLANKS, plain_id, plain_word
-from lamina.llm import components, fusion, linkage, people
-from lamina.session import pin, table
+from lamina.llm import components, content, fusion, leakage, linkage, people
+from lamina.session import table
 
 # --- problem 3 -------------------------------------------------------------------------------
 
@@ -18,7 +18,7 @@ def _mastered(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_linked(spark: SparkSession, d: str) -> DataFrame:
     """All linked pairs of an EHR and a SCHED record that no golden patient holds yet, with confidence."""
-    rec = pin(people.records(spark, d).join(_mastered(spark, d), "uid", "left_anti"))
+    rec = people.records(spark, d).join(_mastered(spark, d), "uid", "left_anti")
     return linkage.link(rec.filter("system = 'EHR'"), rec.filter("system = 'SCHED'"))
 
 
@@ -65,7 +65,42 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("records")).groupBy("records").agg(F.count("*").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes)}
+# --- problem 9 -------------------------------------------------------------------------------
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaking document and item with the length of the passage and its errors."""
+    return leakage.find_passages(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_passages(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked test items: in how many documents, longest passage."""
+    return p9_passages(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.max("words").alias("longest"))
+
+
+# --- problem 10 ------------------------------------------------------------------------------
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score."""
+    return content.score_documents(table(spark, d, "documents"), table(spark, d, "content_label"), keep=["source"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter(F.col("score") >= content.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their rate per source."""
+    hit = F.count_if(F.col("score") >= content.THRESHOLD)
+    return p10_scores(spark, d).groupBy("source").agg(F.count("*").alias("docs"), hit.alias("flagged"), F.round(hit / F.count("*"), 6).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes, p9_found, p9_passages, p9_items, p10_found, p10_scores, p10_source_rates)}
 
 # --- SQL -------------------------------------------------------------------------------------
 
