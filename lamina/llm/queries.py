@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.spelling import BLANKS, plain_id, plain_word
-from lamina.llm import components, content, fusion, leakage, linkage, people
+from lamina.llm import components, content, fusion, leakage, linkage, packing, people
 from lamina.session import table
 
 # --- problem 3 -------------------------------------------------------------------------------
@@ -65,6 +65,19 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("group_id").agg(F.count("*").alias("records")).groupBy("records").agg(F.count("*").alias("groups"))
 
 
+# --- problem 8 -------------------------------------------------------------------------------
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens: which piece of which document lies where."""
+    return packing.pack(packing.measure(table(spark, d, "documents")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p8_packed(spark, d))
+
+
 # --- problem 9 -------------------------------------------------------------------------------
 
 
@@ -100,7 +113,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).groupBy("source").agg(F.count("*").alias("docs"), hit.alias("flagged"), F.round(hit / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes, p9_found, p9_passages, p9_items, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes, p8_packed, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_scores, p10_source_rates)}
 
 # --- SQL -------------------------------------------------------------------------------------
 
