@@ -37,7 +37,7 @@ def mask(df: DataFrame, masks: Mapping[str, Column | str], *, roles: Iterable[st
     """Masked columns unless one of the roles may see them; 'default' asks for the type's default mask."""
     if set(roles) & set(unmask):
         return df
-    return df.withColumns({c: default_mask(df, c) if m == "default" else m for c, m in masks.items()})
+    return df.withColumns({c: default_mask(df, c) if isinstance(m, str) else m for c, m in masks.items()})
 
 
 def allowed_tables(grants: DataFrame, roles: Iterable[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def survive(df: DataFrame, keys: list[str], attributes: list[str], updated: str, rank: str) -> DataFrame:
     """Field by field the newest non-null value, then the best-ranked source, in one aggregate."""
-    order = F.struct(F.coalesce(F.unix_micros(updated), F.lit(-(2**62))).alias("u"), (-F.col(rank)).alias("r"))
+    order = F.struct(F.coalesce(F.unix_micros(F.col(updated).cast("timestamp")), F.lit(-(2**62))).alias("u"), (-F.col(rank)).alias("r"))
     pick = [F.max(F.when(F.col(a).isNotNull(), F.struct(order.alias("o"), F.col(a).alias("v"))))["v"].alias(a) for a in attributes]
     return df.groupBy(*keys).agg(*pick)
 

@@ -130,7 +130,7 @@ def response_rate(responses: DataFrame, discharges: DataFrame, appointments: Dat
 
 
 def freshness_hours(runs: DataFrame, now: str) -> DataFrame:
-    return runs.agg(((F.lit(now).cast("timestamp").cast("long") - F.max("end_ts").cast("long")) / 3600.0).alias("freshness_hours"))
+    return runs.agg(((F.lit(now).cast("timestamp").cast("long") - F.max("end_ts").cast("timestamp").cast("long")) / 3600.0).alias("freshness_hours"))
 
 
 def scorecard(fact: DataFrame, names: list[str], levels: list[str], registry: dict[str, Measure] = MEASURES) -> DataFrame:

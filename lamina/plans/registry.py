@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lamina.plans import problems
+from lamina.plans import catalog, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, catalog)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -66,7 +66,8 @@ def latest_watermark(watermarks: DataFrame, entity: str, default: str = DEFAULT_
 
 def freshness_status(status: Column, end_ts: Column, sla_minutes: Column, now: Column) -> Column:
     """NEVER_RUN without an end, FAILED unless the last batch went well, STALE beyond the SLA, else OK."""
-    late = (now.cast("long") - end_ts.cast("long")) / 60 > sla_minutes
+    end = end_ts.cast("timestamp")
+    late = (now.cast("long") - end.cast("long")) / 60 > sla_minutes
     return F.when(end_ts.isNull(), "NEVER_RUN").when(~status.isin("SUCCESS", "NO_DATA"), "FAILED").when(late, "STALE").otherwise("OK")
 
 
