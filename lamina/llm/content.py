@@ -27,8 +27,11 @@ BUCKETS = 1 << 17
 DIM = 12
 #: Labelled documents used for training at most; the choice is by a hash of doc_id, so it is the same on every run.
 TRAIN_DOCS = 8_000
+#: Documents without judgement that serve as background in training at most, chosen likewise. Nearly all are clean,
+#: and they show which phrases are common; they count less than judged ones, and not where the model is sure of abuse.
+BACKGROUND_DOCS = 4_000
 #: Score from which a document counts as abusive.
-THRESHOLD = 0.25
+THRESHOLD = 0.5
 #: Words of a segment; longer ones are cut into overlapping windows.
 WINDOW, STRIDE = 14, 7
 
@@ -161,43 +164,68 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 NOISE = 0.1
 
 
-def train(docs: list[tuple[str, float]], rounds: int = 4, epochs: int = 6) -> tuple[np.ndarray, float]:
-    """Bucket weights and bias from (text, share of 'review' judgements)."""
+def train(docs: list[tuple[str, float]], background: list[str] = (), rounds: int = 3, epochs: int = 6) -> tuple[np.ndarray, float]:
+    """Bucket weights and bias from (text, share of 'review' judgements).
+
+    In every round each half of the documents is judged by a model of the other half, so that a
+    misjudged document cannot confirm itself. The last model sees all documents; its bias is set
+    so that 0.5 is the score that best tells the documents of the other half apart.
+    """
     bags = [(sorted(set(segments(t))), y) for t, y in docs]
     bags = [(b, y) for b, y in bags if b]
+    judged = len(bags)
+    bags += [(b, 0.0) for t in background if (b := sorted(set(segments(t))))]
     index = {s: i for i, s in enumerate(sorted({s for b, _ in bags for s in b}))}
     if not index:
         return np.zeros(BUCKETS, np.float32), -5.0
     feats = [features(s) for s in index]
-    pos = [np.array([index[s] for s in b]) for b, y in bags if y > 0.5]
-    neg = [np.array([index[s] for s in b]) for b, y in bags if y <= 0.5]
-    n = len(index)
-    seen_neg = np.zeros(n)
-    for b in neg:
-        seen_neg[b] += 1
-    resp = [np.full(len(b), 1 / len(b)) for b in pos]
-    model = SubwordBag()
+    ids = [np.array([index[s] for s in b]) for b, _ in bags]
+    flagged = np.array([y > 0.5 for _, y in bags])
+    # responsibilities: how far each segment is the reason for the flag; weight of each document's segments
+    resp = [np.full(len(b), 1 / len(b) if y else 0.0) for b, y in zip(ids, flagged, strict=True)]
+    trust = [np.ones(len(b)) for b in ids]
+
+    def fit(pick: np.ndarray, epochs: int) -> SubwordBag:
+        mass, seen = np.zeros(len(feats)), np.zeros(len(feats))
+        for k in pick:
+            mass[ids[k]] += resp[k] * trust[k]
+            seen[ids[k]] += trust[k]
+        use = np.flatnonzero(seen > 0)
+        model = SubwordBag()
+        model.fit([feats[i] for i in use], mass[use] / seen[use], np.sqrt(seen[use]), epochs)
+        return model
+
+    fold = np.arange(len(bags)) % 2
+    top = np.zeros(len(bags))
     for _ in range(rounds):
-        mass, seen = np.zeros(n), seen_neg.copy()
-        for b, q in zip(pos, resp, strict=True):
-            mass[b] += q
-            seen[b] += 1
-        model.fit(feats, mass / np.maximum(seen, 1), np.sqrt(np.maximum(seen, 1)), epochs)
-        w, b0 = model.weights()
-        p = np.array([_sigmoid(w[f].mean() + b0) for f in feats])
-        # responsibilities: which segment made the document be flagged, if any did
-        for k, b in enumerate(pos):
-            q = p[b]
-            none = np.prod(1 - q)
-            flagged = (1 - none) * (1 - NOISE)
-            resp[k] = q / max(1e-9, 1 - none) * flagged / (flagged + none * NOISE)
-        resp = [np.minimum(q, 1.0) for q in resp]
-        # a segment the model is sure of in a document judged clean is rather a misjudgement
-        seen_neg = np.zeros(n)
-        for b in neg:
-            q = p[b]
-            seen_neg[b] += np.where(q > 0.9, NOISE, 1.0)
-    return model.weights()
+        new = list(resp)
+        for f in (0, 1):
+            w, bias = fit(np.flatnonzero(fold != f), epochs).weights()
+            p = {}
+            for k in np.flatnonzero(fold == f):
+                q = np.array([p[i] if i in p else p.setdefault(i, float(_sigmoid(w[feats[i]].mean() + bias))) for i in ids[k]])
+                top[k] = q.max()
+                if flagged[k]:
+                    none = np.prod(1 - q)
+                    real = (1 - none) * (1 - NOISE) / ((1 - none) * (1 - NOISE) + none * NOISE)
+                    new[k] = np.minimum(q / max(1e-9, 1 - none), 1.0) * real
+                else:
+                    trust[k] = np.where(q > 0.8, NOISE, 1.0)
+        resp = new
+    w, bias = fit(np.arange(len(bags)), 2 * epochs).weights()
+    top = np.clip(top[:judged], 1e-6, 1 - 1e-6)
+    return w, bias - _cut(np.log(top / (1 - top)), flagged[:judged])
+
+
+def _cut(score: np.ndarray, flagged: np.ndarray) -> float:
+    """Log-odds that separate best by F1; the middle of all cuts that are nearly as good."""
+    if not flagged.any():
+        return 0.0
+    order = np.argsort(-score)
+    hit = np.cumsum(flagged[order])
+    f1 = 2 * hit / (np.arange(1, len(score) + 1) + flagged.sum())
+    good = score[order][f1 >= f1.max() - 0.01]
+    return float((good.max() + good.min()) / 2)
 
 
 class Scorer:
@@ -238,14 +266,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS
     return [(r["text"], r["share"]) for r in rows]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def background_rows(docs: DataFrame, labels: DataFrame, *, limit: int = BACKGROUND_DOCS) -> list[str]:
+    """At most ``limit`` texts of documents nobody judged."""
+    ids = docs.filter("text is not null").select("doc_id").join(labels.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti")
+    pick = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return [r["text"] for r in rows]
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, train_docs: int = TRAIN_DOCS, background_docs: int = BACKGROUND_DOCS) -> DataFrame:
     """``doc_id``, ``keep`` columns and ``score`` in [0, 1] of every row of ``docs``.
 
     Null and empty texts score 0; without any judgement every text scores near 0. Texts are read
     whole; repeated rows each get their score.
     """
     ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, limit=train_docs)))
+    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, limit=train_docs), background_rows(docs, labels, limit=background_docs)))
     keep = keep or []
     src = docs.select(F.struct("doc_id", *keep).alias("row"), "text")
     schema = f"row {src.schema['row'].dataType.simpleString()}, score double"

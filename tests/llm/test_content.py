@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from lamina.llm.content import Scorer, score_documents, segments, train
+from lamina.llm.content import THRESHOLD, Scorer, score_documents, segments, train
 
 CLEAN = ["The visit went well and the staff were kind.", "I felt so stupid after missing the visit, sorry.", "We waited 4 hours and the chairs are awful.", "Can I take this together with that?", "Pain 3/10, equal and reactive pupils.", "The shower was filthy and the bin was full.", "Thanks for your help."]
 NOUNS = ["glorpface", "snarkwit", "mudbrain", "zonkhead"]
@@ -30,10 +30,10 @@ def test_held_out_accuracy_and_unseen_spellings():
     tr = [(t, float(bad if rng.random() > 0.05 else not bad)) for _, t, bad in corpus(600, 1)]
     s = Scorer(*train(tr))
     test = corpus(300, 2)
-    right = sum((s.score(t) >= 0.25) == bad for _, t, bad in test)
+    right = sum((s.score(t) >= THRESHOLD) == bad for _, t, bad in test)
     assert right >= 0.97 * len(test)
     for odd in ("you are a w0r7hl3$$ gl0rpf4c3", "you are a p.a.t.h.e.t.i.c snaaarkwit", "YOU ARE A ROTTEN m u d b r a i n", "you are a usless zonkhaed, rottn glrpface"):
-        assert s.score("Thanks for your help. " + odd) > 0.25, odd
+        assert s.score("Thanks for your help. " + odd) > THRESHOLD, odd
     assert s.score(None) == 0.0 and s.score("") == 0.0 and s.score("!!! ...") == 0.0
 
 
@@ -43,7 +43,7 @@ def test_score_documents(spark):
     lab = spark.createDataFrame([(i, f"r{k}", "review" if bad else "clean") for i, _, bad in data for k in range(2)] + [(900, "r", "review"), (1, "r", None), (None, "r", "review")], "doc_id long, rater_id string, verdict string")
     got = score_documents(d, lab, keep=["source"])
     assert got.columns == ["doc_id", "source", "score"] and got.count() == 204
-    flag = {r.doc_id for r in got.filter("score >= 0.25").collect()}
+    flag = {r.doc_id for r in got.filter(f"score >= {THRESHOLD}").collect()}
     bad = {i for i, _, b in data if b}
     assert len(flag & bad) >= 0.95 * len(bad) and len(flag - bad) <= 5
     assert max(r.score for r in score_documents(d, lab.limit(0)).collect()) < 0.1
