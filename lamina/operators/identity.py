@@ -142,10 +142,13 @@ def golden_ids(clusters: DataFrame, previous: DataFrame | None = None, prefix: s
     fresh = F.substring(F.sha2(F.concat(F.lit(prefix), F.col("component")), 256), 1, 36)
     if previous is None:
         return clusters.withColumn("patient_golden_id", fresh), None
+    # a part that lost its identifier must not fall back on it, so its former one enters the new one
+    former = previous.groupBy(F.col("record_uid").alias("component")).agg(F.min("patient_golden_id").alias("f"))
+    fresh = F.substring(F.sha2(F.concat(F.lit(prefix), F.col("component"), F.coalesce("f", F.lit(""))), 256), 1, 36)
     votes = clusters.join(previous.select("record_uid", F.col("patient_golden_id").alias("g")), "record_uid").groupBy("component", "g").agg(F.count("*").alias("n"))
     owner = votes.groupBy("g").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("component").alias("c"))).alias("o")).select("g", F.col("o.c").alias("component"))
     kept = owner.groupBy("component").agg(F.min("g").alias("g"))
-    xref = clusters.join(kept, "component", "left").withColumn("patient_golden_id", F.coalesce("g", fresh)).drop("g")
+    xref = clusters.join(kept, "component", "left").join(former, "component", "left").withColumn("patient_golden_id", F.coalesce("g", fresh)).drop("g", "f")
     retired = previous.select("patient_golden_id").distinct().join(xref.select("patient_golden_id").distinct(), "patient_golden_id", "left_anti")
     return xref, retired
 
