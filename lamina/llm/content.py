@@ -29,7 +29,7 @@ DIM = 12
 TRAIN_DOCS = 8_000
 #: Documents without judgement that serve as background in training at most, chosen likewise. Nearly all are clean,
 #: and they show which phrases are common; they count less than judged ones, and not where the model is sure of abuse.
-BACKGROUND_DOCS = 4_000
+BACKGROUND_DOCS = 8_000
 #: Score from which a document counts as abusive.
 THRESHOLD = 0.5
 #: Words of a segment; longer ones are cut into overlapping windows.
@@ -120,7 +120,7 @@ class SubwordBag:
         """Softmax regression on soft targets, Adagrad on embeddings and output together."""
         lens = np.array([len(s) for s in segs])
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        flat = np.concatenate([np.array(s, dtype=np.int64) for s in segs])
+        flat = np.concatenate([np.array(s, dtype=np.int32) for s in segs])
         g_emb, g_out, g_bias = self.seen
         for _ in range(epochs):
             order = self.rng.permutation(len(segs))
@@ -135,7 +135,7 @@ class SubwordBag:
                 d = (p - y) * weight[pick, None]
                 go, gb = h.T @ d / len(pick), d.mean(0)
                 ge = np.repeat(d @ self.out.T / n[:, None], n, axis=0)
-                order_f = np.argsort(idx, kind="stable")
+                order_f = np.argsort(idx)
                 sorted_f = idx[order_f]
                 first = np.flatnonzero(np.concatenate([[True], sorted_f[1:] != sorted_f[:-1]]))
                 uniq, grad = sorted_f[first], np.add.reduceat(ge[order_f], first, axis=0).astype(np.float32)
