@@ -71,7 +71,7 @@ def as_of(
     Events without a version, and events or versions without entity or time, give no row. Where several versions
     hold, the one with the latest ``valid_from`` wins, then the smallest ``take`` values in
     column order; repeated versions are one. Clashing column names do not matter: both
-    sides are renamed on entry. ``event_id`` must identify an event.
+    sides are renamed on entry, and a taken column named like an event key comes as ``<name>_version``. ``event_id`` must identify an event.
     """
     ship(events.sparkSession)
     v = (
@@ -90,7 +90,8 @@ def as_of(
     keyed = e.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_node", F.expr("shiftright(_s, _level)"))
     hit = keyed.join(nodes, ["_e", "_level", "_node"]).filter((F.col("_f") <= F.col("_at")) & (F.col("_at") < F.col("_t")))
     best = hit.groupBy("_id").agg(F.min(F.struct((-F.unix_micros("_f")).alias("k"), F.col("_v"))).alias("b"))
-    return best.select("_id.*", "b._v.*")
+    names = {c: f"{c}_version" if c in event_id else c for c in take}
+    return best.select("_id.*", *[F.col(f"b._v.{c}").alias(n) for c, n in names.items()])
 
 
 def latest_rows(df: DataFrame, key: Column, order: str, keep: list[str], key_name: str) -> DataFrame:

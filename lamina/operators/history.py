@@ -37,10 +37,10 @@ def snapshot(
     return (
         df.select(
             F.lit(name).alias("entity_name"),
-            entity.alias("entity_id"),
+            entity.cast("string").alias("entity_id"),
             F.unix_micros(at.cast("timestamp")).alias("at_us"),
             F.lit(rank).alias("rank"),
-            F.coalesce(payload, F.lit("")).alias("payload"),
+            F.coalesce(payload.cast("string"), F.lit("")).alias("payload"),
             (F.unix_micros(ends.cast("timestamp")) if ends is not None else F.lit(None).cast("long")).alias("ends_us"),
         )
         .filter(F.col("entity_id").isNotNull() & F.col("at_us").isNotNull())

@@ -96,7 +96,7 @@ def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: st
     count for nothing; repeated rows change nothing; an empty input gives no spans.
     """
     high_ts = F.lit(high).cast("timestamp")
-    rows = df.select(entity.alias("entity"), F.unix_micros(start.cast("timestamp")).alias("start_us"), F.unix_micros(F.coalesce(end.cast("timestamp"), high_ts)).alias("end_us")).filter(
+    rows = df.select(entity.cast("string").alias("entity"), F.unix_micros(start.cast("timestamp")).alias("start_us"), F.unix_micros(F.coalesce(end.cast("timestamp"), high_ts)).alias("end_us")).filter(
         F.col("entity").isNotNull() & F.col("start_us").isNotNull() & (F.col("end_us") > F.col("start_us"))
     )
     spark = df.sparkSession

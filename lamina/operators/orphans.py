@@ -37,14 +37,14 @@ def _keys(b: pa.RecordBatch, name: str = "ref_key") -> np.ndarray:
 def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column, parent_key: Column, keep: list[str], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``keep`` columns and ``ref_key`` of every reference whose key no parent has.
 
-    Null keys are no references and no parents (turn blanks into null before). Repeated
+    Keys are compared as texts. Null keys are no references and no parents (turn blanks into null before). Repeated
     parents are one; repeated references each come out. An empty parent table makes every
     reference an orphan.
     """
     ship(refs.sparkSession)
     spark = refs.sparkSession
-    r = refs.select(ref_key.alias("ref_key"), *[F.col(c).alias(c) for c in keep]).filter("ref_key is not null")
-    p = parents.select(parent_key.alias("ref_key")).filter("ref_key is not null")
+    r = refs.select(ref_key.cast("string").alias("ref_key"), *[F.col(c).alias(c) for c in keep]).filter("ref_key is not null")
+    p = parents.select(parent_key.cast("string").alias("ref_key")).filter("ref_key is not null")
     schema = r.schema
     if broadcast_keys and p.limit(broadcast_keys + 1).count() <= broadcast_keys:
         arr = spark.sparkContext.broadcast(np.array(sorted({x[0] for x in p.collect()}), dtype=object))

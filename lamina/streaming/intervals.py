@@ -32,7 +32,7 @@ def spans_stream(stream: DataFrame, *, entity: Column, start: Column, end: Colum
     intervals merge like any other.
     """
     ship(stream.sparkSession)
-    rows = stream.select(entity.alias("entity"), F.unix_micros(start.cast("timestamp")).alias("start_us"), F.unix_micros(F.coalesce(end.cast("timestamp"), F.lit(high).cast("timestamp"))).alias("end_us")).filter(
+    rows = stream.select(entity.cast("string").alias("entity"), F.unix_micros(start.cast("timestamp")).alias("start_us"), F.unix_micros(F.coalesce(end.cast("timestamp"), F.lit(high).cast("timestamp"))).alias("end_us")).filter(
         F.col("entity").isNotNull() & F.col("start_us").isNotNull() & (F.col("end_us") > F.col("start_us"))
     )
     return rows.groupBy("entity").applyInPandasWithState(_update, _OUT, _STATE, "update", "NoTimeout")

@@ -51,6 +51,8 @@ def test_edges_nulls_repeats_and_clashing_names(spark):
     ver = spark.createDataFrame([("a", T0, T0 + timedelta(days=1), 1, "x"), ("a", T0, T0 + timedelta(days=1), 1, "y"), (None, T0, T0, 2, "z"), ("a", None, T0, 3, "z")], "who string, f timestamp, t timestamp, k int, at string")
     ev = spark.createDataFrame([(1, "a", T0, 7), (2, "a", T0 + timedelta(days=1), 7), (3, None, T0, 7), (4, "a", None, 7)], "id int, who string, at timestamp, k int")
     assert rows(call(ev, ver)) == [(1, 1)]
+    both = as_of(ev, ver.withColumnRenamed("k", "id"), event_id=["id"], event_entity=F.col("who"), event_at="at", version_entity=F.col("who"), valid_from="f", valid_to="t", take=["id"])
+    assert both.columns == ["id", "id_version"] and rows(both) == [(1, 1)]
     assert rows(call(ev.limit(0), ver)) == [] and rows(call(ev, ver.limit(0))) == []
 
 

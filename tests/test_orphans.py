@@ -35,3 +35,9 @@ def test_empty_sides(spark, broadcast):
 def test_report(spark):
     df = spark.createDataFrame([("a", "2024-01-05"), ("a", "2024-01-09"), ("b", "2024-02-01")], "ref_key string, d string").withColumn("d", F.to_date("d"))
     assert rows(orphan_report(df, ref_field="t.c", period=F.col("d"))) == [("t.c", "2024-01", 2, 1), ("t.c", "2024-02", 1, 1)]
+
+
+def test_number_keys(spark):
+    r, p = spark.createDataFrame([(1, 5), (2, 6)], "id int, key long"), spark.createDataFrame([(5,)], "key int")
+    for n in (0, 10):
+        assert rows(missing_references(r, p, ref_key=F.col("key"), parent_key=F.col("key"), keep=["id"], broadcast_keys=n), "id") == [(2,)]
