@@ -26,6 +26,8 @@ from lamina.session import pin, ship
 
 CAPACITY = 2_048
 SHARD_TOKENS = 4_000_000
+#: More shards where items are so short that a shard would hold more than so many.
+SHARD_ITEMS = 250_000
 MAX_SOURCES = 6
 #: Ranks file of a public byte-level BPE; a parameter, the file stays where it is.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -151,8 +153,8 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_S
     """
     ship(items.sparkSession)
     it = pin(items.filter("tokens > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "cluster", "tokens"))
-    total = it.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(1, round(total / shard_tokens))
+    total, n = it.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(1, round(total / shard_tokens), n // SHARD_ITEMS)
     last = F.col("tokens") % capacity
     pieces = it.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / capacity).cast("int"))))
     pieces = pieces.withColumn("first_token", F.col("piece") * capacity).withColumn("size", F.when((F.col("first_token") + capacity > F.col("tokens")) & (last > 0), last).otherwise(capacity))
