@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -47,16 +47,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per Spark application."""
+    """Send this package to the executors once per Spark application, through the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_lamina_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
-    out = os.path.join(tempfile.mkdtemp(prefix="lamina-ship-"), "lamina_pkg.zip")
-    with zipfile.ZipFile(out, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("lamina") / p.relative_to(root))
-    sc.addPyFile(out)
+    uri = scratch_path(spark, "package") + "/lamina_pkg.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(uri)
     sc._lamina_shipped = True
     return spark
 
