@@ -148,33 +148,60 @@ def candidate_pairs(left: DataFrame, right: DataFrame, *, pairs_per_key: int = P
 
     Only variant ids and 64-bit key hashes move; keys of equal hash merely add a candidate. A key
     that asks for more than ``pairs_per_key`` pairs goes on only in combination with a further
-    attribute, and again with another one if that is still too common.
+    attribute, and again with another one if that is still too common. A row that has no further
+    attribute meets all others of the key.
     """
     one = lambda df: df.dropDuplicates(["vid"])
     sides = [one(df).select("vid", F.explode(_first_keys()).alias("f")).select("vid", F.col("f.h").alias("k")) for df in (left, right)]
     hot = _common(*sides, pairs_per_key)
-    if not hot.isEmpty():
-        levels = [one(df).select("vid", _further().alias("more"), F.explode(_first_keys()).alias("f")).select("vid", "more", F.col("f.h").alias("k"), F.col("f.used").alias("used"), F.col("f.last").alias("last")) for df in (left, right)]
-        done: list[list[DataFrame]] = [[], []]
-        for _ in range(_NAMES + 1):
-            for i in (0, 1):
-                done[i].append(levels[i].join(hot, "k", "left_anti").select("vid", "k"))
-                # combinations in ascending order of the attribute, so that each set comes once
-                x = levels[i].join(hot, "k", "left_semi").select("vid", "more", F.explode("more").alias("m"), "k", "used", "last").filter(((F.col("used").bitwiseAND(F.expr("shiftleft(1, m.n)"))) == 0) & (F.col("m.n") > F.col("last")))
-                levels[i] = pin(x.select("vid", "more", F.xxhash64("k", "m.n", "m.k").alias("k"), F.col("used").bitwiseOR(F.expr("shiftleft(1, m.n)")).alias("used"), F.col("m.n").alias("last")))
-            hot = _common(levels[0], levels[1], pairs_per_key)
-            if hot.isEmpty():
-                break
-        # what is left agrees on every attribute it has
-        sides = [reduce(DataFrame.unionByName, [*done[i], levels[i].select("vid", "k")]) for i in (0, 1)]
-    la, rb = sides
-    return la.withColumnRenamed("vid", "va").join(rb.withColumnRenamed("vid", "vb"), "k").select("va", "vb").distinct()
+    if hot.isEmpty():
+        return _meet(*sides).distinct()
+    levels = [one(df).select("vid", _further().alias("more"), F.explode(_first_keys()).alias("f")).select("vid", "more", F.col("f.h").alias("k"), F.col("f.used").alias("used"), F.col("f.last").alias("last")) for df in (left, right)]
+    met: list[DataFrame] = []
+    # each round adds an attribute of a higher number, so that there are at most as many rounds as attributes
+    while not hot.isEmpty():
+        met.append(_meet(*[lv.join(hot, "k", "left_anti").select("vid", "k") for lv in levels]))
+        stay = [pin(lv.join(hot, "k", "left_semi").withColumn("open", F.expr(_OPEN))) for lv in levels]
+        # a row without a further attribute meets all others of its key here; no later round has it
+        full, shut, still = ([df.filter(c).select("vid", "k") for df in stay] for c in ("true", "not open", "open"))
+        met += [_meet(shut[0], full[1]), _meet(still[0], shut[1])]
+        # combinations in ascending order of the attribute, so that each set comes once
+        x = [df.filter("open").select("vid", "more", F.explode("more").alias("m"), "k", "used", "last").filter(((F.col("used").bitwiseAND(F.expr("shiftleft(1, m.n)"))) == 0) & (F.col("m.n") > F.col("last"))) for df in stay]
+        levels = [pin(df.select("vid", "more", F.xxhash64("k", "m.n", "m.k").alias("k"), F.col("used").bitwiseOR(F.expr("shiftleft(1, m.n)")).alias("used"), F.col("m.n").alias("last"))) for df in x]
+        hot = _common(*levels, pairs_per_key)
+    met.append(_meet(*[lv.select("vid", "k") for lv in levels]))
+    return reduce(DataFrame.unionByName, met).distinct()
+
+
+#: Has a row an attribute that its key can still be combined with?
+_OPEN = "exists(more, m -> m.n > last and (used & shiftleft(1, m.n)) = 0)"
+#: Rows of either side that a sub-block of a large block holds on average.
+BLOCK_ROWS = 2_000
+
+
+def _meet(a: DataFrame, b: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``va, vb`` of all rows of equal ``k``; a large block is cut into sub-blocks, each part of ``a`` with each of ``b``."""
+    parts = lambda c: F.ceil(F.col(c) / block_rows)
+    big = pin(_asked(a, b).filter(F.col("na") * F.col("nb") > block_rows**2).select("k", parts("na").alias("pa"), parts("nb").alias("pb")))
+    a, b = a.withColumnRenamed("vid", "va"), b.withColumnRenamed("vid", "vb")
+    if big.isEmpty():
+        return a.join(b, "k").select("va", "vb")
+    rest = [df.join(F.broadcast(big.select("k")), "k", "left_anti") for df in (a, b)]
+    part = lambda v, n, i: F.pmod(F.xxhash64(v), F.col(n)).alias(i)
+    each = lambda n, i: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(i)
+    ab = a.join(F.broadcast(big), "k").select("k", "va", part("va", "pa", "i"), each("pb", "j"))
+    ba = b.join(F.broadcast(big), "k").select("k", "vb", each("pa", "i"), part("vb", "pb", "j"))
+    return rest[0].join(rest[1], "k").select("va", "vb").unionByName(ab.join(ba, ["k", "i", "j"]).select("va", "vb"))
+
+
+def _asked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either side per key."""
+    return a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k")
 
 
 def _common(a: DataFrame, b: DataFrame, pairs_per_key: int) -> DataFrame:
     """Keys that ask for too many pairs."""
-    n = a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k")
-    return pin(n.filter(F.col("na") * F.col("nb") > pairs_per_key).select("k"))
+    return pin(_asked(a, b).filter(F.col("na") * F.col("nb") > pairs_per_key).select("k"))
 
 
 class LabelModel:

@@ -5,7 +5,7 @@ import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lamina.llm.linkage import ATTRS, LabelModel, candidate_pairs, link, variants
+from lamina.llm.linkage import ATTRS, LabelModel, _meet, candidate_pairs, link, variants
 
 DDL = "uid string, given string, family string, dob date, sex string, card string, postal string, phone string, card_digits string, fsa string, phone7 string, votes string"
 
@@ -67,6 +67,27 @@ def test_common_keys_lose_no_pair_that_agrees_twice(spark):
     assert same.count() == 300 and pairs.count() < 5_000
 
 
+def test_common_keys_keep_rows_without_a_further_attribute(spark):
+    def few(uid, n, given=None, family=None, card=None):
+        return (uid, given, family, None, None, card, None, "5551234567", str(n), None, "1234567", "x")
+
+    def pairs(left, right, **kw):
+        lv, rv = (variants(spark.createDataFrame(x, DDL)).select("uid", "vid", *ATTRS) for x in (left, right))
+        return candidate_pairs(lv, rv, **kw).count()
+
+    named = [[few(f"{s}|{i}", i, "ANNA", "SMITH") for i in range(20)] for s in "LR"]
+    assert pairs(*named, pairs_per_key=100) == 400
+    # bare rows meet everybody, rows with a card only bare ones and their like
+    mixed = [[few(f"{s}|{i}", i, card=f"{s}{i:09}" if i < 15 else None) for i in range(20)] for s in "LR"]
+    assert pairs(*mixed, pairs_per_key=100) == 400 - 15 * 15
+
+
+def test_sub_blocks_hold_every_pair_once(spark):
+    a, b = (spark.range(n).select(F.col("id").alias("vid"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k")) for n in (90, 150))
+    got = _meet(a, b, 7)
+    assert got.count() == got.distinct().count() == a.join(b, "k").count()
+
+
 def test_copies_empty_and_nulls(spark):
     left, right, _ = world(spark, 40)
     assert link(left.limit(0), right).collect() == []
