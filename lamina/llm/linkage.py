@@ -6,8 +6,8 @@ right and, per class, a dependency tree of the functions (Chow-Liu), so that cor
 votes are not counted twice. Its posterior is the confidence.
 
 Records are first reduced to distinct attribute variants, so that copies are compared once.
-Candidates share a block key; a key that is too common (a stand-in value, a big household) is
-replaced by its combinations with a second agreeing attribute, which every match must have.
+Candidates share a block key; all pairs of a key are compared, however common it is (a stand-in
+value, a big household), those of a large block in sub-blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from lamina.session import pin, ship
 
 ATTRS = ("given", "family", "dob", "sex", "card", "postal", "phone", "card_digits", "fsa", "phone7")
-#: Pairs that one block key may ask for before it is combined with a second attribute.
-PAIRS_PER_KEY = 2_000
 
 
 def variants(records: DataFrame) -> DataFrame:
@@ -143,18 +141,19 @@ def _further() -> Column:
     return _present([F.struct(F.lit(n).alias("n"), c.alias("k")) for n, c in by.items()])
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, *, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, *, pairs_per_key: int | None = None) -> DataFrame:
     """``va, vb`` of the distinct variants of either side that share a block key, each pair once.
 
-    Only variant ids and 64-bit key hashes move; keys of equal hash merely add a candidate. A key
-    that asks for more than ``pairs_per_key`` pairs goes on only in combination with a further
-    attribute, and again with another one if that is still too common. A row that has no further
-    attribute meets all others of the key.
+    Only variant ids and 64-bit key hashes move; keys of equal hash merely add a candidate. Every
+    pair of a key counts, unless the caller names ``pairs_per_key``: then a key that asks for more
+    pairs goes on only in combination with a further attribute, and again with another one if that
+    is still too common, which loses pairs that agree in no other attribute exactly. A row that has
+    no further attribute meets all others of the key.
     """
     one = lambda df: df.dropDuplicates(["vid"])
     sides = [one(df).select("vid", F.explode(_first_keys()).alias("f")).select("vid", F.col("f.h").alias("k")) for df in (left, right)]
-    hot = _common(*sides, pairs_per_key)
-    if hot.isEmpty():
+    hot = None if pairs_per_key is None else _common(*sides, pairs_per_key)
+    if hot is None or hot.isEmpty():
         return _meet(*sides).distinct()
     levels = [one(df).select("vid", _further().alias("more"), F.explode(_first_keys()).alias("f")).select("vid", "more", F.col("f.h").alias("k"), F.col("f.used").alias("used"), F.col("f.last").alias("last")) for df in (left, right)]
     met: list[DataFrame] = []
@@ -301,7 +300,7 @@ FALSE_ALARMS = {"other_card": 0.001, "other_sex": 0.002, "two_ids": 0.001, "two_
 THRESHOLD = 0.7
 
 
-def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD, pairs_per_key: int | None = None) -> DataFrame:
     """``uid_a, uid_b, confidence`` of record pairs whose posterior is at least ``threshold``.
 
     ``left`` and ``right`` need ``uid`` and the attribute columns of :mod:`people`; other

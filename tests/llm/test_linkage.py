@@ -82,6 +82,31 @@ def test_common_keys_keep_rows_without_a_further_attribute(spark):
     assert pairs(*mixed, pairs_per_key=100) == 400 - 15 * 15
 
 
+def test_common_key_finds_pairs_that_agree_only_nearly(spark):
+    rng = random.Random(5)
+    left, right, truth = [], [], set()
+    for i in range(150):
+        p = person(rng, i)
+        p[6] = "5551234567"  # a shared stand-in phone is all that agrees exactly
+        q = list(p)
+        q[0] = p[0][0] + ("O" if p[0][1] != "O" else "A") + p[0][2:]
+        q[1] = p[1][:4] + ("R" if p[1][4] != "R" else "L") + p[1][5:]
+        q[2] = p[2].replace(day=p[2].day % 28 + 1)
+        q[4] = p[4][:7] + str((int(p[4][7]) + 1) % 10) + p[4][8:]
+        q[5] = None
+        left.append(record(f"L|{i}", p))
+        right.append(record(f"R|{i}", q))
+        truth.add((f"L|{i}", f"R|{i}"))
+    # pairs of the usual kind, from which the model learns
+    more = world(spark)
+    left, right = (spark.createDataFrame(x, DDL).union(m.withColumn("uid", F.concat("uid", F.lit("w")))) for x, m in zip((left, right), more[:2], strict=True))
+    got = {(r.uid_a, r.uid_b) for r in link(left, right).collect()}
+    capped = {(r.uid_a, r.uid_b) for r in link(left, right, pairs_per_key=2_000).collect()}
+    print("recall", len(truth & got) / len(truth), "capped", len(truth & capped) / len(truth), "precision", len(got & (truth | {(a + "w", b + "w") for a, b in more[2]})) / len(got))
+    assert len(truth & got) >= 0.95 * len(truth)
+    assert len(truth & capped) <= 0.2 * len(truth)
+
+
 def test_sub_blocks_hold_every_pair_once(spark):
     a, b = (spark.range(n).select(F.col("id").alias("vid"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k")) for n in (90, 150))
     got = _meet(a, b, 7)
