@@ -165,13 +165,26 @@ def _pairs(groups: DataFrame, uid: str, group: str) -> DataFrame:
     return g.select("g", F.col("uid").alias("uid_a")).join(g.select("g", F.col("uid").alias("uid_b")), "g").filter("uid_a < uid_b").select("uid_a", "uid_b")
 
 
+def _pair_counts(truth: DataFrame, predicted: DataFrame, uid: str, truth_group: str, predicted_group: str) -> tuple[int, int, int]:
+    """True positive, false positive and false negative pairs, counted from group sizes without forming the pairs."""
+    one = lambda df, g, c: df.select(F.col(uid).alias("uid"), F.col(g).alias(c)).dropna().distinct()
+    t, p = pin(one(truth, truth_group, "t")), pin(one(predicted, predicted_group, "p"))
+    if any(df.groupBy("uid").count().filter("count > 1").limit(1).count() for df in (t, p)):
+        # a record in several groups: a pair may share more than one of them and counts once
+        a, b = _pairs(t, "uid", "t"), _pairs(p, "uid", "p")
+        return a.intersect(b).count(), b.subtract(a).count(), a.subtract(b).count()
+    n = F.col("count")
+    total = lambda df, *by: int(df.groupBy(*by).count().agg(F.coalesce(F.sum(F.expr("cast(count as decimal(19,0)) * (count - 1) div 2")), F.lit(0))).first()[0])
+    tp = total(t.join(p, "uid"), "t", "p")
+    return tp, total(p, "p") - tp, total(t, "t") - tp
+
+
 def pairwise_evaluation(truth: DataFrame, predicted: DataFrame, uid: str = "record_uid", truth_group: str = "person", predicted_group: str = "patient_golden_id") -> DataFrame:
     """Precision, recall and F1 over pairs, and how persons came out: split, merged with others, exact.
 
     ``exact`` counts persons neither split nor merged.
     """
-    t, p = _pairs(truth, uid, truth_group), _pairs(predicted, uid, predicted_group)
-    tp, fp, fn = t.intersect(p).count(), p.subtract(t).count(), t.subtract(p).count()
+    tp, fp, fn = _pair_counts(truth, predicted, uid, truth_group, predicted_group)
     both = truth.select(uid, F.col(truth_group).alias("t")).join(predicted.select(uid, F.col(predicted_group).alias("p")), uid)
     per_t = both.groupBy("t").agg(F.count_distinct("p").alias("n"), F.min("p").alias("p"))
     per_p = both.groupBy("p").agg(F.count_distinct("t").alias("m"))

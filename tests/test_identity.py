@@ -58,3 +58,19 @@ def test_evaluation_sees_false_merges(spark):
     assert (r.tp, r.fp, r.fn, r.exact_people, r.merged_ids, r.split_people) == (1, 2, 0, 1, 1, 0)
     none = idn.pairwise_evaluation(t.limit(0), p.limit(0)).first()
     assert (none.precision, none.recall, none.f1) == (0.0, 0.0, 0.0)
+
+
+def test_pairwise_evaluation_counts_without_pairs(spark, monkeypatch):
+    n = 100_000  # five billion pairs
+    t = spark.range(n).select(F.col("id").alias("record_uid"), F.lit(1).alias("person"))
+    p = t.select("record_uid", (F.col("record_uid") % 2).alias("patient_golden_id"))
+    pairs = lambda k: k * (k - 1) // 2
+    with monkeypatch.context() as m:
+        m.setattr(idn, "_pairs", None)
+        r = idn.pairwise_evaluation(t, p).first()
+    assert (r.tp, r.fp, r.fn) == (2 * pairs(n // 2), 0, pairs(n) - 2 * pairs(n // 2))
+    # records of several groups: a pair that shares two of them counts once
+    t = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, None)], "record_uid int, person string")
+    p = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "record_uid int, patient_golden_id string")
+    r = idn.pairwise_evaluation(t, p).first()
+    assert (r.tp, r.fp, r.fn) == (1, 2, 0)
