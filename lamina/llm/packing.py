@@ -144,6 +144,10 @@ def pack_shard(sizes: list[int], sources: list[str], clusters: list[int], capaci
     return out
 
 
+#: Repeated rows that are numbered in one go.
+RUN = 65_536
+
+
 def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``container_id, doc_id, piece, tokens, first_token`` of every piece of ``items`` (see :func:`measure`).
 
@@ -155,11 +159,15 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_S
     it = pin(items.filter("tokens > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "cluster", "tokens"))
     total, n = it.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     shards = max(1, round(total / shard_tokens), n // SHARD_ITEMS)
+    # repeated rows are counted and numbered, so that they spread over the shards too
+    same = it.groupBy("doc_id", "source", "cluster", "tokens").agg(F.count("*").alias("n"))
+    runs = same.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)")))
+    it = runs.withColumn("copy", F.explode(F.expr(f"sequence(`from`, least(`from` + {RUN}L, n) - 1)"))).drop("n", "from")
     last = F.col("tokens") % capacity
     pieces = it.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / capacity).cast("int"))))
     pieces = pieces.withColumn("first_token", F.col("piece") * capacity).withColumn("size", F.when((F.col("first_token") + capacity > F.col("tokens")) & (last > 0), last).otherwise(capacity))
     full = pieces.filter(F.col("size") == capacity)
-    part = pieces.filter(F.col("size") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "tokens"), F.lit(shards)).cast("int"))
+    part = pieces.filter(F.col("size") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "tokens", "copy"), F.lit(shards)).cast("int"))
     # every shard is one task: shards are equal in tokens, and there are as many as the data asks for
     laid = part.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("size"), "cluster", "source", "doc_id")
     schema = f"container_id string, doc_id {items.schema['doc_id'].dataType.simpleString()}, piece int, tokens int, first_token int"

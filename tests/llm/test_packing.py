@@ -3,6 +3,7 @@ import random
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lamina.llm.packing import fill_report, measure, pack, pack_shard
 
@@ -79,3 +80,11 @@ def test_measure(spark):
     assert got[1].cluster == got[2].cluster != got[5].cluster
     assert got[1].tokens == 2 and got[3].tokens == got[4].tokens == 0 and got[5].tokens >= 50_000
     assert len(rows(measure(df.limit(0)))) == 0
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    items = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("cluster"), F.lit(100).alias("tokens"))
+    got = pack(items, shard_tokens=30_000)
+    n = [r["count"] for r in got.groupBy(F.substring_index("container_id", "-", 1)).count().collect()]
+    assert sum(n) == 3000 and len(n) == 10 and max(n) < 450
+    assert got.select("container_id").distinct().count() == 3000  # copies part
