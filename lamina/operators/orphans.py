@@ -1,9 +1,11 @@
 """References to records that do not exist (problem 7): range-partitioned sorted-array probe.
 
-Parent keys and reference keys are range-partitioned by the same bounds. Each range keeps its
-parent keys as a sorted array, and reference batches probe it by binary search. References are
-first reduced to (key, payload) rows; equal keys of a hot reference may spread over several
-ranges, so that a range also knows the last parent key before it.
+Parents and references are range-partitioned by one set of bounds over the 64-bit hash of their
+key. Each range stores its parents as a sorted array of hashes beside their texts; reference
+batches probe it by one vectorised binary search, and texts are compared where hashes meet, so
+the answer is exact. The row's own hash takes part in the bounds: references of a hot key spread
+over as many ranges as they need, and a range that begins inside such a key is told the last
+parent of the ranges before it.
 """
 
 from __future__ import annotations
@@ -12,86 +14,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.ranged import batches_of, partition_id, ranged
-from lamina.session import ship
+from lamina.session import pin
 
-#: Parent sets of at most so many keys go to every executor as one sorted array instead of a shuffle.
-BROADCAST_KEYS = 200_000
 
+class SortedKeys:
+    """Parents of one range: hashes in ascending order and their texts."""
 
-def _probe(parents: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """True where a key is not among the sorted parents."""
-    if not len(parents):
-        return np.ones(len(keys), bool)
-    at = np.searchsorted(parents, keys)
-    return parents[np.minimum(at, len(parents) - 1)] != keys
+    def __init__(self, hashes: np.ndarray, texts: pa.Array):
+        self.hashes, self.texts = hashes, texts
 
+    def missing(self, hashes: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """True where a key is not among the parents."""
+        n = len(self.hashes)
+        if not n:
+            return np.ones(len(hashes), bool)
+        at = np.searchsorted(self.hashes, hashes)
+        safe = np.minimum(at, n - 1)
+        met = (at < n) & (self.hashes[safe] == hashes)
+        same = pc.equal(self.texts.take(pa.array(safe)), texts).to_numpy(zero_copy_only=False) & met
+        for i in np.flatnonzero(met & ~same):  # another text of the same hash lies first
+            k, text = int(at[i]) + 1, texts[int(i)].as_py()
+            while k < n and self.hashes[k] == hashes[i] and not same[i]:
+                same[i] = self.texts[k].as_py() == text
+                k += 1
+        return ~same
 
-def _keys(b: pa.RecordBatch, name: str = "ref_key") -> np.ndarray:
-    return b.column(name).to_numpy(zero_copy_only=False)
 
-
-def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column, parent_key: Column, keep: list[str], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column, parent_key: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``ref_key`` of every reference whose key no parent has.
 
     Keys are compared as texts. Null keys are no references and no parents (turn blanks into null before). Repeated
     parents are one; repeated references each come out. An empty parent table makes every
-    reference an orphan.
+    reference an orphan; an empty reference table gives none.
     """
-    ship(refs.sparkSession)
     spark = refs.sparkSession
-    r = refs.select(ref_key.cast("string").alias("ref_key"), *[F.col(c).alias(c) for c in keep]).filter("ref_key is not null")
-    p = parents.select(parent_key.cast("string").alias("ref_key")).filter("ref_key is not null")
-    schema = r.schema
-    if broadcast_keys and p.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        arr = spark.sparkContext.broadcast(np.array(sorted({x[0] for x in p.collect()}), dtype=object))
-
-        def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches_of(it):
-                yield b.filter(pa.array(_probe(arr.value, _keys(b))))
-
-        return r.mapInArrow(near, schema)
-    # parents sort before the references of the same key; the payload spreads a hot key over ranges
-    rows = r.select("ref_key", F.lit(1).cast("byte").alias("_ref"), F.struct(*keep).alias("_row") if keep else F.struct(F.lit(1).alias("_")).alias("_row"))
-    both = rows.unionByName(p.select("ref_key", F.lit(0).cast("byte").alias("_ref"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
-    laid = ranged(both.withColumn("_h", F.xxhash64("_row")), ["ref_key", "_ref", "_h"], ["ref_key", "_ref"])
+    row = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_"))
+    r = refs.select(ref_key.cast("string").alias("ref_key"), F.lit(1).cast("byte").alias("_ref"), row.alias("_row")).filter("ref_key is not null")
+    p = parents.select(parent_key.cast("string").alias("ref_key")).filter("ref_key is not null").distinct()
+    p = p.select("ref_key", F.lit(0).cast("byte").alias("_ref"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    both = r.unionByName(p).withColumns({"_k": F.xxhash64("ref_key"), "_h": F.xxhash64("_row")})
+    # in a range the parents come first and in order; references need none
+    laid = pin(ranged(both, ["_k", "_ref", "_h"], ["_ref", F.when(F.col("_ref") == 0, F.col("_k"))]).select("_k", "_ref", "ref_key", "_row"))
 
     def tail(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        """The last parent of the range, and those that share its hash."""
+        last, texts = None, []
         for b in batches_of(it):
-            k = _keys(b)[b.column("_ref").to_numpy() == 0]
-            if len(k):
-                last = k[-1]
+            k = b.column("_k").to_numpy()
+            if last is None or k[-1] != last:
+                last, texts = int(k[-1]), []
+            texts += b.column("ref_key").filter(pa.array(k == last)).to_pylist()
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([last], pa.string())], ["part", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([last], pa.int64()), pa.array([texts], pa.list_(pa.string()))], ["part", "last", "texts"])
 
-    tails = dict(laid.select("ref_key", "_ref").mapInArrow(tail, "part int, last string").collect())
+    ends = {t["part"]: (t["last"], list(t["texts"])) for t in laid.filter("_ref = 0").select("_k", "ref_key").mapInArrow(tail, "part int, last long, texts array<string>").collect()}  # one row per range
     carried, before = {}, None
-    for part in range(max(tails, default=-1) + 2):
+    for part in range(max(ends, default=-1) + 2):
         carried[part] = before
-        before = tails.get(part, before)
-    end = before
-    shared = spark.sparkContext.broadcast((carried, end))
+        last = ends.get(part, before)
+        # texts of one hash may lie on both sides of a bound
+        before = (last[0], before[1] + last[1]) if last is not before and before and last[0] == before[0] else last
+    shared = spark.sparkContext.broadcast((carried, before))
 
-    def far(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, final = shared.value
         seen = known.get(partition_id(), final)
+        hashes = [np.full(len(seen[1]), seen[0], np.int64)] if seen else []
+        texts = [pa.array(seen[1], pa.string())] if seen else []
+        store: SortedKeys | None = None
         for b in batches_of(it):
-            keys, is_ref = _keys(b), b.column("_ref").to_numpy() == 1
-            arr = keys[~is_ref]
-            if seen is not None:
-                arr = np.concatenate([np.array([seen], dtype=object), arr])
-            if len(arr):
-                seen = arr[-1]
-            hit = np.flatnonzero(is_ref)
-            hit = hit[_probe(arr, keys[hit])]
-            if len(hit):
-                yield b.select(["ref_key", "_row"]).take(pa.array(hit))
-
-    out = laid.select("ref_key", "_ref", "_row").mapInArrow(far, "ref_key string, _row " + rows.schema["_row"].dataType.simpleString())
+            n = int((b.column("_ref").to_numpy() == 0).sum())
+            if n:
+                hashes.append(b.column("_k").slice(0, n).to_numpy())
+                texts.append(b.column("ref_key").slice(0, n))
+            if n == b.num_rows:
+                continue
+            if store is None:
+                store = SortedKeys(np.concatenate(hashes) if hashes else np.empty(0, np.int64), pa.concat_arrays(texts) if texts else pa.array([], pa.string()))
+            b = b.slice(n)
+            out = store.missing(b.column("_k").to_numpy(), b.column("ref_key"))
+            if out.any():
+                yield b.select(["ref_key", "_row"]).filter(pa.array(out))
+
+    out = laid.mapInArrow(probe, "ref_key string, _row " + r.schema["_row"].dataType.simpleString())
     return out.select("ref_key", *([F.col("_row")[c].alias(c) for c in keep]))
 
 

@@ -12,18 +12,28 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from lamina.session import pin, ship
+from lamina.session import ship
 
 
-def ranged(df: DataFrame, keys: list[str], sort: list[str] | None = None) -> DataFrame:
-    """Range-partition by ``keys``; optionally sort inside partitions; pin the layout."""
+#: Bytes of a range, by the optimizer's estimate; more data makes more ranges, never larger ones.
+RANGE_BYTES = 128 << 20
+
+
+def ranges_for(df: DataFrame) -> int | None:
+    """How many ranges the estimated size asks for; None where the session's own number is enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = -(-size // RANGE_BYTES)
+    return int(n) if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 20 else None
+
+
+def ranged(df: DataFrame, keys: list[str], sort: list[str | Column] | None = None) -> DataFrame:
+    """Range-partition by ``keys``; optionally sort inside partitions. The caller pins what it reads twice."""
     ship(df.sparkSession)
-    out = df.repartitionByRange(*keys)
-    if sort:
-        out = out.sortWithinPartitions(*sort)
-    return pin(out)
+    n = ranges_for(df)
+    out = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    return out.sortWithinPartitions(*sort) if sort else out
 
 
 def partition_id() -> int:

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` if the session names one.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is made,
-    and it becomes the session's checkpoint folder.
+    Only a single-machine session (``local[...]``) without that setting gets a temporary folder, which becomes its
+    checkpoint folder and goes when Python ends. On a cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if current.isEmpty():
             sc.setCheckpointDir(named)
         return named
-    current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lamina-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder all executors share (master {sc.master})")
+        made = tempfile.mkdtemp(prefix="lamina-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        sc.setCheckpointDir("file://" + made)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -35,12 +41,29 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and forget how it was made.
 
     Partition order, and row order inside a partition, stay as they were. The copy
-    outlives any executor, unlike a local checkpoint.
+    outlives any executor, unlike a local checkpoint. :func:`release` removes all copies.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`pin` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = pin(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has pinned; results that read them must have been written before."""
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not made.isEmpty():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.get())
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path) if fs.exists(path) else []:
+            fs.delete(f.getPath(), True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
