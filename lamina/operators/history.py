@@ -1,14 +1,17 @@
 """History of changing entity attributes from periodic snapshots or updates (problem 1).
 
-All snapshots are co-partitioned by entity and time and key-sorted; Spark's external sorter
-does the k-way merge of the sorted runs, and one streaming pass per partition closes a
-version whenever the payload changes. A pass holds one row of carry, never a history.
-An entity that is larger than a partition continues in the next ones: each partition
-reports its first and last version, and these edges decide what continues.
+All snapshots are co-partitioned by entity and time, and each is key-sorted inside every
+partition. A k-way merge walks the sorted runs, one per snapshot, each known by its current block
+of rows only, and emits them in the order of entity and time, in stretches as long as one run
+stays ahead of all others; one streaming pass closes a version whenever the payload changes. No
+history is ever held, only one block per snapshot and one row of carry. An entity that is larger
+than a partition continues in the next ones: each partition reports its first and last version,
+and these edges decide what continues.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,84 @@ def snapshot(
     )
 
 
+#: Columns of a laid row, in the order that settles what holds when.
+_KEY = ["entity_name", "entity_id", "at_us", "rank", "payload", "ends_us"]
+#: Rows of a block: what the merge knows of one run at a time.
+BLOCK = 4096
+
+
+def _key(b: pa.RecordBatch, i: int) -> tuple:
+    v = [b.column(c)[i].as_py() for c in _KEY]
+    return (*v[:5], -1 if v[5] is None else v[5])
+
+
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition, sorted run after run -> blocks of one run each, with the key of their first row."""
+    for b in batches_of(it):
+        src = b.column("src").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(src)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for k in range(lo, hi, BLOCK):
+                part = b.slice(k, min(BLOCK, hi - k)).select(_KEY)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part)
+                head = _key(part, 0)
+                yield pa.RecordBatch.from_pylist([dict(zip(_KEY, (*head[:5], None if head[5] < 0 else head[5]), strict=True)) | {"src": int(src[lo]), "block": sink.getvalue().to_pybytes()}], _BLOCK_SCHEMA)
+
+
+_BLOCK_SCHEMA = pa.schema([("entity_name", pa.string()), ("entity_id", pa.string()), ("at_us", pa.int64()), ("rank", pa.int32()), ("payload", pa.string()), ("ends_us", pa.int64()), ("src", pa.int32()), ("block", pa.binary())])
+_BLOCK_DDL = "entity_name string, entity_id string, at_us long, rank int, payload string, ends_us long, src int, block binary"
+
+
+def _first_not_below(b: pa.RecordBatch, bound: tuple, lo: int) -> int:
+    """First row from ``lo`` on whose key exceeds ``bound``; the rows are in order."""
+    hi = b.num_rows
+    if _key(b, hi - 1) <= bound:
+        return hi
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if _key(b, mid) <= bound:
+            lo = mid + 1
+        else:
+            hi = mid
+    return lo
+
+
+def merge_runs(blocks: Iterator[tuple[tuple, int, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """K-way merge: blocks (first key, run, rows) come by first key, the blocks of a run in order.
+
+    The heap holds the open block of each run with its next row. The smallest one gives all its rows up to
+    the next one's key, be that another open run or a block not opened yet, as one stretch.
+    """
+    heap: list[tuple[tuple, int, int, pa.RecordBatch]] = []  # next key, run, position, block
+    n = 0  # settles ties of key and run before blocks would be compared
+    todo = next(blocks, None)
+    while heap or todo is not None:
+        while todo is not None and (not heap or todo[0] <= heap[0][0]):
+            heapq.heappush(heap, (todo[0], n, 0, todo[2]))
+            n += 1
+            todo = next(blocks, None)
+        _, run, at, b = heapq.heappop(heap)
+        bound = min((k for k in (heap[0][0] if heap else None, todo[0] if todo is not None else None) if k is not None), default=None)
+        end = b.num_rows if bound is None else max(at + 1, _first_not_below(b, bound, at))
+        yield b.slice(at, end - at)
+        if end < b.num_rows:
+            heapq.heappush(heap, (_key(b, end), run, end, b))
+
+
+def _merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one partition, by first key -> its versions."""
+
+    def opened() -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+        for b in batches_of(it):
+            for i in range(b.num_rows):
+                rows = pa.ipc.open_stream(b.column("block")[i].as_buffer()).read_next_batch()
+                yield _key(b, i), b.column("src")[i].as_py(), rows
+
+    yield from _runs(merge_runs(opened()))
+
+
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of one partition -> runs of equal payload, as a stream."""
     carry = None  # the newest row; its instant may still be overruled by the next row
@@ -151,12 +232,14 @@ def version_history(snapshots: list[DataFrame], *, high: str = HIGH, keep_payloa
     Empty inputs give no versions; repeated rows change nothing; columns beyond those
     named to :func:`snapshot` do not matter.
     """
-    all_rows = snapshots[0]
-    for s in snapshots[1:]:
-        all_rows = all_rows.unionByName(s)
+    all_rows = snapshots[0].withColumn("src", F.lit(0))
+    for i, s in enumerate(snapshots[1:], 1):
+        all_rows = all_rows.unionByName(s.withColumn("src", F.lit(i)))
     spark = all_rows.sparkSession
-    key = ["entity_name", "entity_id", "at_us"]
-    runs = pin(ranged(all_rows, key, [*key, "rank", "payload", "ends_us"]).mapInArrow(_runs, _RUN))
+    # co-partitioned by one set of bounds; inside a partition every snapshot is one sorted run
+    laid = ranged(all_rows, ["entity_name", "entity_id", "at_us"], ["src", *_KEY])
+    blocks = laid.mapInArrow(_blocks, _BLOCK_DDL).sortWithinPartitions(*_KEY, "src")
+    runs = pin(blocks.mapInArrow(_merged, _RUN))
     edges = [r.asDict() for r in runs.mapInArrow(_edges, _RUN + ", part long, side long").collect()]
     plan = _stitch(edges)
     high_us = int(np.datetime64(high.replace(" ", "T"), "us").astype(np.int64))

@@ -76,3 +76,44 @@ def test_hot_entity_over_many_partitions_matches_brute_force(spark):
 def test_a_version_spanning_whole_partitions(spark):
     data = [("hot", at(i), "a", None, 0, None) for i in range(400)] + [("hot", at(400), "b", None, 0, None)]
     assert run(spark, data, 9) == [("hot", "a", at(0), at(400)), ("hot", "b", at(400), datetime(9999, 12, 31))]
+
+
+def test_merge_of_runs_is_a_sort():
+    import pyarrow as pa
+
+    from lamina.operators.history import _KEY, _key, merge_runs
+
+    rng = random.Random(7)
+    runs, flat = [], []
+    for src in range(4):
+        rows = sorted((("n", f"e{rng.randrange(6)}", rng.randrange(9), src % 2, rng.choice("ab"), rng.choice([-1, 5])) for _ in range(rng.randrange(60))))
+        flat += rows
+        for k in range(0, len(rows), 7):
+            part = rows[k : k + 7]
+            b = pa.RecordBatch.from_pylist([dict(zip(_KEY, (*r[:5], None if r[5] < 0 else r[5]), strict=True)) for r in part])
+            runs.append((part[0], src, b))
+    runs.sort(key=lambda x: (x[0], x[1]))
+    got = [_key(b, i) for b in merge_runs(iter(runs)) for i in range(b.num_rows)]
+    assert got == sorted(flat)
+    assert list(merge_runs(iter([]))) == []
+
+
+def test_many_snapshots_of_many_entities(spark):
+    """Snapshots of one table taken at several times, with hot and absent entities, against brute force."""
+    rng = random.Random(11)
+    shots, every = [], []
+    for k in range(5):
+        data = []
+        for e in ["hot"] * 200 + [f"e{i}" for i in range(30) if rng.random() < 0.8]:
+            data.append((e, at(k * 1000 + rng.randrange(900)), rng.choice("abc"), None, 0, None))
+        data = list({(r[0], r[1]): r for r in data}.values())
+        every += data
+        shots.append(snapshot(spark.createDataFrame(data, DDL), "n", F.col("e"), F.col("t"), F.col("p"), F.col("x")))
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.entity_id, r.payload, r.valid_from, r.valid_to) for r in version_history(shots).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute(every)
