@@ -1,10 +1,11 @@
 """Overlapping and gapped time intervals (problem 6).
 
-Every task keeps, per entity, an ordered map of disjoint intervals as its keyed state. An
-insertion finds the overlapped stretch by binary search, merges it and so changes the
-gaps. Rows are range-partitioned by (entity, start): a busy entity is spread over many
-tasks, and what one task must know of the earlier ones is a single number, the greatest
-end so far of the entity that continues into it.
+The state of an entity is an ordered map of disjoint intervals and the gaps between them: an
+insertion finds the overlapped stretch by binary search, merges it and puts the gaps around it
+right. Rows are range-partitioned by (entity, start), so a busy entity is spread over many tasks,
+and every task keeps the map of one entity at a time; as starts ascend, all but the last interval
+are settled and leave the map early. What a task must know of the earlier ones is a single
+number, the greatest end so far of the entity that continues into it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +25,14 @@ HIGH = "9999-12-31 00:00:00"
 
 
 class IntervalMap:
-    """Ordered disjoint half-open intervals; touching intervals are one."""
+    """Ordered disjoint half-open intervals and the gaps between them; touching intervals are one."""
 
-    __slots__ = ("ends", "starts")
+    __slots__ = ("ends", "gap_ends", "starts")
 
     def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None):
         self.starts = starts or []
         self.ends = ends or []
+        self.gap_ends: dict[int, int] = dict(zip(self.ends, self.starts[1:], strict=False))  # begin of a gap -> its end
 
     def insert(self, start: int, end: int) -> None:
         if start >= end:
@@ -40,17 +42,28 @@ class IntervalMap:
         if lo < hi:
             start = min(start, self.starts[lo])
             end = max(end, self.ends[hi - 1])
+        # the gaps inside and at either side of the merged stretch change, no others
+        for k in range(max(lo - 1, 0), hi):
+            self.gap_ends.pop(self.ends[k], None)
+        if lo:
+            self.gap_ends[self.ends[lo - 1]] = start
+        if hi < len(self.starts):
+            self.gap_ends[end] = self.starts[hi]
         self.starts[lo:hi] = [start]
         self.ends[lo:hi] = [end]
 
+    def settle(self, before: int) -> list[tuple[str, int, int]]:
+        """Take out the intervals that end before an instant nothing will begin before, each with the gap after it."""
+        n = min(bisect_left(self.ends, before), len(self.ends) - 1)
+        out = [x for s, e in zip(self.starts[:n], self.ends[:n], strict=True) for x in (("period", s, e), ("gap", e, self.gap_ends.pop(e)))]
+        del self.starts[:n], self.ends[:n]
+        return out
+
     def periods(self) -> list[tuple[int, int]]:
         return list(zip(self.starts, self.ends, strict=True))
 
     def gaps(self) -> list[tuple[int, int]]:
-        return list(zip(self.ends[:-1], self.starts[1:], strict=True))
-
-
-_SPAN = "entity string, start_us long, end_us long"
+        return [(e, self.gap_ends[e]) for e in self.ends if e in self.gap_ends]
 
 
 def _arrow(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -58,36 +71,31 @@ def _arrow(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def _disjoint(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of a partition in any order -> its disjoint intervals, ordered by entity and start."""
-    state: dict[str, IntervalMap] = {}
-    for b in batches_of(it):
-        for e, s, t in zip(b.column("entity").to_pylist(), b.column("start_us").to_pylist(), b.column("end_us").to_pylist(), strict=True):
-            m = state.get(e)
-            if m is None:
-                m = state[e] = IntervalMap()
-            m.insert(s, t)
-    rows = [(e, s, t) for e in sorted(state) for s, t in state[e].periods()]
-    for i in range(0, len(rows), 16384):
-        yield _arrow(rows[i : i + 16384], ["entity", "start_us", "end_us"], [pa.string(), pa.int64(), pa.int64()])
-
-
 def _edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First and last entity of a partition with the greatest end of each."""
     first = last = None
     first_end = last_end = 0
     for b in batches_of(it):
-        ent, end = b.column("entity").to_pylist(), b.column("end_us").to_pylist()
-        for e, t in zip(ent, end, strict=True):  # ordered: a later row of an entity ends later
-            if first is None:
-                first = e
-            if e == first:
-                first_end = t
-            last, last_end = e, t
+        ent, end = b.column("entity"), b.column("end_us").to_numpy()
+        head, tail = ent[0].as_py(), ent[b.num_rows - 1].as_py()
+        if first is None:
+            first, first_end = head, int(end[0])
+        if head == first:
+            first_end = max(first_end, int(end[pc.equal(ent, first).to_numpy(zero_copy_only=False)].max()))
+        top = int(end[pc.equal(ent, tail).to_numpy(zero_copy_only=False)].max())
+        last_end = max(last_end, top) if tail == last else top
+        last = tail
     if first is not None:
         yield _arrow([(partition_id(), first, first_end, last, last_end)], ["part", "first", "first_end", "last", "last_end"], [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
 
+#: Intervals of a map from which settled ones are taken out.
+SETTLE = 4096
+#: Start of an interval that began in an earlier partition.
+_OPEN = -(1 << 62)
+_NEVER = 1 << 62
+
+
 def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: str = HIGH) -> DataFrame:
     """Continuous periods of each entity and the gaps between them.
 
@@ -100,8 +108,8 @@ def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: st
         F.col("entity").isNotNull() & F.col("start_us").isNotNull() & (F.col("end_us") > F.col("start_us"))
     )
     spark = df.sparkSession
-    parts = pin(ranged(rows, ["entity", "start_us"]).mapInArrow(_disjoint, _SPAN))
-    edges = sorted((r.asDict() for r in parts.mapInArrow(_edges, "part int, first string, first_end long, last string, last_end long").collect()), key=lambda r: r["part"])
+    laid = pin(ranged(rows, ["entity", "start_us"], ["entity", "start_us"]))
+    edges = sorted((r.asDict() for r in laid.mapInArrow(_edges, "part int, first string, first_end long, last string, last_end long").collect()), key=lambda r: r["part"])
     carry: dict[int, tuple[str, int]] = {}  # partition -> entity that continues into it, its greatest end so far
     goes_on: dict[int, bool] = {}  # does the last entity of the partition continue in a later one
     last: tuple[str, int] | None = None
@@ -119,34 +127,40 @@ def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: st
         carries, more = shared.value
         names, types = ["part", "entity", "span_kind", "start_us", "end_us"], [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         out: list[tuple] = []
-        cur = None  # entity, start (None: began in an earlier partition), end
+        who, m = None, IntervalMap()
         if p in carries:
-            cur = [carries[p][0], None, carries[p][1]]
-        close = lambda c: out.append((p, c[0], "period", c[1], c[2]) if c[1] is not None else (p, c[0], "end", None, c[2]))
+            who = carries[p][0]
+            m.insert(_OPEN, carries[p][1])
+
+        def put(found: list[tuple[str, int, int]]) -> None:
+            for kind, s, e in found:
+                out.append((p, who, "end", None, e) if s == _OPEN else (p, who, kind, s, e))
+
         for b in batches_of(it):
-            for e, s, t in zip(b.column("entity").to_pylist(), b.column("start_us").to_pylist(), b.column("end_us").to_pylist(), strict=True):
-                if cur is not None and cur[0] == e:
-                    if s <= cur[2]:
-                        cur[2] = max(cur[2], t)
-                        continue
-                    close(cur)
-                    out.append((p, e, "gap", cur[2], s))
-                elif cur is not None:
-                    close(cur)
-                cur = [e, s, t]
+            ent, start, end = b.column("entity").to_pylist(), b.column("start_us").to_pylist(), b.column("end_us").to_pylist()
+            for e, s, t in zip(ent, start, end, strict=True):
+                if e != who:
+                    if who is not None:
+                        put(m.settle(_NEVER))
+                        put([("period", *m.periods()[0])])
+                    who, m = e, IntervalMap()
+                m.insert(s, t)
+                if len(m.starts) > SETTLE:
+                    put(m.settle(s))
             if len(out) >= 16384:
                 yield _arrow(out, names, types)
-                out = []
-        if cur is not None:
-            if more.get(p):
-                if cur[1] is not None:
-                    out.append((p, cur[0], "begin", cur[1], None))
-            else:
-                close(cur)
+                out.clear()
+        if who is not None:
+            put(m.settle(_NEVER))
+            s, e = m.periods()[0]
+            if not more.get(p):
+                put([("period", s, e)])
+            elif s != _OPEN:
+                out.append((p, who, "begin", s, None))
         if out:
             yield _arrow(out, names, types)
 
-    pieces = pin(parts.mapInArrow(final, "part int, entity string, span_kind string, start_us long, end_us long"))
+    pieces = pin(laid.mapInArrow(final, "part int, entity string, span_kind string, start_us long, end_us long"))
     whole = pieces.filter("span_kind in ('period', 'gap')").select("entity", "span_kind", "start_us", "end_us")
     # at most one half of either kind per partition
     halves = [r.asDict() for r in pieces.filter("span_kind in ('begin', 'end')").orderBy("part", "entity").collect()]

@@ -47,6 +47,11 @@ def test_map_in_any_order(pairs):
     cells = {x for s, e in pairs for x in range(s, e)}
     assert {x for s, e in m.periods() for x in range(s, e)} == cells
     assert all(a[1] < b[0] for a, b in zip(m.periods(), m.periods()[1:]))
+    assert m.gaps() == [(a[1], b[0]) for a, b in zip(m.periods(), m.periods()[1:])] and len(m.gap_ends) == len(m.gaps())
+    whole = [("period", *x) for x in m.periods()] + [("gap", *x) for x in m.gaps()]
+    left = m.settle(20)
+    assert sorted(left + [("period", *x) for x in m.periods()] + [("gap", *x) for x in m.gaps()]) == sorted(whole)
+    assert all(e < 20 for k, _, e in left if k == "period")
 
 
 def test_rules(spark):
@@ -86,3 +91,11 @@ def test_streaming_state_gives_the_same(spark, tmp_path):
     q = spans_stream(stream, entity=F.col("bed"), start=F.col("s"), end=F.col("e")).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(x for v in seen.values() for x in v) == brute(data)
+
+
+def test_settled_intervals_leave_the_map_early(spark, monkeypatch):
+    from lamina.operators import intervals
+
+    monkeypatch.setattr(intervals, "SETTLE", 3)
+    data = [("a", T0 + timedelta(hours=3 * i), T0 + timedelta(hours=3 * i + 1 + (i % 5 == 0) * 7), 0, None) for i in range(200)]
+    assert run(spark, data, 5) == brute(data)
