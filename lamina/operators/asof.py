@@ -1,10 +1,12 @@
 """Attributes as known at event time (problem 2): interval lookup over dyadic time nodes.
 
-A validity interval [from, to) is cut into dyadic nodes (level l, node n) that cover
-[n * 2**l, (n + 1) * 2**l) seconds, at most two per level. An event lies in exactly one
-node of every level, so a pure equi-join on (entity, level, node) finds every interval
-that holds the event: no range join, and a busy entity spreads over its time nodes.
-Nodes finer than ``floor_level`` are not cut; there the exact half-open test decides.
+A validity interval [from, to), cut to the time the events span, is decomposed into dyadic nodes
+(level l, node n) that cover [n * 2**l, (n + 1) * 2**l) seconds, at most two per level. An event
+lies in exactly one node of every level, so a pure equi-join on (entity, level, node) finds every
+interval that holds it: no range join. An event asks only for the levels its entity has nodes of.
+An entity that holds more than one event in 256 is salted: its events split into parts, and its
+nodes are there for each part. Nodes finer than ``floor_level`` are not cut; there the exact
+half-open test decides. The optimizer may still broadcast a side it knows to be small.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import ship
+from lamina.operators.hot import HOT_PARTS
+from lamina.session import pin, ship
 
 #: 2**16 s is about 18 hours.
 FLOOR_LEVEL = 16
@@ -20,8 +23,6 @@ FLOOR_LEVEL = 16
 TOP_LEVEL = 39
 #: Seconds added so that all times from year 1 on are positive.
 SHIFT = 62_135_596_800
-#: Interval nodes are broadcast only up to this many rows (fewer than 64 bytes each).
-BROADCAST_NODES = 2_000_000
 
 
 def _nodes_sql(lo: str, hi: str, floor: int) -> str:
@@ -64,7 +65,7 @@ def as_of(
     valid_to: str,
     take: list[str],
     floor: int = FLOOR_LEVEL,
-    broadcast_nodes: int = BROADCAST_NODES,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """``event_id`` columns of each event plus ``take`` of the version that held at its time.
 
@@ -79,16 +80,20 @@ def as_of(
         .filter("_e is not null and _f is not null and _t is not null")
         .distinct()
     )
-    nodes = interval_nodes(v, "_f", "_t", floor)
-    stat = nodes.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("_level")).alias("levels")).first()
-    levels = stat["levels"] or [TOP_LEVEL]  # at most 24 numbers
-    e = events.select(F.struct(*event_id).alias("_id"), event_entity.alias("_e"), F.col(event_at).cast("timestamp").alias("_at")).filter("_e is not null and _at is not null")
-    e = e.withColumn("_s", F.unix_seconds("_at") + F.lit(SHIFT))
-    if stat["n"] <= broadcast_nodes:
-        # the probe stays where the events lie: levels are expanded and looked up in place
-        nodes = F.broadcast(nodes)
-    keyed = e.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_node", F.expr("shiftright(_s, _level)"))
-    hit = keyed.join(nodes, ["_e", "_level", "_node"]).filter((F.col("_f") <= F.col("_at")) & (F.col("_at") < F.col("_t")))
+    e = pin(events.select(F.struct(*event_id).alias("_id"), event_entity.alias("_e"), F.col(event_at).cast("timestamp").alias("_at")).filter("_e is not null and _at is not null"))
+    stat = e.agg(F.count("*").alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    lo, hi = (F.lit(x).cast("timestamp") for x in (stat["lo"], stat["hi"]))
+    part = v.withColumns({"_a": F.greatest("_f", lo), "_b": F.least("_t", hi + F.expr("interval 1 second"))})
+    nodes = interval_nodes(part.filter((F.col("_f") < F.col("_t")) & (F.col("_f") <= hi) & (F.col("_t") > lo)), "_a", "_b", floor).drop("_a", "_b")
+    # fewer than hot_parts entities, by the threshold
+    most = max(1, stat["n"] // hot_parts)
+    hot = F.broadcast(e.groupBy("_e").agg(F.ceil(F.count("*") / most).alias("_salts")).filter("_salts > 1"))
+    salts = F.coalesce("_salts", F.lit(1))
+    nodes = nodes.join(hot, "_e", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    levels = nodes.filter("_salt = 0").groupBy("_e").agg(F.collect_set("_level").alias("_levels"))  # at most 24 numbers
+    keyed = e.join(hot, "_e", "left").withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), salts)).drop("_salts")
+    keyed = keyed.join(levels, "_e").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_node", F.expr(f"shiftright(unix_seconds(_at) + {SHIFT}L, _level)"))
+    hit = keyed.join(nodes, ["_e", "_level", "_node", "_salt"]).filter((F.col("_f") <= F.col("_at")) & (F.col("_at") < F.col("_t")))
     best = hit.groupBy("_id").agg(F.min(F.struct((-F.unix_micros("_f")).alias("k"), F.col("_v"))).alias("b"))
     names = {c: f"{c}_version" if c in event_id else c for c in take}
     return best.select("_id.*", *[F.col(f"b._v.{c}").alias(n) for c, n in names.items()])

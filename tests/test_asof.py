@@ -14,8 +14,9 @@ def call(ev, ver, **kw):
     return as_of(ev, ver, event_id=["id"], event_entity=F.col("who"), event_at="at", version_entity=F.col("who"), valid_from="f", valid_to="t", take=["k"], **kw)
 
 
-@pytest.mark.parametrize("nodes", [0, 2_000_000])
-def test_matches_brute_force_with_either_join(spark, nodes):
+@pytest.mark.parametrize("hot_parts", [1, 8, 100_000])
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_matches_brute_force_with_either_join(spark, hot_parts, threshold):
     rng = random.Random(1)
     tm = lambda: T0 + timedelta(seconds=rng.randrange(40_000_000))
     ver = []
@@ -23,7 +24,9 @@ def test_matches_brute_force_with_either_join(spark, nodes):
         a, b = tm(), tm()
         ver.append((f"d{rng.randrange(20)}", min(a, b), max(a, b) if rng.random() < 0.9 else datetime(9999, 12, 31), k))
     ev = [(i, f"d{rng.randrange(22)}", tm()) for i in range(800)] + [(900 + i, v[0], v[1]) for i, v in enumerate(ver[:60])] + [(1000 + i, v[0], v[2]) for i, v in enumerate(ver[:60])]
-    got = rows(call(spark.createDataFrame(ev, "id int, who string, at timestamp"), spark.createDataFrame(ver, "who string, f timestamp, t timestamp, k int"), broadcast_nodes=nodes))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = rows(call(spark.createDataFrame(ev, "id int, who string, at timestamp"), spark.createDataFrame(ver, "who string, f timestamp, t timestamp, k int"), hot_parts=hot_parts))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = []
     for i, w, at in ev:
         hit = [v for v in ver if v[0] == w and v[1] <= at < v[2]]
