@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.ranged import batches_of, partition_id, ranged
+from lamina.operators.ranged import batches_of, numbered, part_of, ranged
 from lamina.session import pin
 
 HIGH = "9999-12-31 00:00:00"
@@ -193,7 +193,8 @@ def _edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = b.slice(0, 1).to_pylist()[0]
         last = b.slice(b.num_rows - 1, 1).to_pylist()[0]
     if first is not None:
-        p = partition_id()
+        p = first.pop("_part")
+        last.pop("_part")
         yield pa.RecordBatch.from_pylist([{**first, "part": p, "side": 0}, {**last, "part": p, "side": 1}])
 
 
@@ -239,17 +240,18 @@ def version_history(snapshots: list[DataFrame], *, high: str = HIGH, keep_payloa
     # co-partitioned by one set of bounds; inside a partition every snapshot is one sorted run
     laid = ranged(all_rows, ["entity_name", "entity_id", "at_us"], ["src", *_KEY])
     blocks = laid.mapInArrow(_blocks, _BLOCK_DDL).sortWithinPartitions(*_KEY, "src")
-    runs = pin(blocks.mapInArrow(_merged, _RUN))
+    runs = pin(numbered(blocks.mapInArrow(_merged, _RUN)))
     edges = [r.asDict() for r in runs.mapInArrow(_edges, _RUN + ", part long, side long").collect()]
     plan = _stitch(edges)
     high_us = int(np.datetime64(high.replace(" ", "T"), "us").astype(np.int64))
     shared = spark.sparkContext.broadcast(plan)
 
     def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop, nxt, ends = shared.value.get(partition_id(), (False, _NONE, _NONE))
         held = None
         first = True
 
+        drop, nxt, ends = False, _NONE, _NONE
+
         def emit(b: pa.RecordBatch, fix: bool) -> pa.RecordBatch:
             to = np.minimum(b.column("next_us").to_numpy(), b.column("ends_us").to_numpy())
             if fix:
@@ -262,8 +264,9 @@ def version_history(snapshots: list[DataFrame], *, high: str = HIGH, keep_payloa
             )
 
         for b in batches_of(it):
-            if first and drop:
-                b = b.slice(1)
+            if first:
+                drop, nxt, ends = shared.value.get(part_of(b), (False, _NONE, _NONE))
+                b = b.slice(int(drop))
             first = False
             if b.num_rows:
                 if held is not None:

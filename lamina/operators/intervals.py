@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.ranged import batches_of, partition_id, ranged
+from lamina.operators.ranged import batches_of, numbered, part_of, ranged
 from lamina.session import pin
 
 HIGH = "9999-12-31 00:00:00"
@@ -79,6 +79,7 @@ def _edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ent, end = b.column("entity"), b.column("end_us").to_numpy()
         head, tail = ent[0].as_py(), ent[b.num_rows - 1].as_py()
         if first is None:
+            part = part_of(b)
             first, first_end = head, int(end[0])
         if head == first:
             first_end = max(first_end, int(end[pc.equal(ent, first).to_numpy(zero_copy_only=False)].max()))
@@ -86,7 +87,7 @@ def _edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_end = max(last_end, top) if tail == last else top
         last = tail
     if first is not None:
-        yield _arrow([(partition_id(), first, first_end, last, last_end)], ["part", "first", "first_end", "last", "last_end"], [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()])
+        yield _arrow([(part, first, first_end, last, last_end)], ["part", "first", "first_end", "last", "last_end"], [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
 
 #: Intervals of a map from which settled ones are taken out.
@@ -108,7 +109,7 @@ def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: st
         F.col("entity").isNotNull() & F.col("start_us").isNotNull() & (F.col("end_us") > F.col("start_us"))
     )
     spark = df.sparkSession
-    laid = pin(ranged(rows, ["entity", "start_us"], ["entity", "start_us"]))
+    laid = pin(numbered(ranged(rows, ["entity", "start_us"], ["entity", "start_us"])))
     edges = sorted((r.asDict() for r in laid.mapInArrow(_edges, "part int, first string, first_end long, last string, last_end long").collect()), key=lambda r: r["part"])
     carry: dict[int, tuple[str, int]] = {}  # partition -> entity that continues into it, its greatest end so far
     goes_on: dict[int, bool] = {}  # does the last entity of the partition continue in a later one
@@ -123,20 +124,22 @@ def spans(df: DataFrame, *, entity: Column, start: Column, end: Column, high: st
 
     def final(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole periods and gaps; a period open at either edge comes as 'begin' and 'end' halves."""
-        p = partition_id()
+        p = None
         carries, more = shared.value
         names, types = ["part", "entity", "span_kind", "start_us", "end_us"], [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         out: list[tuple] = []
         who, m = None, IntervalMap()
-        if p in carries:
-            who = carries[p][0]
-            m.insert(_OPEN, carries[p][1])
 
         def put(found: list[tuple[str, int, int]]) -> None:
             for kind, s, e in found:
                 out.append((p, who, "end", None, e) if s == _OPEN else (p, who, kind, s, e))
 
         for b in batches_of(it):
+            if p is None:
+                p = part_of(b)
+                if p in carries:
+                    who = carries[p][0]
+                    m.insert(_OPEN, carries[p][1])
             ent, start, end = b.column("entity").to_pylist(), b.column("start_us").to_pylist(), b.column("end_us").to_pylist()
             for e, s, t in zip(ent, start, end, strict=True):
                 if e != who:

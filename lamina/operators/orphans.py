@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.ranged import batches_of, partition_id, ranged
+from lamina.operators.ranged import batches_of, numbered, part_of, ranged
 from lamina.session import pin
 
 
@@ -59,7 +59,8 @@ def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column,
     p = p.select("ref_key", F.lit(0).cast("byte").alias("_ref"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
     both = r.unionByName(p).withColumns({"_k": F.xxhash64("ref_key"), "_h": F.xxhash64("_row")})
     # in a range the parents come first and in order; references need none
-    laid = pin(ranged(both, ["_k", "_ref", "_h"], ["_ref", F.when(F.col("_ref") == 0, F.col("_k"))]).select("_k", "_ref", "ref_key", "_row"))
+    laid = ranged(both, ["_k", "_ref", "_h"], ["_ref", F.when(F.col("_ref") == 0, F.col("_k"))])
+    laid = pin(numbered(laid.select("_k", "_ref", "ref_key", "_row")))
 
     def tail(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last parent of the range, and those that share its hash."""
@@ -68,11 +69,12 @@ def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column,
             k = b.column("_k").to_numpy()
             if last is None or k[-1] != last:
                 last, texts = int(k[-1]), []
+            part = part_of(b)
             texts += b.column("ref_key").filter(pa.array(k == last)).to_pylist()
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([last], pa.int64()), pa.array([texts], pa.list_(pa.string()))], ["part", "last", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.int64()), pa.array([texts], pa.list_(pa.string()))], ["part", "last", "texts"])
 
-    ends = {t["part"]: (t["last"], list(t["texts"])) for t in laid.filter("_ref = 0").select("_k", "ref_key").mapInArrow(tail, "part int, last long, texts array<string>").collect()}  # one row per range
+    ends = {t["part"]: (t["last"], list(t["texts"])) for t in laid.filter("_ref = 0").select("_k", "ref_key", "_part").mapInArrow(tail, "part int, last long, texts array<string>").collect()}  # one row per range
     carried, before = {}, None
     for part in range(max(ends, default=-1) + 2):
         carried[part] = before
@@ -83,11 +85,14 @@ def missing_references(refs: DataFrame, parents: DataFrame, *, ref_key: Column,
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, final = shared.value
-        seen = known.get(partition_id(), final)
-        hashes = [np.full(len(seen[1]), seen[0], np.int64)] if seen else []
-        texts = [pa.array(seen[1], pa.string())] if seen else []
+        hashes: list[np.ndarray] | None = None
+        texts: list[pa.Array] = []
         store: SortedKeys | None = None
         for b in batches_of(it):
+            if hashes is None:
+                seen = known.get(part_of(b), final)
+                hashes = [np.full(len(seen[1]), seen[0], np.int64)] if seen else []
+                texts = [pa.array(seen[1], pa.string())] if seen else []
             n = int((b.column("_ref").to_numpy() == 0).sum())
             if n:
                 hashes.append(b.column("_k").slice(0, n).to_numpy())

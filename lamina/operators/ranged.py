@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lamina.session import ship
 
@@ -36,8 +36,16 @@ def ranged(df: DataFrame, keys: list[str], sort: list[str | Column] | None = Non
     return out.sortWithinPartitions(*sort) if sort else out
 
 
-def partition_id() -> int:
-    return TaskContext.get().partitionId()
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the number of its partition in ``_part``, for a layout that is about to be pinned.
+
+    The number of a task would not do: in a union it counts the partitions of all sides.
+    """
+    return df.withColumn("_part", F.spark_partition_id())
+
+
+def part_of(b: pa.RecordBatch) -> int:
+    return b.column("_part")[0].as_py()
 
 
 def batches_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

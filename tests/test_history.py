@@ -117,3 +117,17 @@ def test_many_snapshots_of_many_entities(spark):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == brute(every)
+
+
+def test_histories_in_a_union(spark):
+    data = [("hot", at(i), "ab"[i // 7 % 2], None, 0, None) for i in range(300)]
+    df = spark.createDataFrame(data, DDL)
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = lambda: version_history([snapshot(df, "n", F.col("e"), F.col("t"), F.col("p"), F.col("x"))])
+        got = sorted((r.entity_id, r.payload, r.valid_from, r.valid_to) for r in one().unionByName(one()).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == sorted(brute(data) * 2)

@@ -45,3 +45,17 @@ def test_equal_hashes_are_told_apart_by_text():
     store = SortedKeys(np.array([1, 5, 5, 5, 9]), pa.array(["a", "b", "c", "d", "e"]))
     assert store.missing(np.array([5, 5, 5, 9, 2, 10]), pa.array(["d", "x", "b", "e", "a", "e"])).tolist() == [False, True, False, False, True, True]
     assert SortedKeys(np.empty(0, np.int64), pa.array([], pa.string())).missing(np.array([1]), pa.array(["a"])).tolist() == [True]
+
+
+def test_partitions_keep_their_numbers_in_a_union(spark):
+    refs = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(600)], "id int, key string")
+    parents = spark.createDataFrame([("hot",)] + [(f"k{i}",) for i in range(0, 600, 6)], "key string")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = lambda: missing_references(refs, parents, ref_key=F.col("key"), parent_key=F.col("key"), keep=["id"])
+        got = sorted(r.id for r in one().unionByName(one()).unionByName(one()).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == sorted([i for i in range(0, 600, 3) if i % 6] * 3)
