@@ -77,6 +77,7 @@ def age_band(birth: Column | str, as_of: Column) -> Column:
 
 def row_hash_of(columns: Iterable[str | Column]) -> Column:
     """SHA-256 over the columns' texts, trimmed and upper case, nulls marked: cosmetic differences do not count, positions do."""
+    # the marks of null and of a column end are fixed values
     parts = [F.coalesce(F.upper(F.trim(_col(c).cast("string"))), F.lit("<NULL>")) for c in columns]
     return F.sha2(F.concat_ws("||", *parts), 256)
 

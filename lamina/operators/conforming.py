@@ -5,19 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import UNKNOWN_KEY, row_hash_of, std_string
+from lamina.operators.asof import as_of
+from lamina.session import pin
 
 LOW, HIGH = "1900-01-01 00:00:00", "9999-12-31 23:59:59"
-#: A lookup side goes to every executor only up to this many rows, checked when the plan is made.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -41,29 +36,28 @@ def survive(df: DataFrame, keys: list[str], attributes: list[str], updated: str,
 def surrogate_keys(df: DataFrame, order: list[str], key: str, start: int = 0) -> DataFrame:
     """Dense keys from ``start + 1`` in the order of ``order``, without a single-partition window.
 
-    Rows are range-partitioned by the order; each partition adds the sizes of the ones before it.
+    Rows are range-partitioned by the order and pinned; a row's place in its partition plus the sizes of the
+    partitions before it is its key, so nothing is shuffled a second time.
     """
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    from lamina.session import pin
-
-    laid = pin(laid)
-    sizes = sorted((r["_p"], r["n"]) for r in laid.groupBy("_p").agg(F.count("*").alias("n")).collect())  # one row per partition
-    offset, table = start, []
-    for p, n in sizes:
-        table.append((p, offset))
-        offset += n
-    if not table:
-        return laid.drop("_p").withColumn(key, F.lit(None).cast("long"))
-    offs = F.create_map(*[F.lit(x) for kv in table for x in kv])
-    w = Window.partitionBy("_p").orderBy(*order)
-    return laid.withColumn(key, (F.row_number().over(w) + F.element_at(offs, F.col("_p"))).cast("long")).drop("_p")
+    place = F.monotonically_increasing_id()  # partition number in the upper bits, place in it in the lower 33
+    laid = pin(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = laid.select("*", place.alias("_at"))
+    sizes = {r["p"]: r["n"] for r in at.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # one row per partition
+    before, offset = [], start
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(offset)
+        offset += sizes.get(p, 0)
+    if not before:
+        return laid.withColumn(key, F.lit(None).cast("long"))
+    base = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.shiftright("_at", 33).cast("int"))
+    return at.withColumn(key, base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
 
 
 def map_codes(df: DataFrame, mapping: DataFrame, *, domain: str, system: str, source: str, target: str) -> DataFrame:
     """``target`` from the code table (one row per code; duplicates collapse), UNKNOWN where none applies."""
     m = mapping.filter((F.col("domain") == domain) & (F.col("source_system") == system) & (F.lower(F.col("is_active").cast("string")) == "true"))
     m = m.groupBy(std_string("source_code").alias("_code")).agg(F.min("standard_code").alias("_std"))
-    return df.join(small(m), std_string(source) == F.col("_code"), "left").withColumn(target, F.coalesce("_std", F.lit("UNKNOWN"))).drop("_code", "_std")
+    return df.join(m, std_string(source) == F.col("_code"), "left").withColumn(target, F.coalesce("_std", F.lit("UNKNOWN"))).drop("_code", "_std")
 
 
 def resolve(df: DataFrame, xref: DataFrame, candidates: list[Column], *, uid: str, golden: str, out: str) -> DataFrame:
@@ -78,19 +72,26 @@ def resolve(df: DataFrame, xref: DataFrame, candidates: list[Column], *, uid: st
 
 
 def lookup_current(fact: DataFrame, dim: DataFrame, *, business_key: Column | str, dim_business_key: str, dim_key: str, out: str, current: str | None = "is_current") -> DataFrame:
-    """Surrogate key of the current member, -1 where there is none."""
+    """Surrogate key of the current member, -1 where there is none. Of several current rows the greatest key counts."""
     d = dim.filter(F.col(current)) if current and current in dim.columns else dim
-    d = d.groupBy(F.col(dim_business_key).alias("_bk")).agg(F.max(dim_key).alias("_key"))
+    d = d.filter(F.col(dim_business_key).isNotNull()).groupBy(F.col(dim_business_key).alias("_bk")).agg(F.max(dim_key).alias("_key"))
     bk = F.col(business_key) if isinstance(business_key, str) else business_key
-    return fact.join(small(d), bk == F.col("_bk"), "left").withColumn(out, F.coalesce("_key", F.lit(UNKNOWN_KEY))).drop("_bk", "_key")
+    return fact.join(d, bk == F.col("_bk"), "left").withColumn(out, F.coalesce("_key", F.lit(UNKNOWN_KEY))).drop("_bk", "_key")
 
 
 def lookup_at(fact: DataFrame, dim: DataFrame, *, business_key: Column | str, at: str, dim_business_key: str, dim_key: str, out: str) -> DataFrame:
-    """Surrogate key of the version valid at the event: equi-join with a half-open range, -1 where there is none."""
-    d = dim.select(F.col(dim_business_key).alias("_bk"), F.col("effective_from_ts").alias("_f"), F.col("effective_to_ts").alias("_t"), F.col(dim_key).alias("_key"))
+    """Surrogate key of the version valid at the event, -1 where there is none; never more rows than ``fact`` has.
+
+    Each pair of key and instant is asked once, through :func:`as_of`: of overlapping versions the one that
+    began last wins, then the smallest key.
+    """
     bk = F.col(business_key) if isinstance(business_key, str) else business_key
-    hit = (bk == F.col("_bk")) & (F.col(at) >= F.col("_f")) & (F.col(at) < F.col("_t"))
-    return fact.join(small(d), hit, "left").withColumn(out, F.coalesce("_key", F.lit(UNKNOWN_KEY))).drop("_bk", "_f", "_t", "_key")
+    f = fact.withColumns({"_bk": bk.cast("string"), "_ts": F.col(at).cast("timestamp")})
+    asked = f.select("_bk", "_ts").distinct()
+    found = as_of(asked, dim, event_id=["_bk", "_ts"], event_entity=F.col("_bk"), event_at="_ts", version_entity=F.col(dim_business_key).cast("string"), valid_from="effective_from_ts", valid_to="effective_to_ts", take=[dim_key])
+    found = found.select(F.col("_bk").alias("_k"), F.col("_ts").alias("_t"), F.col(dim_key).alias("_key"))
+    hit = (F.col("_bk") == F.col("_k")) & (F.col("_ts") == F.col("_t"))
+    return f.join(found, hit, "left").withColumn(out, F.coalesce("_key", F.lit(UNKNOWN_KEY))).drop("_bk", "_ts", "_k", "_t", "_key")
 
 
 def seed_unknown(dim: DataFrame, *, key: str, business_key: str, extra: Mapping[str, object] | None = None, members: Mapping[int, str] | None = None) -> DataFrame:

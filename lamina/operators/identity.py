@@ -9,15 +9,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.scalar import name_similarity, record_uid
-from lamina.session import pin
+from lamina.functions.scalar import age_band, name_similarity, postal_area, record_uid, token_of
+from lamina.operators.hot import lookup_join
+from lamina.session import pin, pin_counted
 
 #: the common columns of every source
 CONTRACT = ("record_uid", "source_system", "source_id", "given", "family", "birth_date", "sex", "card", "postal", "phone", "updated_ts")
-#: score from which a pair is linked, and from which it goes to review
+#: score from which a pair is linked, and from which it goes to review (fixed values)
 LINK_AT, REVIEW_AT = 14.0, 8.0
-#: blocks with more records are reported, not paired
-MAX_BLOCK = 200
+#: blocks with more records are reported (fixed value)
+REPORT_FROM = 200
+#: records of a block that one tile of its pairs takes from either side, on average
+TILE = 1_000
 
 
 def normalize(df: DataFrame, system: str, columns: dict[str, str], fixes: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -43,14 +46,23 @@ def block_sizes(b: DataFrame) -> DataFrame:
     return b.groupBy("block").agg(F.count("*").alias("records"))
 
 
-def oversized(b: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
+def oversized(b: DataFrame, most: int = REPORT_FROM) -> DataFrame:
+    """Blocks worth a look, because their keys are common; their records are paired like all others."""
     return block_sizes(b).filter(F.col("records") > most)
 
 
-def block_pairs(b: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
-    """Distinct ``uid_a < uid_b`` inside blocks of 2 to ``most`` records; larger blocks are in :func:`oversized`."""
-    fit = b.join(block_sizes(b).filter(F.col("records").between(2, most)), "block")
-    return fit.select("block", F.col("record_uid").alias("uid_a")).join(fit.select("block", F.col("record_uid").alias("uid_b")), "block").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct()
+def block_pairs(b: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct ``uid_a < uid_b`` that share a block, however large it is.
+
+    A large block is cut into tiles: its records fall into parts by a hash, and every two parts meet in one
+    tile, so that no task gets a whole block and no pair is lost.
+    """
+    sized = b.join(block_sizes(b).filter("records > 1").select("block", F.ceil(F.col("records") / tile).alias("_n")), "block")
+    part = sized.withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")))
+    low = part.select("block", F.col("record_uid").alias("x"), F.col("_p").alias("i"), F.explode(F.expr("sequence(_p, _n - 1)")).alias("j"))
+    high = part.select("block", F.col("record_uid").alias("y"), F.explode(F.expr("sequence(0L, _p)")).alias("i"), F.col("_p").alias("j"))
+    met = low.join(high, ["block", "i", "j"]).filter("x <> y and (i < j or x < y)")
+    return met.select(F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b")).distinct()
 
 
 def with_sides(pairs: DataFrame, people: DataFrame, uid: str = "record_uid") -> DataFrame:
@@ -118,19 +130,42 @@ def review_queue(decided: DataFrame) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, uid: str = "record_uid") -> DataFrame:
     """``record_uid, component``: the smallest identifier of each connected component.
 
-    Minimum labels with pointer jumping: every round a label also takes the label of its label, so
-    chains halve. Runs until no label changes.
+    Every round, each vertex chooses the neighbour (or itself) whose hash is smallest, and the edges
+    are contracted to the chosen ones, so that the graph shrinks by a constant factor whatever its shape; loops
+    and repeats drop out. The trees of those that left are then resolved from the last to the first. Runs until no edge
+    is left. Edges between unknown vertices count; a null side ties nothing.
     """
-    both = pin(edges.select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).unionByName(edges.select(F.col("uid_b").alias("u"), F.col("uid_a").alias("v"))).distinct())
-    lab = pin(vertices.select(F.col(uid).alias("u"), F.col(uid).alias("c")).distinct())
-    while True:
-        near = both.join(lab.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        step = lab.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        jump = step.join(lab.select(F.col("u").alias("c"), F.col("c").alias("j")), "c", "left").select("u", "old", F.least("c", "j").alias("c"))
-        new = pin(jump)
-        if not new.filter("old <> c").limit(1).count():
-            return new.select(F.col("u").alias(uid), F.col("c").alias("component"))
-        lab = new.select("u", "c")
+    e = edges.select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).filter("u is not null and v is not null and u <> v")
+    graph, n = pin_counted(_both_ways(e))
+    trees: list[DataFrame] = []
+    while n:
+        mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("r"))
+        low = graph.groupBy("u").agg(F.min(mark("v")).alias("m"), F.count("*").alias("cnt")).select("u", F.least("m", mark("u"))["r"].alias("p"), "cnt")
+        low = pin(low)
+        # who is nobody's choice leaves the graph; who is chosen goes on, joined to its own choice
+        trees.append(pin(low.filter("u <> p").select("u", "p").join(low.select(F.col("p").alias("u")).distinct(), "u", "left_anti")))
+        one = lookup_join(graph, low, "u", n).select("v", F.col("p").alias("pu"))
+        two = lookup_join(one, low.withColumnRenamed("u", "v"), "v", n)
+        graph, n = pin_counted(_both_ways(two.filter("pu <> p").select(F.col("pu").alias("u"), F.col("p").alias("v"))))
+    done: list[DataFrame] = []  # u, root; the sets of the rounds shrink, so reading the later ones again stays cheap
+    for tree in reversed(trees):
+        if done:
+            later = reduce(DataFrame.unionByName, done).select(F.col("u").alias("p"), "root")
+            tree = tree.join(later, "p", "left").select("u", F.coalesce("root", "p").alias("root"))
+        else:
+            tree = tree.select("u", F.col("p").alias("root"))
+        done.append(pin(tree))
+    every = vertices.select(F.col(uid).alias("u")).distinct()
+    if not done:
+        return every.select(F.col("u").alias(uid), F.col("u").alias("component"))
+    rooted = every.join(reduce(DataFrame.unionByName, done), "u", "left").select("u", F.coalesce("root", "u").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("u").alias("component"))
+    return rooted.join(first, "root").select(F.col("u").alias(uid), "component")
+
+
+def _both_ways(e: DataFrame) -> DataFrame:
+    """Each edge in either direction, once."""
+    return e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
 
 
 def golden_ids(clusters: DataFrame, previous: DataFrame | None = None, prefix: str = "P") -> tuple[DataFrame, DataFrame | None]:
@@ -160,23 +195,34 @@ def confidence(xref: DataFrame, linked: DataFrame, alone: float = 99.0) -> DataF
     return n.join(e, "patient_golden_id", "left").withColumn("match_confidence", F.coalesce("_m", F.lit(alone))).drop("_m")
 
 
-def _pairs(groups: DataFrame, uid: str, group: str) -> DataFrame:
-    g = groups.select(F.col(uid).alias("uid"), F.col(group).alias("g")).distinct()
-    return g.select("g", F.col("uid").alias("uid_a")).join(g.select("g", F.col("uid").alias("uid_b")), "g").filter("uid_a < uid_b").select("uid_a", "uid_b")
+#: attributes of a golden record that identify a person, kept apart from the rest
+PERSONAL = ("given", "family", "birth_date", "card", "postal", "phone")
+
+
+def split_personal(golden: DataFrame, as_of: Column, *, salt: str, key: str = "patient_golden_id") -> tuple[DataFrame, DataFrame]:
+    """(record without personal attributes, personal attributes): the former has birth year, age band, postal area and a card token instead."""
+    open_part = golden.select("*", F.year("birth_date").alias("birth_year"), age_band("birth_date", as_of).alias("age_band"), postal_area("postal").alias("fsa"), token_of("card", salt).alias("patient_token")).drop(*PERSONAL)
+    return open_part, golden.select(key, *PERSONAL)
+
+
+def _shared_pairs(cells: DataFrame) -> int:
+    """Pairs of records that share a cell, each once, from columns ``uid, c``; the pairs are never formed.
+
+    Records with the same set of cells are counted together, so only different sets that share a cell meet.
+    """
+    sets = cells.groupBy("uid").agg(F.sort_array(F.collect_set("c")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    e = pin(sets).select("s", "n", F.explode("s").alias("c"))
+    met = e.select("c", F.col("s").alias("s1"), F.col("n").alias("n1")).join(e.select("c", F.col("s").alias("s2"), F.col("n").alias("n2")), "c").filter("s1 <= s2").select("s1", "s2", "n1", "n2").distinct()
+    pairs = F.when(F.col("s1") == F.col("s2"), F.expr("cast(n1 as decimal(19,0)) * (n1 - 1) div 2")).otherwise(F.expr("cast(cast(n1 as decimal(19,0)) * n2 as bigint)"))
+    return int(met.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0])
 
 
 def _pair_counts(truth: DataFrame, predicted: DataFrame, uid: str, truth_group: str, predicted_group: str) -> tuple[int, int, int]:
-    """True positive, false positive and false negative pairs, counted from group sizes without forming the pairs."""
-    one = lambda df, g, c: df.select(F.col(uid).alias("uid"), F.col(g).alias(c)).dropna().distinct()
+    """True positive, false positive and false negative pairs; a pair counts once even if it shares several groups."""
+    one = lambda df, g, c: df.select(F.col(uid).alias("uid"), F.col(g).cast("string").alias(c)).dropna().distinct()
     t, p = pin(one(truth, truth_group, "t")), pin(one(predicted, predicted_group, "p"))
-    if any(df.groupBy("uid").count().filter("count > 1").limit(1).count() for df in (t, p)):
-        # a record in several groups: a pair may share more than one of them and counts once
-        a, b = _pairs(t, "uid", "t"), _pairs(p, "uid", "p")
-        return a.intersect(b).count(), b.subtract(a).count(), a.subtract(b).count()
-    n = F.col("count")
-    total = lambda df, *by: int(df.groupBy(*by).count().agg(F.coalesce(F.sum(F.expr("cast(count as decimal(19,0)) * (count - 1) div 2")), F.lit(0))).first()[0])
-    tp = total(t.join(p, "uid"), "t", "p")
-    return tp, total(p, "p") - tp, total(t, "t") - tp
+    tp = _shared_pairs(t.join(p, "uid").select("uid", F.struct("t", "p").alias("c")))
+    return tp, _shared_pairs(p.withColumnRenamed("p", "c")) - tp, _shared_pairs(t.withColumnRenamed("t", "c")) - tp
 
 
 def pairwise_evaluation(truth: DataFrame, predicted: DataFrame, uid: str = "record_uid", truth_group: str = "person", predicted_group: str = "patient_golden_id") -> DataFrame:

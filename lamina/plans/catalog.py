@@ -381,7 +381,7 @@ _P = "(select 'C|' || lpad(c_custkey::varchar, 9, '0') as u, c_name as fam, c_mk
 _KEYS = {"card": ["card"], "area": ["postal", "given"]}
 _BLOCKS = f"(select u, 'card|' || card as block from {_P} where card is not null union select u, 'area|' || pos || '|' || giv from {_P} where pos is not null and giv is not null)"
 _SIZES = f"(select block, count(*) n from {_BLOCKS} group by 1)"
-_PAIRS = f"(select distinct a.u as uid_a, b.u as uid_b from {_BLOCKS} a join {_BLOCKS} b on a.block = b.block and a.u < b.u join {_SIZES} s on s.block = a.block where s.n between 2 and 200)"
+_PAIRS = f"(select distinct a.u as uid_a, b.u as uid_b from {_BLOCKS} a join {_BLOCKS} b on a.block = b.block and a.u < b.u join {_SIZES} s on s.block = a.block where s.n > 1)"
 _SCORE = f"""(select uid_a, uid_b, case when a.card = b.card then 12.0 else -6.0 end + case when 1 - levenshtein(a.fam, b.fam)::double / greatest(length(a.fam), length(b.fam), 5) >= 0.9 then 4.0 else -3.0 end
  + case when 1 - levenshtein(a.giv, b.giv)::double / greatest(length(a.giv), length(b.giv), 5) >= 0.88 then 3.0 else -2.0 end + case when a.pos = b.pos then 3.0 when left(a.pos, 3) = left(b.pos, 3) then 1.0 else -1.0 end as match_score
  from {_PAIRS} p join {_P} a on a.u = uid_a join {_P} b on b.u = uid_b)"""

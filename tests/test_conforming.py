@@ -86,3 +86,14 @@ def test_resolve_in_order(spark):
 def test_upsert(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
     assert rows(cf.upsert(a, b, ["k"])) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def test_overlapping_versions_do_not_multiply_facts(spark):
+    ddl = "bk string, k long, effective_from_ts timestamp, effective_to_ts timestamp"
+    t = lambda d: datetime(2024, 1, d)
+    d = spark.createDataFrame([("a", 1, t(1), t(20)), ("a", 2, t(5), t(10)), ("a", 3, t(5), t(10)), (None, 9, t(1), t(20))], ddl)
+    f = spark.createDataFrame([(1, "a", t(2)), (2, "a", t(6)), (2, "a", t(6)), (3, "a", t(12)), (4, "a", t(25)), (5, None, t(2)), (6, "a", None), (7, "b", t(2))], "id int, who string, at timestamp")
+    got = rows(cf.lookup_at(f, d, business_key="who", at="at", dim_business_key="bk", dim_key="k", out="key"), "id", "key")
+    assert got == [(1, 1), (2, 2), (2, 2), (3, 1), (4, -1), (5, -1), (6, -1), (7, -1)]
+    cur = cf.lookup_current(f, d.withColumn("is_current", F.lit(True)), business_key="who", dim_business_key="bk", dim_key="k", out="key")
+    assert rows(cur, "id", "key") == [(1, 3), (2, 3), (2, 3), (3, 3), (4, 3), (5, -1), (6, 3), (7, -1)]

@@ -11,9 +11,43 @@ def test_normalize_and_blocks(spark):
     assert rows(idn.blocks(n, {"F": [F.col("family"), F.col("given")]})) == [("EHR|1", "F|LEE|Ann")]
 
 
-def test_oversized_blocks_are_reported_not_paired(spark):
+def test_oversized_blocks_are_reported_and_paired_in_tiles(spark):
     b = spark.createDataFrame([(f"r{i}", "big") for i in range(6)] + [("r1", "s"), ("r2", "s"), ("r3", "alone")], "record_uid string, block string")
-    assert rows(idn.block_pairs(b, 5)) == [("r1", "r2")] and rows(idn.oversized(b, 5)) == [("big", 6)]
+    want = [(f"r{i}", f"r{j}") for i in range(6) for j in range(i + 1, 6)]
+    for tile in (1, 2, 4, 100):
+        assert rows(idn.block_pairs(b, tile)) == want
+    assert rows(idn.oversized(b, 5)) == [("big", 6)]
+    assert rows(idn.block_pairs(b.limit(0))) == []
+
+
+def test_components_match_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    n = 120
+    edges = [(f"n{rng.randrange(n):03}", f"n{rng.randrange(n):03}") for _ in range(70)] + [("n000", f"n{i:03}") for i in range(0, 60, 5)] + [("n001", "n001"), (None, "n002")]
+    root = {f"n{i:03}": f"n{i:03}" for i in range(n)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a and b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    v = spark.createDataFrame([(x,) for x in root], "record_uid string")
+    assert rows(idn.components(v, spark.createDataFrame(edges, "uid_a string, uid_b string"))) == sorted((x, find(x)) for x in root)
+    assert len(rows(idn.components(v, spark.createDataFrame([], "uid_a string, uid_b string")))) == n
+
+
+def test_personal_attributes_are_split_off(spark):
+    g = spark.createDataFrame([("g", "A", "B", "1980-06-01", "123", "K1A0B1", "555", "F")], "patient_golden_id string, given string, family string, birth_date string, card string, postal string, phone string, sex string").withColumn("birth_date", F.to_date("birth_date"))
+    rest, personal = idn.split_personal(g, F.lit("2024-01-01").cast("date"), salt="s")
+    r = rest.first()
+    assert (r.birth_year, r.age_band, r.fsa, r.sex) == (1980, "35-49", "K1A", "F") and not set(rest.columns) & set(idn.PERSONAL)
+    assert personal.first().family == "B"
 
 
 def test_scores_bands_and_missing(spark):
@@ -60,14 +94,12 @@ def test_evaluation_sees_false_merges(spark):
     assert (none.precision, none.recall, none.f1) == (0.0, 0.0, 0.0)
 
 
-def test_pairwise_evaluation_counts_without_pairs(spark, monkeypatch):
+def test_pairwise_evaluation_counts_without_pairs(spark):
     n = 100_000  # five billion pairs
     t = spark.range(n).select(F.col("id").alias("record_uid"), F.lit(1).alias("person"))
     p = t.select("record_uid", (F.col("record_uid") % 2).alias("patient_golden_id"))
     pairs = lambda k: k * (k - 1) // 2
-    with monkeypatch.context() as m:
-        m.setattr(idn, "_pairs", None)
-        r = idn.pairwise_evaluation(t, p).first()
+    r = idn.pairwise_evaluation(t, p).first()
     assert (r.tp, r.fp, r.fn) == (2 * pairs(n // 2), 0, pairs(n) - 2 * pairs(n // 2))
     # records of several groups: a pair that shares two of them counts once
     t = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, None)], "record_uid int, person string")
