@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.scalar import compact_date, days_between, denied_amount
 from lamina.operators.quality import QualityGateError
 
 #: characters of the interchange header; shorter contents are no interchange (fixed value)
@@ -57,32 +58,50 @@ def _first(cond: Column, value: Column) -> Column:
     return F.min(F.when(cond, F.struct("pos", value.alias("v"))))["v"]
 
 
+def _header(first: Column, i: int) -> Column:
+    """Sender or receiver: as the transaction names it, else as the interchange does."""
+    return F.coalesce(first, _running(_tag("ISA"), F.nullif(F.trim(_el(i)), F.lit(""))))
+
+
+def _line_parts(segs: Column) -> Column:
+    """Service lines of a claim from its LX and SV1 segments in order: a line is an LX with the first SV1 before the next LX."""
+    el = lambda e, i: F.nullif(F.get(e, F.lit(i)), F.lit(""))
+    at = lambda tag: F.filter(F.transform(segs, lambda x, i: F.struct(i.alias("i"), x["e"].alias("e"))), lambda x: F.get(x["e"], F.lit(0)) == tag)
+    lx, sv = at("LX"), at("SV1")
+
+    def line(x: Column, k: Column) -> Column:
+        nxt = F.coalesce(F.get(lx, k + 1)["i"], F.size(segs))
+        one = F.get(F.filter(sv, lambda y: (y["i"] > x["i"]) & (y["i"] < nxt)), F.lit(0))["e"]
+        return F.struct((k + 1).alias("line_no"), el(x["e"], 1).alias("line_number"), _after(el(one, 1)).alias("service_code"), el(one, 2).alias("line_amount"), el(one, 4).alias("line_units"))
+
+    return F.transform(lx, line)
+
+
 def parse_claims(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
     """One row per service line; a claim without lines gives one row with ``parse_error``.
 
-    Equal (claim, line, service) rows of a file collapse to the first.
+    ``claim_no`` and ``line_no`` count claims of the file and lines of the claim. The payer is the one the claim's
+    subscriber loop names, else the loop's own payer field, else the one named last. Equal (claim, line, service) rows
+    of a file collapse to the first. One shuffle by file serves all windows and aggregates.
     """
     nm1 = lambda q: _tag("NM1") & (_el(1) == q)
+    loop = _running(nm1("PR") | _tag("SBR"), F.when(nm1("PR"), _el(9)))  # null from an SBR on until the payer is named
     ctx = {
-        "interchange_control_number": _running(_tag("ISA"), _el(13)), "transaction_set": _running(_tag("ST"), _el(1)), "submitter_id": _running(nm1("41"), _el(9)),
-        "receiver_id": _running(nm1("40"), _el(9)), "transaction_date": _running(_tag("BHT"), _el(4)), "billing_provider_npi": _running(nm1("85"), _el(9)),
-        "subscriber_member_id": _running(nm1("IL"), _el(9)), "payer_id": _running(nm1("PR") | _tag("SBR"), _el(9)),
+        "interchange_control_number": _running(_tag("ISA"), _el(13)), "transaction_set": _running(_tag("ST"), _el(1)), "submitter_id": _header(_running(nm1("41"), _el(9)), 6),
+        "receiver_id": _header(_running(nm1("40"), _el(9)), 8), "transaction_date": _running(_tag("BHT"), _el(4)), "billing_provider_npi": _running(nm1("85"), _el(9)),
+        "subscriber_member_id": _running(nm1("IL"), _el(9)), "payer_id": F.coalesce(loop, _running(_tag("SBR"), _el(9)), _running(nm1("PR") & _el(9).isNotNull(), _el(9))),
     }
     s = _claims_counted(split_segments(files, content, file), ctx, "CLM")
     at = lambda i: F.max(F.when(_tag("CLM"), _el(i)))
-    head = s.groupBy("file", "claim_no").agg(
+    out = s.groupBy("file", "claim_no").agg(
         *[F.max(F.when(_tag("CLM"), F.col(c))).alias(c) for c in ctx], at(1).alias("claim_number"), at(2).alias("billed_amount"),
         F.get(F.split(at(5), ":"), F.lit(0)).alias("place_of_service"), _first(_tag("DTP") & (_el(1) == "472"), _el(3)).alias("service_date"), _first(_tag("HI"), _after(_el(1))).alias("primary_diagnosis_code"),
+        F.sort_array(F.collect_list(F.when(_tag("LX", "SV1"), F.struct("pos", "e")))).alias("_segs"),
     )
-    # a line is an LX with the SV1 that follows before the next LX
-    w = Window.partitionBy("file", "claim_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = s.withColumn("line_no", F.sum(F.when(_tag("LX"), 1).otherwise(0)).over(w)).filter("line_no > 0")
-    lines = lines.groupBy("file", "claim_no", "line_no").agg(
-        F.max(F.when(_tag("LX"), _el(1))).alias("line_number"), _first(_tag("SV1"), _after(_el(1))).alias("service_code"), _first(_tag("SV1"), _el(2)).alias("line_amount"), _first(_tag("SV1"), _el(4)).alias("line_units"),
-    )
-    out = head.join(lines, ["file", "claim_no"], "left").withColumn("parse_error", F.when(F.col("line_no").isNull(), F.lit(NO_LINES)))
+    out = out.withColumn("_line", F.explode_outer(_line_parts(F.col("_segs")))).drop("_segs").select("*", "_line.*").drop("_line")
+    out = out.withColumn("parse_error", F.when(F.col("line_no").isNull(), F.lit(NO_LINES)))
     rn = F.row_number().over(Window.partitionBy("file", "claim_number", "line_number", "service_code").orderBy("claim_no", "line_no"))
-    return out.withColumn("_rn", rn).filter("_rn = 1").drop("_rn", "line_no")
+    return out.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
 def parse_remittances(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
@@ -123,16 +142,48 @@ def unmatched_remittances(remits: DataFrame, claims: DataFrame) -> DataFrame:
     return remits.select("claim_number").distinct().join(claims.select("claim_number").distinct(), "claim_number", "left_anti")
 
 
+def reconcile_remittances(remits: DataFrame, claims: DataFrame, warn_pct: float = 5.0) -> DataFrame:
+    """One row ``remitted, unmatched, unmatched_pct, is_warning`` over distinct claim numbers."""
+    paid = remits.filter("claim_number is not null").select("claim_number").distinct()
+    sent = claims.select(F.col("claim_number").alias("_c")).filter("_c is not null").distinct()
+    both = paid.join(sent, F.col("claim_number") == F.col("_c"), "left").agg(F.count("*").alias("remitted"), F.count_if(F.col("_c").isNull()).alias("unmatched"))
+    pct = F.coalesce(F.round(F.try_divide(F.col("unmatched") * 100.0, F.col("remitted")), 4), F.lit(0.0))
+    return both.withColumn("unmatched_pct", pct).withColumn("is_warning", F.col("unmatched_pct") > warn_pct)
+
+
+#: claim status codes of approved and of refused claims (fixed values)
+APPROVED, REFUSED = ("1", "2"), "4"
+
+
 def claims_with_payment(claims: DataFrame, remits: DataFrame) -> DataFrame:
-    """Claim headers with line totals, left-joined with their remittances; reloaded files count once."""
+    """Claim headers with line totals, left-joined with their remittances; reloaded files count once.
+
+    Header values are those of the claim's first row by (file, claim, line) that has one; a claim without lines keeps its
+    header and has the bill of its own segment. Of a line or payment that several files hold, the first file's counts.
+    """
     dec = lambda c: F.col(c).try_cast("decimal(18,2)")
-    c = claims.dropDuplicates(["claim_number", "line_number", "service_code"])
-    head = c.groupBy("claim_number").agg(
-        F.min_by("payer_id", "line_number").alias("payer_id"), F.min_by("subscriber_member_id", "line_number").alias("subscriber_member_id"), F.max(dec("billed_amount")).alias("billed_amount"),
-        F.sum(dec("line_amount")).alias("line_total"), F.count("line_number").alias("line_count"), F.min("service_date").alias("service_date"),
-    )
-    r = remits.dropDuplicates(["claim_number", "check_or_eft_number"]).groupBy("claim_number").agg(
-        F.max("claim_status_code").alias("claim_status_code"), F.sum(dec("paid_amount")).alias("paid_amount"), F.sum(dec("patient_responsibility")).alias("patient_responsibility"),
-        F.sum(F.aggregate("adjustments", F.lit(0).cast("decimal(18,2)"), lambda a, t: (a + F.coalesce(t["amount"], F.lit(0))).cast("decimal(18,2)"))).alias("adjustment_amount"), F.max("payment_date").alias("payment_date"),
+    place = F.struct("file", "claim_no", F.coalesce("line_no", F.lit(0)).alias("line_no"))
+    head_cols = ("payer_id", "subscriber_member_id", "billing_provider_npi", "primary_diagnosis_code", "service_date", "transaction_date", "billed_amount")
+    line_key = ["claim_number", "line_number", "service_code"]
+    rows = claims.groupBy(*line_key).agg(F.min(F.struct(place.alias("p"), "line_no", "line_amount", *head_cols)).alias("r")).select(*line_key, "r.*")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("p", F.col(c).alias("v"))))["v"]
+    head = rows.groupBy("claim_number").agg(
+        *[first(c).alias(c) for c in head_cols], F.sum(F.when(F.col("line_no").isNotNull(), dec("line_amount"))).alias("line_total"), F.count("line_no").alias("line_count"),
+    ).withColumnsRenamed({"subscriber_member_id": "patient_source_id", "billing_provider_npi": "hospital_id", "billed_amount": "_bill", "transaction_date": "submission_date"})
+    pay_key = ["claim_number", "check_or_eft_number"]
+    pay_cols = ("claim_status_code", "payment_date", "paid_amount", "patient_responsibility", "adjustments", "adjustment_reason")
+    once = remits.groupBy(*pay_key).agg(F.min(F.struct("file", "claim_no", *pay_cols)).alias("r")).select(*pay_key, "r.*").withColumn("p", F.struct("file", "claim_no"))
+    adjusted = F.aggregate("adjustments", F.lit(0).cast("decimal(18,2)"), lambda a, t: (a + F.coalesce(t["amount"], F.lit(0))).cast("decimal(18,2)"))
+    r = once.groupBy("claim_number").agg(
+        first("claim_status_code").alias("claim_status_code"), first("payment_date").alias("payment_date"), first("adjustment_reason").alias("denial_reason_code"),
+        F.sum(dec("paid_amount")).alias("paid_amount"), F.sum(dec("patient_responsibility")).alias("patient_responsibility"), F.sum(adjusted).alias("adjustment_amount"),
     )
-    return head.join(r, "claim_number", "left")
+    j = head.join(r, "claim_number", "left")
+    j = j.withColumn("billed_amount", F.coalesce("line_total", dec("_bill")).cast("decimal(18,2)")).drop("_bill")
+    j = j.withColumns({c: compact_date(c) for c in ("service_date", "submission_date", "payment_date")})
+    status = F.col("claim_status_code")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    denied = denied_amount("claim_status_code", "billed_amount", "adjustment_amount").cast("decimal(18,2)")
+    j = j.withColumns({"is_adjudicated": status.isNotNull(), "is_approved": yes(status.isin(*APPROVED)), "is_denied": yes(status == REFUSED), "denied_amount": denied, "days_to_payment": days_between("submission_date", "payment_date")})
+    # what was billed and not denied counts as approved, once a claim is decided
+    return j.withColumn("approved_amount", F.when(F.col("is_adjudicated"), (F.col("billed_amount") - F.col("denied_amount")).cast("decimal(18,2)")))

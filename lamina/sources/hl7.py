@@ -10,8 +10,8 @@ from lamina.operators.quality import QualityGateError
 #: result column -> (segment, field index after splitting on the bar, component from 0 or None) (fixed wire positions)
 POSITIONS = {
     "message_control_id": ("MSH", 9, None), "sending_facility": ("MSH", 3, None), "message_ts": ("MSH", 6, None), "patient_id": ("PID", 3, 0), "encounter_id": ("PV1", 19, None),
-    "department_id": ("PV1", 3, 0), "ordering_doctor_id": ("PV1", 8, 0), "placer_order_id": ("OBR", 2, None), "order_ts": ("OBR", 6, None), "collect_ts": ("OBR", 7, None),
-    "set_id": ("OBX", 1, None), "value_type": ("OBX", 2, None), "loinc_code": ("OBX", 3, 0), "result_value": ("OBX", 5, None), "result_unit": ("OBX", 6, 0),
+    "department_id": ("PV1", 3, None), "ordering_doctor_id": ("PV1", 8, None), "placer_order_id": ("OBR", 2, None), "order_ts": ("OBR", 6, None), "collect_ts": ("OBR", 7, None),
+    "set_id": ("OBX", 1, None), "value_type": ("OBX", 2, None), "loinc_code": ("OBX", 3, 0), "result_value": ("OBX", 5, None), "result_unit": ("OBX", 6, None),
     "abnormal_flag": ("OBX", 8, None), "result_status": ("OBX", 11, None),
 }
 NO_RESULT = "No OBX segment in message"
@@ -50,12 +50,13 @@ def parse_results(files: DataFrame, content: str = "content", keep: tuple[str, .
     """
     m = split_messages(files, content)
     first = lambda tag: F.get(F.filter("segments", lambda s: s.startswith(tag)), F.lit(0))
-    obx = F.filter(F.transform("segments", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].startswith("OBX"))
-    rows = m.select(*keep, "message_no", "segments", F.explode_outer(obx).alias("x"))
-    orders = F.filter(F.slice("segments", 1, F.coalesce(F.col("x.i") + 1, F.size("segments"))), lambda s: s.startswith("OBR"))
-    rows = rows.withColumn("OBX", F.col("x.s")).withColumn("OBR", F.when(F.size(orders) > 0, F.element_at(orders, -1)))
-    for tag in ("MSH", "PID", "PV1"):
-        rows = rows.withColumn(tag, first(tag))
+    at = lambda tag: F.filter(F.transform("segments", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].startswith(tag))
+    m = m.select(*keep, "message_no", *[first(tag).alias(tag) for tag in ("MSH", "PID", "PV1")], at("OBX").alias("_x"), at("OBR").alias("_r"))
+    # results and orders are paired inside the message; only the pair goes on, not the message
+    before = lambda i: F.filter("_r", lambda r: r["i"] < i)
+    last = lambda a: F.get(a, F.size(a) - 1)["s"]
+    rows = m.withColumn("x", F.explode_outer(F.transform("_x", lambda x: F.struct(x["s"].alias("obx"), last(before(x["i"])).alias("obr")))))
+    rows = rows.withColumns({"OBX": F.col("x.obx"), "OBR": F.coalesce(F.col("x.obr"), F.when(F.col("x").isNull(), last(F.col("_r"))))}).drop("_x", "_r", "x")
     cols = [_field(F.col(t), i, k).alias(n) for n, (t, i, k) in POSITIONS.items()]
     priority = F.when(F.col("OBR").isNotNull(), F.when(_field(F.col("OBR"), 5, None) == "S", "STAT").otherwise("Routine"))
     result_ts = F.coalesce(_field(F.col("OBX"), 14, None), _field(F.col("OBR"), 22, None))

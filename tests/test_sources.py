@@ -21,7 +21,7 @@ def files_df(spark, *texts):
 def test_hl7(spark):
     r = {(x.message_control_id, x.placer_order_id, x.set_id): x for x in hl7.typed_results(hl7.parse_results(files_df(spark, MSG), keep=("file",))).collect()}
     a, b, c, d = r["M1", "O1", "1"], r["M1", "O1", "2"], r["M1", "O2", "1"], r["M2", None, None]
-    assert (a.patient_id, a.encounter_id, a.department_id, a.ordering_doctor_id, a.priority, a.loinc_code, float(a.result_value_numeric), a.is_critical) == ("P9", "E5", "D1", "DOC", "STAT", "C1", 5.5, True)
+    assert (a.patient_id, a.encounter_id, a.department_id, a.ordering_doctor_id, a.priority, a.loinc_code, float(a.result_value_numeric), a.is_critical) == ("P9", "E5", "D1^2", "DOC^A", "STAT", "C1", 5.5, True) and a.result_unit == "mg^x"
     assert a.result_ts == datetime(2024, 1, 3) and b.result_ts == datetime(2024, 1, 5) and a.collect_ts == datetime(2024, 1, 2, 3, 4)
     assert b.result_value_text == "a|b&c" and b.result_value_numeric is None and c.priority == "Routine" and c.result_value_numeric is None
     assert d.parse_error == hl7.NO_RESULT and d.sending_facility == "F2"
@@ -49,6 +49,24 @@ def test_claims_keep_their_own_context(spark):
     assert (c2.billing_provider_npi, c2.subscriber_member_id, c2.payer_id, c2.place_of_service, c2.primary_diagnosis_code, c2.parse_error, c2.interchange_control_number) == ("N2", "M2", "P9", "21", None, edi.NO_LINES, "000000009")
 
 
+def test_claims_without_payer_lines_or_envelope_names(spark):
+    body = "BHT*0019*00*1*20240101~NM1*85*2*H*****XX*N1~SBR*P*18*******CI~NM1*IL*1*A*B****MI*M1~NM1*PR*2*P*****PI*Y1~CLM*C1*10***11~LX*1~SV1*HC:S*10*UN*1~"
+    body += "SBR*P*18*******CI~NM1*IL*1*A*B****MI*M2~CLM*C2*20***11~LX*1~SV1*HC:S*20*UN*1~"  # names no payer: its own payer field
+    body += "SBR*P*18~NM1*IL*1*A*B****MI*M3~CLM*C3*30***11~"  # nothing of its own, and no lines
+    lines = "~".join(f"LX*{i}~SV1*HC:S{i}*1.00*UN*1" for i in range(1, 13))
+    body += f"SBR*P*18~NM1*IL*1*A*B****MI*M4~NM1*PR*2*P*****PI*Y4~CLM*C4*99***11~{lines}~SE*1*1~"
+    r = edi.parse_claims(files_df(spark, ISA + "GS*HC~ST*837*0001~" + body))
+    head = {x.claim_number: (x.payer_id, x.subscriber_member_id, x.submitter_id, x.receiver_id) for x in r.collect()}
+    assert head == {"C1": ("Y1", "M1", "SENDER", "RECEIVER"), "C2": ("CI", "M2", "SENDER", "RECEIVER"), "C3": ("Y1", "M3", "SENDER", "RECEIVER"), "C4": ("Y4", "M4", "SENDER", "RECEIVER")}
+    assert [x.line_number for x in r.filter("claim_number = 'C4'").orderBy("line_no").collect()] == [str(i) for i in range(1, 13)]
+    j = {x.claim_number: x for x in edi.claims_with_payment(r, edi.parse_remittances(files_df(spark, REMIT))).collect()}
+    assert (j["C3"].payer_id, j["C3"].patient_source_id, float(j["C3"].billed_amount), j["C3"].line_count, float(j["C3"].denied_amount), j["C3"].is_denied, j["C3"].is_approved) == ("Y1", "M3", 30.0, 0, 30.0, True, False)
+    assert (float(j["C1"].denied_amount), j["C1"].is_approved, j["C1"].days_to_payment, float(j["C1"].approved_amount)) == (16.5, True, 33, -6.5)
+    assert (j["C4"].line_count, float(j["C4"].line_total), j["C4"].is_adjudicated, j["C4"].is_approved) == (12, 12.0, False, False)
+    assert rows(edi.reconcile_remittances(edi.parse_remittances(files_df(spark, REMIT)), r)) == [(2, 0, 0.0, False)]
+    assert rows(edi.reconcile_remittances(edi.parse_remittances(files_df(spark, REMIT)), r.filter("claim_number <> 'C3'"))) == [(2, 1, 50.0, True)]
+
+
 def test_other_delimiters_and_short_files(spark):
     odd = CLAIMS.replace("\n", "").replace("*", "|").replace("~", "!")
     assert edi.parse_claims(files_df(spark, odd, "ISA*short", "", None)).count() == 3
