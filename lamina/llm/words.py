@@ -9,7 +9,8 @@ import unicodedata
 from lamina.llm.people import LOOKALIKE_FROM, LOOKALIKE_TO
 
 _BLOCK_TAG = re.compile(r"<\s*/?\s*(?:p|br|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|pre|blockquote)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<\s*/?\s*[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
+#: a tag is a name with attributes of any length; a sign in a sentence ("< 5 and > 3") is none
+_TAG = re.compile(r"""<\s*/?\s*[a-zA-Z][\w:.-]*(?:\s+[^\s<>="'/]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*\s*/?\s*>|<!--.*?-->""", re.S)
 _BREAK = re.compile(r"-[ \t]*\r?\n[ \t]*")
 #: invisible characters: soft hyphen, zero-width and direction marks, byte order mark, variation selectors (fixed values)
 _INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF}
