@@ -6,13 +6,21 @@ are trained together in numpy. Unseen misspellings share n-gram vectors with kno
 Judgements exist per document only, so training is an expectation maximisation over the
 segments of a document: a document is flagged when at least one of its segments is abusive.
 A document's score is the greatest probability of its segments.
+
+Only judged documents teach what is abusive. What is ordinary comes from all documents: the share of
+segments that hold a feature bucket, counted over the whole corpus, draws the bucket towards clean as a prior of
+fixed weight. The score of 0.5 is where judged documents are told apart best when they are weighted to the
+rate of the whole corpus, which is read from the histogram of all scores. Training runs in one task; only
+vectors of fixed length and a histogram pass the driver.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.words import fold, strip_markup
-from lamina.session import ship
+from lamina.session import pin, ship
 
 BUCKETS = 1 << 17
 DIM = 12
 #: Labelled documents used for training at most; the choice is by a hash of doc_id, so it is the same on every run.
 TRAIN_DOCS = 8_000
-#: Documents without judgement that serve as background in training at most, chosen likewise. Nearly all are clean,
-#: and they show which phrases are common; they count less than judged ones, and not where the model is sure of abuse.
-BACKGROUND_DOCS = 8_000
+#: Weight of the corpus as a prior, per judged document: so much clean mass, spread over the ordinary buckets by their share.
+PRIOR = 0.03
+#: A bucket is ordinary when at least this share of all segments holds it.
+ORDINARY = 3e-4
 #: Score from which a document counts as abusive.
 THRESHOLD = 0.5
 #: Words of a segment; longer ones are cut into overlapping windows.
@@ -164,23 +173,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 NOISE = 0.1
 
 
-def train(docs: list[tuple[str, float]], background: list[str] = (), rounds: int = 3, epochs: int = 6) -> tuple[np.ndarray, float]:
-    """Bucket weights and bias from (text, share of 'review' judgements).
+def train(docs: list[tuple[str, float]], usual: np.ndarray | None = None, rounds: int = 2, epochs: int = 6) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Bucket weights, bias, and per document its cross-fitted log-odds and flag, from (text, share of 'review' judgements).
 
-    In every round each half of the documents is judged by a model of the other half, so that a
-    misjudged document cannot confirm itself. The last model sees all documents; its bias is set
-    so that 0.5 is the score that best tells the documents of the other half apart.
+    ``usual`` has the share of all segments of the corpus that hold each bucket. In every round each half of the
+    documents is judged by a model of the other half, so that a misjudged document cannot confirm itself. The last
+    model sees all documents.
     """
     bags = [(sorted(set(segments(t))), y) for t, y in docs]
     bags = [(b, y) for b, y in bags if b]
-    judged = len(bags)
-    bags += [(b, 0.0) for t in background if (b := sorted(set(segments(t))))]
     index = {s: i for i, s in enumerate(sorted({s for b, _ in bags for s in b}))}
     if not index:
-        return np.zeros(BUCKETS, np.float32), -5.0
+        return np.zeros(BUCKETS, np.float32), -5.0, np.empty(0), np.empty(0, bool)
     feats = [features(s) for s in index]
     ids = [np.array([index[s] for s in b]) for b, _ in bags]
     flagged = np.array([y > 0.5 for _, y in bags])
+    common = np.flatnonzero(usual >= ORDINARY) if usual is not None else np.empty(0, np.int64)
     # responsibilities: how far each segment is the reason for the flag; weight of each document's segments
     resp = [np.full(len(b), 1 / len(b) if y else 0.0) for b, y in zip(ids, flagged, strict=True)]
     trust = [np.ones(len(b)) for b in ids]
@@ -191,8 +199,13 @@ def train(docs: list[tuple[str, float]], background: list[str] = (), rounds: int
             mass[ids[k]] += resp[k] * trust[k]
             seen[ids[k]] += trust[k]
         use = np.flatnonzero(seen > 0)
+        segs, target, weight = [feats[i] for i in use], mass[use] / seen[use], np.sqrt(seen[use])
+        if len(common):
+            segs = segs + [[int(f)] for f in common]
+            target = np.concatenate([target, np.zeros(len(common))])
+            weight = np.concatenate([weight, PRIOR * len(pick) * usual[common]])
         model = SubwordBag()
-        model.fit([feats[i] for i in use], mass[use] / seen[use], np.sqrt(seen[use]), epochs)
+        model.fit(segs, target, weight, epochs)
         return model
 
     fold = np.arange(len(bags)) % 2
@@ -213,21 +226,41 @@ def train(docs: list[tuple[str, float]], background: list[str] = (), rounds: int
                     trust[k] = np.where(q > 0.8, NOISE, 1.0)
         resp = new
     w, bias = fit(np.arange(len(bags)), 2 * epochs).weights()
-    top = np.clip(top[:judged], 1e-6, 1 - 1e-6)
-    return w, bias - _cut(np.log(top / (1 - top)), flagged[:judged])
+    top = np.clip(top, 1e-6, 1 - 1e-6)
+    return w, bias, np.log(top / (1 - top)), flagged
 
 
-def _cut(score: np.ndarray, flagged: np.ndarray) -> float:
-    """Log-odds that separate best by F1; the middle of all cuts that are nearly as good."""
+def _cut(score: np.ndarray, flagged: np.ndarray, clean_weight: float = 1.0) -> float:
+    """Log-odds that separate best by F1, clean documents weighted; the middle of all cuts that are nearly as good."""
     if not flagged.any():
         return 0.0
     order = np.argsort(-score)
-    hit = np.cumsum(flagged[order])
-    f1 = 2 * hit / (np.arange(1, len(score) + 1) + flagged.sum())
+    hit, wrong = np.cumsum(flagged[order]), np.cumsum(~flagged[order]) * clean_weight
+    f1 = 2 * hit / (hit + wrong + flagged.sum())
     good = score[order][f1 >= f1.max() - 0.01]
     return float((good.max() + good.min()) / 2)
 
 
+#: Bins of log-odds in the histogram of all scores.
+_BINS = 20
+
+
+def calibrate(score: np.ndarray, flagged: np.ndarray, seen: dict[int, int]) -> float:
+    """Log-odds of the score 0.5: judged documents are weighted to the rate of all, which the cut itself gives."""
+    cut = _cut(score, flagged)
+    bins, n = np.array(sorted(seen)), np.array([seen[b] for b in sorted(seen)])
+    share = flagged.mean() if len(flagged) else 0.0
+    if not 0 < share < 1 or not n.sum():
+        return cut
+    for _ in range(10):
+        rate = np.clip(n[bins >= cut * _BINS].sum() / n.sum(), 1e-6, share)
+        new = _cut(score, flagged, (1 - rate) / rate * share / (1 - share))
+        if new == cut:
+            break
+        cut = new
+    return cut
+
+
 class Scorer:
     """Scores texts with trained bucket weights; equal segments and words are computed once."""
 
@@ -252,43 +285,106 @@ class Scorer:
                 n += 1
         return total / n + self.bias
 
-    def score(self, text: str | None) -> float:
-        best = max(map(self.segment, segments(text)), default=None)
-        return 0.0 if best is None else float(_sigmoid(np.float64(best)))
+    def log_odds(self, text: str | None) -> float | None:
+        """Greatest log-odds of a text's segments; None if it has none."""
+        return max(map(self.segment, segments(text)), default=None)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS) -> list[tuple[str, float]]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS) -> DataFrame:
     """At most ``limit`` labelled texts with the share of 'review' among their judgements; ties and null verdicts are left out."""
     v = F.lower(F.trim("verdict"))
     votes = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg(F.when(v == "review", 1.0).when(v == "clean", 0.0)).alias("share")).filter("share is not null and share <> 0.5")
     pick = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # the bounded training sample
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [(r["text"], r["share"]) for r in rows]
+    # of repeated rows of a document the smallest text counts
+    return docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").groupBy("doc_id", "share").agg(F.min("text").alias("text"))
+
 
+#: Different segments a task counts before it turns them into buckets.
+_HELD = 100_000
 
-def background_rows(docs: DataFrame, labels: DataFrame, *, limit: int = BACKGROUND_DOCS) -> list[str]:
-    """At most ``limit`` texts of documents nobody judged."""
-    ids = docs.filter("text is not null").select("doc_id").join(labels.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti")
-    pick = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r["text"] for r in rows]
 
+def usual_buckets(docs: DataFrame) -> np.ndarray:
+    """Share of all segments of the corpus that hold each bucket. One sum per bucket passes the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, np.int64)  # the last one counts segments
+        held: Counter[tuple[str, ...]] = Counter()
+
+        def spend() -> None:
+            for s, n in held.items():
+                total[list(set(features(s)))] += n
+                total[BUCKETS] += n
+            held.clear()
+
+        for b in it:
+            for t in b.column(0).to_pylist():
+                held.update(set(segments(t)))
+            if len(held) > _HELD:
+                spend()
+        spend()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, train_docs: int = TRAIN_DOCS, background_docs: int = BACKGROUND_DOCS) -> DataFrame:
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
+    out = np.zeros(BUCKETS + 1)
+    out[rows["bucket"]] = rows["n"]
+    return out[:BUCKETS] / max(1.0, out[BUCKETS])
+
+
+@dataclass(frozen=True)
+class Model:
+    weights: np.ndarray
+    bias: float
+    judged: np.ndarray  # cross-fitted log-odds of the judged documents
+    flagged: np.ndarray
+
+
+_fitted: dict[tuple, Model] = {}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Model:
+    """Model of the judged documents, trained in one task; fitted once per pair of tables and session."""
+    key = (docs.sparkSession.sparkContext.applicationId, docs.semanticHash(), labels.semanticHash(), train_docs)
+    if key in _fitted:
+        return _fitted[key]
+    ship(docs.sparkSession)
+    usual = docs.sparkSession.sparkContext.broadcast(usual_buckets(docs))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, y) for b in it for t, y in zip(b.column("text").to_pylist(), b.column("share").to_pylist(), strict=True)]
+        if rows:
+            w, bias, judged, flagged = train(rows, usual.value)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias]), pa.array([judged.astype(float).tobytes()]), pa.array([flagged.tobytes()])], ["w", "bias", "judged", "flagged"])
+
+    one = training_rows(docs, labels, limit=train_docs).repartition(1).sortWithinPartitions("doc_id").select("text", "share")
+    got = one.mapInArrow(run, "w binary, bias double, judged binary, flagged binary").collect()  # at most one row
+    if got:
+        r = got[0]
+        m = Model(np.frombuffer(r["w"], np.float32), r["bias"], np.frombuffer(r["judged"]), np.frombuffer(r["flagged"], bool))
+    else:
+        m = Model(np.zeros(BUCKETS, np.float32), -5.0, np.empty(0), np.empty(0, bool))
+    _fitted[key] = m
+    return m
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``doc_id``, ``keep`` columns and ``score`` in [0, 1] of every row of ``docs``.
 
     Null and empty texts score 0; without any judgement every text scores near 0. Texts are read
     whole; repeated rows each get their score.
     """
-    ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, limit=train_docs), background_rows(docs, labels, limit=background_docs)))
+    fitted = fit(docs, labels, train_docs=train_docs)
+    model = docs.sparkSession.sparkContext.broadcast((fitted.weights, fitted.bias))
     keep = keep or []
     src = docs.select(F.struct("doc_id", *keep).alias("row"), "text")
-    schema = f"row {src.schema['row'].dataType.simpleString()}, score double"
+    schema = f"row {src.schema['row'].dataType.simpleString()}, z double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([scorer.score(t) for t in b.column("text").to_pylist()], pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([scorer.log_odds(t) for t in b.column("text").to_pylist()], pa.float64())], ["row", "z"])
 
-    return src.mapInArrow(run, schema).select("row.*", "score")
+    scored = pin(src.mapInArrow(run, schema))
+    seen = scored.groupBy(F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "z")) * _BINS).alias("b")).agg(F.count("*").alias("n")).filter("b is not null").collect()  # at most 60 * _BINS rows
+    cut = calibrate(fitted.judged, fitted.flagged, {r["b"]: r["n"] for r in seen})
+    return scored.select("row.*", F.coalesce(1 / (1 + F.exp(F.lit(cut) - F.col("z"))), F.lit(0.0)).alias("score"))

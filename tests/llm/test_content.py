@@ -2,7 +2,9 @@ import random
 
 from conftest import rows
 
-from lamina.llm.content import THRESHOLD, Scorer, score_documents, segments, train
+import numpy as np
+
+from lamina.llm.content import BUCKETS, THRESHOLD, Scorer, calibrate, features, score_documents, segments, train, usual_buckets
 
 CLEAN = ["The visit went well and the staff were kind.", "I felt so stupid after missing the visit, sorry.", "We waited 4 hours and the chairs are awful.", "Can I take this together with that?", "Pain 3/10, equal and reactive pupils.", "The shower was filthy and the bin was full.", "Thanks for your help."]
 NOUNS = ["glorpface", "snarkwit", "mudbrain", "zonkhead"]
@@ -28,13 +30,36 @@ def corpus(n, seed):
 def test_held_out_accuracy_and_unseen_spellings():
     rng = random.Random(9)
     tr = [(t, float(bad if rng.random() > 0.05 else not bad)) for _, t, bad in corpus(600, 1)]
-    s = Scorer(*train(tr))
+    w, bias, judged, flagged = train(tr)
+    s = Scorer(w, bias - calibrate(judged, flagged, {}))
     test = corpus(300, 2)
-    right = sum((s.score(t) >= THRESHOLD) == bad for _, t, bad in test)
+    right = sum((s.log_odds(t) >= 0) == bad for _, t, bad in test)
     assert right >= 0.97 * len(test)
     for odd in ("you are a w0r7hl3$$ gl0rpf4c3", "you are a p.a.t.h.e.t.i.c snaaarkwit", "YOU ARE A ROTTEN m u d b r a i n", "you are a usless zonkhaed, rottn glrpface"):
-        assert s.score("Thanks for your help. " + odd) > THRESHOLD, odd
-    assert s.score(None) == 0.0 and s.score("") == 0.0 and s.score("!!! ...") == 0.0
+        assert s.log_odds("Thanks for your help. " + odd) > 0, odd
+    assert s.log_odds(None) is None and s.log_odds("") is None and s.log_odds("!!! ...") is None
+
+
+def test_the_cut_follows_the_rate_of_the_corpus():
+    rng = np.random.default_rng(0)
+    flagged = np.arange(2000) % 5 == 0  # one in five is judged abusive
+    z = np.where(flagged, rng.normal(2, 1.5, 2000), rng.normal(-2, 1.5, 2000))
+    corpus = lambda rate: {int(k): int(n) for k, n in zip(*np.unique(np.floor(20 * np.where(rng.random(50_000) < rate, rng.normal(2, 1.5, 50_000), rng.normal(-2, 1.5, 50_000))), return_counts=True), strict=True)}
+    rare, common = calibrate(z, flagged, corpus(0.01)), calibrate(z, flagged, corpus(0.4))
+    assert rare > common and rare > calibrate(z, flagged, {})
+    assert calibrate(np.empty(0), np.empty(0, bool), {}) == 0.0
+
+
+def test_ordinary_buckets_are_counted_over_all_documents(spark):
+    texts = ["one two. three", "one two.", None, "", "three three\nfour"]
+    want, n = np.zeros(BUCKETS), 0
+    for t in texts:
+        for seg in set(segments(t)):
+            want[list(set(features(seg)))] += 1
+            n += 1
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert np.allclose(usual_buckets(d), want / n)
+    assert usual_buckets(d.limit(0)).sum() == 0
 
 
 def test_score_documents(spark):
