@@ -26,8 +26,8 @@ from lamina.session import pin, ship
 
 CAPACITY = 2_048
 SHARD_TOKENS = 4_000_000
-#: More shards where items are so short that a shard would hold more than so many.
-SHARD_ITEMS = 250_000
+#: What an item costs a shard besides its tokens, in tokens.
+ITEM_COST = 16
 MAX_SOURCES = 6
 #: Ranks file of a public byte-level BPE; a parameter, the file stays where it is.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -158,7 +158,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_S
     ship(items.sparkSession)
     it = pin(items.filter("tokens > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "cluster", "tokens"))
     total, n = it.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
-    shards = max(1, round(total / shard_tokens), n // SHARD_ITEMS)
+    shards = max(1, round((total + ITEM_COST * n) / shard_tokens))
     # repeated rows are counted and numbered, so that they spread over the shards too
     same = it.groupBy("doc_id", "source", "cluster", "tokens").agg(F.count("*").alias("n"))
     runs = same.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)")))
@@ -168,8 +168,8 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_S
     pieces = pieces.withColumn("first_token", F.col("piece") * capacity).withColumn("size", F.when((F.col("first_token") + capacity > F.col("tokens")) & (last > 0), last).otherwise(capacity))
     full = pieces.filter(F.col("size") == capacity)
     part = pieces.filter(F.col("size") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "tokens", "copy"), F.lit(shards)).cast("int"))
-    # every shard is one task: shards are equal in tokens, and there are as many as the data asks for
-    laid = part.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("size"), "cluster", "source", "doc_id")
+    # every shard is one task: shards are equal in size, and there are as many as the data asks for
+    laid = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), "cluster", "source", "doc_id")
     schema = f"container_id string, doc_id {items.schema['doc_id'].dataType.simpleString()}, piece int, tokens int, first_token int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,6 +195,21 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_S
     return packed.unionByName(alone)
 
 
+def check_packed(packed: DataFrame, items: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """One row of what a packing must hold: items packed, and counts of broken rules, all of which must be 0.
+
+    ``over_capacity`` and ``mixed`` containers, ``torn`` items (pieces that do not add up to the item, or more pieces than
+    its length asks for) and ``twins`` (copies in one container).
+    """
+    need = items.filter("tokens > 0").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum(F.ceil(F.col("tokens") / capacity)).alias("pieces"), F.min("cluster").alias("cluster"), F.min("source").alias("source"))
+    have = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("p"))
+    torn = need.join(have, "doc_id", "full").filter("t is null or tokens is null or t <> tokens or p <> pieces").agg(F.count("*").alias("torn"))
+    whole = packed.join(need.select("doc_id", "cluster", "source"), "doc_id")
+    room = whole.groupBy("container_id").agg(F.sum("tokens").alias("t"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("s"), F.count("*").alias("n"), F.count_distinct("cluster").alias("c"))
+    rules = room.agg(F.count_if(F.col("t") > capacity).alias("over_capacity"), F.count_if(F.col("s") > max_sources).alias("mixed"), F.count_if(F.col("c") < F.col("n")).alias("twins"))
+    return need.agg(F.count("*").alias("items")).crossJoin(torn).crossJoin(rules)  # one row each
+
+
 def fill_report(packed: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Containers, tokens, share of room used, and the number of containers that are less than 95 % full."""
     c = packed.groupBy("container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))

@@ -42,13 +42,13 @@ def golden_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    best = fusion.fuse(golden_claims(spark, d), sources=SOURCES, prefer="recent")
+    best = fusion.fuse(golden_claims(spark, d), sources=SOURCES, half_life=0)
     return best.select(F.col("entity").alias("patient_golden_id"), F.col("field").alias("field_name"), "record_uid")
 
 
 def p4_golden_record(spark: SparkSession, d: str) -> DataFrame:
     """One fused record per golden patient: the values of greatest posterior."""
-    best = fusion.fuse(golden_claims(spark, d), sources=SOURCES, prefer="posterior")
+    best = fusion.fuse(golden_claims(spark, d), sources=SOURCES)
     return fusion.as_record(best, list(GOLDEN_FIELDS)).withColumnRenamed("entity", "patient_golden_id")
 
 
@@ -78,6 +78,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d))
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Items packed, and how often each rule of the packing is broken."""
+    items = packing.measure(table(spark, d, "documents"))
+    return packing.check_packed(packing.pack(items), items).select("items", "torn", "over_capacity", "mixed", "twins")
+
+
 # --- problem 9 -------------------------------------------------------------------------------
 
 
@@ -113,7 +119,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).groupBy("source").agg(F.count("*").alias("docs"), hit.alias("flagged"), F.round(hit / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes, p8_packed, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_linked, p4_found, p4_golden_record, p5_found, p5_group_sizes, p8_packed, p8_fill, p8_rules, p9_found, p9_passages, p9_items, p10_found, p10_scores, p10_source_rates)}
 
 # --- SQL -------------------------------------------------------------------------------------
 
@@ -175,5 +181,6 @@ u as (
 SQL = {
     "p4_found": f"{_CLAIMS} select patient_golden_id, field_name, uid record_uid from (select *, row_number() over (partition by patient_golden_id, field_name order by m desc, uid) rn from u) where rn = 1",
     "p5_found": f"{_TIES} select record_uid, group_id from g",
+    "p8_rules": "select count(distinct doc_id) as items, 0::bigint as torn, 0::bigint as over_capacity, 0::bigint as mixed, 0::bigint as twins from documents where text <> ''",
     "p5_group_sizes": f"{_TIES} select records, count(*) as groups from (select count(*) records from g group by group_id) group by records",
 }
