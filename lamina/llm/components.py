@@ -9,11 +9,13 @@ down the forest, last round first. All state lives in pinned tables in the share
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.hot import lookup_join
-from lamina.session import pin, ship
+from lamina.session import pin, pin_counted, ship
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,37 +34,30 @@ def connected_groups(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     """
     ship(pairs.sparkSession)
     edges = pairs.select(a.alias("u"), b.alias("v")).filter("u is not null and v is not null")
-    graph = pin(_both_ways(edges))
+    graph, n = pin_counted(_both_ways(edges))
     seeds = graph.select("u").distinct()
     forest: list[DataFrame] = []  # per round: child, parent
-    n = graph.count()
     while n:
-        low = graph.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("cnt")).withColumn("m", F.least("u", "m"))
-        low = pin(low)
+        low = pin(graph.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("cnt")).withColumn("m", F.least("u", "m")))
         # minimum selection: u's neighbours and u itself point at u's minimum
-        chosen = lookup_join(graph, low, "u", n).select(F.col("v").alias("u"), "m").unionByName(low.select("u", "m")).distinct()
-        chosen = pin(chosen)
-        total = chosen.count()
-        best = chosen.groupBy("u").agg(F.min("m").alias("p"), F.count("*").alias("cnt"), F.max(F.col("m") == F.col("u")).alias("stays"))
-        best = pin(best)
+        chosen, total = pin_counted(lookup_join(graph, low, "u", n).select(F.col("v").alias("u"), "m").unionByName(low.select("u", "m")).distinct())
+        best = pin(chosen.groupBy("u").agg(F.min("m").alias("p"), F.count("*").alias("cnt"), F.max(F.col("m") == F.col("u")).alias("stays")))
         # pruning: a vertex that is nobody's minimum leaves the graph and hangs below its own
         forest.append(best.filter(~F.col("stays")).select(F.col("u").alias("child"), F.col("p").alias("parent")))
         links = lookup_join(chosen, best.select("u", "p", "cnt"), "u", total).filter(F.col("m") != F.col("p"))
-        graph = pin(_both_ways(links.select(F.col("p").alias("u"), F.col("m").alias("v"))))
-        n = graph.count()
-    labels = None  # child -> seed, of the later rounds
+        graph, n = pin_counted(_both_ways(links.select(F.col("p").alias("u"), F.col("m").alias("v"))))
+    # seeds flow down, last round first; each round resolves its own tree only, and the rounds after it are ever smaller
+    done: list[DataFrame] = []  # child, seed
     for tree in reversed(forest):
-        if labels is None:
-            labels = tree.select(F.col("child"), F.col("parent").alias("seed"))
-            continue
-        # parents leave the graph in later rounds than their children, if ever
-        cnt = tree.groupBy("parent").agg(F.count("*").alias("cnt"))
-        total = max(1, tree.count())
-        known = labels.select(F.col("child").alias("parent"), "seed").join(cnt, "parent")
-        moved = lookup_join(tree, pin(known), "parent", total).select("child", "seed")
-        roots = tree.join(labels.select(F.col("child").alias("parent")), "parent", "left_anti").select("child", F.col("parent").alias("seed"))
-        labels = pin(labels.unionByName(moved).unionByName(roots))
-    if labels is None:
+        if done:
+            known = reduce(DataFrame.unionByName, done).select(F.col("child").alias("parent"), "seed")
+            tree = tree.join(known, "parent", "left").select("child", F.coalesce("seed", "parent").alias("seed"))
+        else:
+            tree = tree.select("child", F.col("parent").alias("seed"))
+        done.append(pin(tree) if tree is not forest[0] else tree)
+    if not done:
         return seeds.select(F.col("u").alias("record_uid"), F.col("u").alias("group_id"))
-    own = labels.select("seed").distinct().select(F.col("seed").alias("record_uid"), F.col("seed").alias("group_id"))
+    labels = reduce(DataFrame.unionByName, done)
+    # who never left is the seed of its group
+    own = seeds.join(labels.select(F.col("child").alias("u")), "u", "left_anti").select(F.col("u").alias("record_uid"), F.col("u").alias("group_id"))
     return labels.select(F.col("child").alias("record_uid"), F.col("seed").alias("group_id")).unionByName(own)
