@@ -2,8 +2,10 @@
 
 Heuristic matching functions vote match (1), no match (-1) or abstain (0) on every candidate pair.
 A generative model of the votes, fitted without any labels, learns how often each function is
-right and, per class, a dependency tree of the functions (Chow-Liu), so that correlated
-votes are not counted twice. Its posterior is the confidence.
+right and, per class, a dependency tree of all functions (Chow-Liu), so that correlated
+votes are not counted twice. Pairs of different persons are of several kinds, each a class of its own: relatives
+and strangers, born on one day or not; votes that go together because of the kind are so no
+evidence of a match. The posterior of the class of matches is the confidence.
 
 Records are first reduced to distinct attribute variants, so that copies are compared once.
 Candidates share a block key; all pairs of a key are compared, however common it is (a stand-in
@@ -12,8 +14,6 @@ value, a big household), those of a large block in sub-blocks.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +72,8 @@ def voters(a: str = "a", b: str = "b") -> dict[str, Column]:
     typo = (F.least(F.length(digits_a), F.length(digits_b)) >= 8) & (F.levenshtein(digits_a, digits_b) <= 2)
     among = lambda c, d: F.coalesce(F.exists(F.split(d, " "), lambda w: (_sim(w, c) >= 0.75) & (F.length(c) > 2)), F.lit(False))
     crossed = (among(first_a, fam_b) | among(first_b, fam_a)) & (giv < 0.7) & ~short
-    other_name = (giv < 0.7) & ~short & ~crossed
-    other_card = (x("card") != y("card")) & ~typo
     no = F.lit(False)
     one_card = F.coalesce(x("card") == y("card"), no)
-    num = lambda c: F.when(c, 1).otherwise(0)
-    agree = num(x("card") == y("card")) * 2 + num(typo) + num(hits == 3) + num(x("phone7") == y("phone7")) + num(x("postal") == y("postal")) + num(fam >= 0.75) + num(giv >= 0.7)
-    differ = num(other_card) + num(hits <= 1) + num(x("phone7") != y("phone7")) + num(x("postal") != y("postal")) + num(fam < 0.75) + num(other_name)
     return {
         "card": same("card"),
         "card_typo": _vote(typo & ~one_card, no),
@@ -92,88 +87,36 @@ def voters(a: str = "a", b: str = "b") -> dict[str, Column]:
         "postal": same("postal"),
         "area": same("fsa"),
         "sex": same("sex"),
-        # relatives: what a household or twins share, with another given name
-        "relative": _vote(no, other_name & (fam >= 0.75) & ~one_card),
-        # a valid card number is one person's, and a slip rarely gives another valid one
-        "other_card": _vote(no, other_card),
-        "other_sex": _vote(no, x("sex") != y("sex")),
-        "two_ids": _vote(no, other_name & other_card),
-        "two_days": _vote(no, other_card & (hits <= 1) & ~slipped),
-        "outweighed": _vote(agree >= differ + 2, differ >= agree),
-        "stranger": _vote(no, other_name & (fam < 0.75) & ~one_card),
-        "no_anchor": _vote(no, (hits <= 1) & ~swapped & ~slipped & ~one_card),
     }
 
 
-#: Attributes a common key can be combined with, by number.
-_CARD, _DAY, _PHONE, _POSTAL, _NAMES = range(5)
-
-
-def _block_keys() -> list[tuple[int, Column]]:
-    """Keys under which a variant meets others, null where a part is missing, each with the attribute it already asks for."""
+def _block_keys() -> list[Column]:
+    """Keys under which a variant meets others, null where a part is missing."""
     fam, giv, dob = F.col("family"), F.col("given"), F.col("dob")
     k = lambda n, *p: F.concat(F.lit(n + ":"), *[F.concat(c.cast("string"), F.lit("|")) for c in p])
     return [
-        (_CARD, k("card", F.col("card"))),
-        (_PHONE, k("phone", F.col("phone7"))),
-        (_DAY, k("day, family sound", dob, F.soundex(F.substring_index(fam, " ", -1)))),
-        (_DAY, k("day, given", dob, F.substring(giv, 1, 2))),
-        (_DAY, k("day, area", dob, F.col("fsa"))),
-        (_NAMES, k("names, area", F.substring(fam, 1, 4), F.substring(giv, 1, 2), F.col("fsa"))),
-        (_POSTAL, k("given, postal", F.substring(giv, 1, 3), F.col("postal"))),
-        (_CARD, k("card end, initial", F.when(F.length("card_digits") >= 9, F.right("card_digits", F.lit(5))), F.substring(giv, 1, 1))),
-        (_NAMES, k("names in any order, year", F.least(fam, giv), F.greatest(fam, giv), F.year(dob))),
+        k("card", F.col("card")),
+        k("phone", F.col("phone7")),
+        k("day, family sound", dob, F.soundex(F.substring_index(fam, " ", -1))),
+        k("day, given", dob, F.substring(giv, 1, 2)),
+        k("day, area", dob, F.col("fsa")),
+        k("names, area", F.substring(fam, 1, 4), F.substring(giv, 1, 2), F.col("fsa")),
+        k("given, postal", F.substring(giv, 1, 3), F.col("postal")),
+        k("card end, initial", F.when(F.length("card_digits") >= 9, F.right("card_digits", F.lit(5))), F.substring(giv, 1, 1)),
+        k("names in any order, year", F.least(fam, giv), F.greatest(fam, giv), F.year(dob)),
     ]
 
 
-def _present(items: list[Column]) -> Column:
-    return F.filter(F.array(*items), lambda x: x["k"].isNotNull())
-
-
-def _first_keys() -> Column:
-    return _present([F.struct(F.xxhash64(k).alias("h"), F.lit(1 << n).alias("used"), F.lit(-1).alias("last"), k.alias("k")) for n, k in _block_keys()])
-
-
-def _further() -> Column:
-    """The attributes by number and value."""
-    names = F.concat(F.soundex(F.col("family")), F.substring("given", 1, 2))
-    by = {_CARD: F.col("card"), _DAY: F.col("dob").cast("string"), _PHONE: F.col("phone"), _POSTAL: F.col("postal"), _NAMES: names}
-    return _present([F.struct(F.lit(n).alias("n"), c.alias("k")) for n, c in by.items()])
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, *, pairs_per_key: int | None = None) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """``va, vb`` of the distinct variants of either side that share a block key, each pair once.
 
     Only variant ids and 64-bit key hashes move; keys of equal hash merely add a candidate. Every
-    pair of a key counts, unless the caller names ``pairs_per_key``: then a key that asks for more
-    pairs goes on only in combination with a further attribute, and again with another one if that
-    is still too common, which loses pairs that agree in no other attribute exactly. A row that has
-    no further attribute meets all others of the key.
+    pair of a key counts, however common it is.
     """
-    one = lambda df: df.dropDuplicates(["vid"])
-    sides = [one(df).select("vid", F.explode(_first_keys()).alias("f")).select("vid", F.col("f.h").alias("k")) for df in (left, right)]
-    hot = None if pairs_per_key is None else _common(*sides, pairs_per_key)
-    if hot is None or hot.isEmpty():
-        return _meet(*sides).distinct()
-    levels = [one(df).select("vid", _further().alias("more"), F.explode(_first_keys()).alias("f")).select("vid", "more", F.col("f.h").alias("k"), F.col("f.used").alias("used"), F.col("f.last").alias("last")) for df in (left, right)]
-    met: list[DataFrame] = []
-    # each round adds an attribute of a higher number, so that there are at most as many rounds as attributes
-    while not hot.isEmpty():
-        met.append(_meet(*[lv.join(hot, "k", "left_anti").select("vid", "k") for lv in levels]))
-        stay = [pin(lv.join(hot, "k", "left_semi").withColumn("open", F.expr(_OPEN))) for lv in levels]
-        # a row without a further attribute meets all others of its key here; no later round has it
-        full, shut, still = ([df.filter(c).select("vid", "k") for df in stay] for c in ("true", "not open", "open"))
-        met += [_meet(shut[0], full[1]), _meet(still[0], shut[1])]
-        # combinations in ascending order of the attribute, so that each set comes once
-        x = [df.filter("open").select("vid", "more", F.explode("more").alias("m"), "k", "used", "last").filter(((F.col("used").bitwiseAND(F.expr("shiftleft(1, m.n)"))) == 0) & (F.col("m.n") > F.col("last"))) for df in stay]
-        levels = [pin(df.select("vid", "more", F.xxhash64("k", "m.n", "m.k").alias("k"), F.col("used").bitwiseOR(F.expr("shiftleft(1, m.n)")).alias("used"), F.col("m.n").alias("last"))) for df in x]
-        hot = _common(*levels, pairs_per_key)
-    met.append(_meet(*[lv.select("vid", "k") for lv in levels]))
-    return reduce(DataFrame.unionByName, met).distinct()
-
-
-#: Has a row an attribute that its key can still be combined with?
-_OPEN = "exists(more, m -> m.n > last and (used & shiftleft(1, m.n)) = 0)"
+    keys = F.transform(F.array_compact(F.array(*_block_keys())), lambda k: F.xxhash64(k))
+    return _meet(*[df.dropDuplicates(["vid"]).select("vid", F.explode(keys).alias("k")) for df in (left, right)]).distinct()
+
+
 #: Rows of either side that a sub-block of a large block holds on average.
 BLOCK_ROWS = 2_000
 
@@ -181,64 +124,47 @@ BLOCK_ROWS = 2_000
 def _meet(a: DataFrame, b: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``va, vb`` of all rows of equal ``k``; a large block is cut into sub-blocks, each part of ``a`` with each of ``b``."""
     parts = lambda c: F.ceil(F.col(c) / block_rows)
-    big = pin(_asked(a, b).filter(F.col("na") * F.col("nb") > block_rows**2).select("k", parts("na").alias("pa"), parts("nb").alias("pb")))
+    asked = a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k")
+    big = pin(asked.filter(F.col("na") * F.col("nb") > block_rows**2).select("k", parts("na").alias("pa"), parts("nb").alias("pb")))
     a, b = a.withColumnRenamed("vid", "va"), b.withColumnRenamed("vid", "vb")
     if big.isEmpty():
         return a.join(b, "k").select("va", "vb")
-    rest = [df.join(F.broadcast(big.select("k")), "k", "left_anti") for df in (a, b)]
+    rest = [df.join(big.select("k"), "k", "left_anti") for df in (a, b)]
     part = lambda v, n, i: F.pmod(F.xxhash64(v), F.col(n)).alias(i)
     each = lambda n, i: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(i)
-    ab = a.join(F.broadcast(big), "k").select("k", "va", part("va", "pa", "i"), each("pb", "j"))
-    ba = b.join(F.broadcast(big), "k").select("k", "vb", each("pa", "i"), part("vb", "pb", "j"))
+    ab = a.join(big, "k").select("k", "va", part("va", "pa", "i"), each("pb", "j"))
+    ba = b.join(big, "k").select("k", "vb", each("pa", "i"), part("vb", "pb", "j"))
     return rest[0].join(rest[1], "k").select("va", "vb").unionByName(ab.join(ba, ["k", "i", "j"]).select("va", "vb"))
 
 
-def _asked(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side per key."""
-    return a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k")
-
-
-def _common(a: DataFrame, b: DataFrame, pairs_per_key: int) -> DataFrame:
-    """Keys that ask for too many pairs."""
-    return pin(_asked(a, b).filter(F.col("na") * F.col("nb") > pairs_per_key).select("k"))
-
-
 class LabelModel:
-    """Two-class generative model of vote vectors with a dependency tree per class.
+    """Generative model of vote vectors: a class of matches and several kinds of others, each with a dependency tree.
 
     ``fit`` runs expectation maximisation over the distinct vote vectors and their counts.
-    P(votes | class) is a product over the tree: each voter depends on its parent's vote.
+    P(votes | class) is a product over the tree: each voter depends on its parent's vote. Nothing but the first
+    guess is given; it only settles which class is which.
     """
 
-    def __init__(self, rounds: int = 60, smooth: float = 0.1, start: np.ndarray | None = None, alarms: dict[int, float] | None = None):
-        self.rounds, self.smooth, self.start, self.alarms = rounds, smooth, start, alarms or {}
+    def __init__(self, rounds: int = 80, smooth: float = 0.1):
+        self.rounds, self.smooth = rounds, smooth
 
-    def _tables(self, onehot: np.ndarray, w: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _tables(onehot: np.ndarray, w: np.ndarray) -> np.ndarray:
         m = onehot.shape[1]
         flat = onehot.reshape(len(onehot), m * 3)
         joint = flat.T @ (flat * w[:, None])
         return joint.reshape(m, 3, m, 3).transpose(0, 2, 1, 3)  # voter, voter, vote, vote
 
-    def _cap(self, joint: np.ndarray) -> None:
-        """Hold the share of 'no match' votes among matches at the prior bound of each voter."""
-        for j, most in self.alarms.items():
-            d = joint[j, j].diagonal()
-            if d.sum() > 0 and d[0] > most * d.sum():
-                k = most * d.sum() / d[0]
-                joint[j, :, 0, :] *= k
-                joint[:, j, :, 0] *= k
-                joint[j, j, 0, 0] /= k
-
     @staticmethod
-    def _tree(joint: np.ndarray, free: set[int]) -> list[int]:
-        """Parents of a maximum spanning tree over mutual information; -1 for the root and for ``free`` voters."""
+    def _tree(joint: np.ndarray) -> list[int]:
+        """Parents of a maximum spanning tree over mutual information; -1 for the root."""
         m = len(joint)
         p = joint + 1e-9
         p = p / p.sum((2, 3), keepdims=True)
         px, py = p.sum(3, keepdims=True), p.sum(2, keepdims=True)
         mi = (p * np.log(p / (px * py))).sum((2, 3))
         parent, best, frm = [-1] * m, mi[0].copy(), np.zeros(m, int)
-        inside = {0, *free}
+        inside = {0}
         while len(inside) < m:
             j = int(np.argmax(np.where(np.isin(np.arange(m), list(inside)), -np.inf, best)))
             parent[j] = int(frm[j])
@@ -259,48 +185,57 @@ class LabelModel:
                 out += np.log(t / t.sum(1, keepdims=True))[votes[:, q], votes[:, j]]
         return out
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray) -> LabelModel:
-        """``votes`` in {-1, 0, 1}, one row per distinct vector."""
-        v = votes.astype(int) + 1
-        onehot = np.eye(3)[v]
-        weight = self.start if self.start is not None else np.ones(votes.shape[1])
-        p = 1 / (1 + np.exp(-np.clip(votes @ weight, -30, 30)))
+    def fit(self, votes: np.ndarray, counts: np.ndarray, guess: np.ndarray) -> LabelModel:
+        """``votes`` in {-1, 0, 1}, one row per distinct vector; ``guess`` has a first share per row and class, matches first."""
+        onehot = np.eye(3)[votes.astype(int) + 1]
+        p = guess
         for _ in range(self.rounds):
-            self.joint = [self._tables(onehot, counts * p), self._tables(onehot, counts * (1 - p))]
-            self._cap(self.joint[0])
-            self.parents = [self._tree(j, set(self.alarms)) for j in self.joint]
-            self.prior = float(np.clip((counts * p).sum() / counts.sum(), 1e-6, 1 - 1e-6))
-            new = self.posterior(votes)
+            self.joint = [self._tables(onehot, counts * p[:, k]) for k in range(p.shape[1])]
+            self.parents = [self._tree(j) for j in self.joint]
+            self.prior = np.clip((counts[:, None] * p).sum(0) / counts.sum(), 1e-6, 1)
+            new = self.classes(votes)
             if np.abs(new - p).max() < 1e-4:
                 break
             p = new
         return self
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior share of every class."""
         v = votes.astype(int) + 1
-        yes, no = (self._log(v, j, t) for j, t in zip(self.joint, self.parents, strict=True))
-        z = np.log(self.prior) - np.log(1 - self.prior) + yes - no
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = np.stack([np.log(p) + self._log(v, j, t) for p, j, t in zip(self.prior, self.joint, self.parents, strict=True)], 1)
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior of a match."""
+        return self.classes(votes)[:, 0]
 
     def accuracies(self) -> list[float]:
         """Per voter: how often it is right when it does not abstain."""
         out = []
         for j in range(len(self.parents[0])):
-            y, n = self.joint[0][j, j].diagonal(), self.joint[1][j, j].diagonal()
+            y = self.joint[0][j, j].diagonal()
+            n = sum(t[j, j].diagonal() for t in self.joint[1:])
             out.append(float((y[2] + n[0]) / max(1e-9, y[0] + y[2] + n[0] + n[2])))
         return out
 
 
 #: Strength with which each voter enters the first guess; the model then learns its own.
-FIRST_GUESS = {"card": 4, "card_typo": 3, "dob": 2.5, "dob_near": 1, "family": 1.5, "given": 1.5, "initial": 0.5, "crossed": 4, "phone": 1, "postal": 1, "area": 0.3, "sex": 0.5, "relative": 2, "other_card": 3, "other_sex": 2, "two_ids": 3, "two_days": 2, "outweighed": 2, "stranger": 2, "no_anchor": 2}
-#: Voters that judge combinations of attributes, with the largest share of true matches that each may
-#: call no match (a prior on its false alarms). They stay outside the dependency tree.
-FALSE_ALARMS = {"other_card": 0.001, "other_sex": 0.002, "two_ids": 0.001, "two_days": 0.001, "outweighed": 0.01, "stranger": 0.002, "relative": 0.003, "no_anchor": 0.004}
+FIRST_GUESS = {"card": 4, "card_typo": 3, "dob": 2.5, "dob_near": 1, "family": 1.5, "given": 1.5, "initial": 0.5, "crossed": 4, "phone": 1, "postal": 1, "area": 0.3, "sex": 0.5}
 #: Posterior from which a pair counts as a match.
-THRESHOLD = 0.7
+THRESHOLD = 0.5
+
+
+def first_guess(votes: np.ndarray, names: list[str]) -> np.ndarray:
+    """Shares of matches and of the kinds of others: relatives of one day (twins), relatives, strangers of one day, strangers."""
+    at = {k: votes[:, i] for i, k in enumerate(names)}
+    p = 1 / (1 + np.exp(-np.clip(votes @ np.array([FIRST_GUESS[k] for k in names], dtype=float), -30, 30)))
+    related, one_day = (at["family"] == 1) & (at["given"] == -1), at["dob"] == 1
+    kind = np.stack([related & one_day, related & ~one_day, ~related & one_day, ~related & ~one_day], 1) * 0.85 + 0.05
+    return np.concatenate([p[:, None], (1 - p)[:, None] * kind / kind.sum(1, keepdims=True)], 1)
 
 
-def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD, pairs_per_key: int | None = None) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``uid_a, uid_b, confidence`` of record pairs whose posterior is at least ``threshold``.
 
     ``left`` and ``right`` need ``uid`` and the attribute columns of :mod:`people`; other
@@ -313,7 +248,7 @@ def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD, pai
     funcs = voters()
     code = sum((c + 1) * F.lit(3**i).cast("long") for i, c in enumerate(funcs.values()))
     side = lambda df, v, s: df.dropDuplicates(["vid"]).select(F.col("vid").alias(v), F.struct(*ATTRS).alias(s))
-    pairs = candidate_pairs(lv, rv, pairs_per_key=pairs_per_key).join(side(lv, "va", "a"), "va").join(side(rv, "vb", "b"), "vb")
+    pairs = candidate_pairs(lv, rv).join(side(lv, "va", "a"), "va").join(side(rv, "vb", "b"), "vb")
     pairs = pin(pairs.select("va", "vb", code.alias("votes")))
     seen = pairs.groupBy("votes").agg(F.count("*").alias("n")).collect()  # distinct vote vectors, not pairs
     schema = "votes long, confidence double"
@@ -321,11 +256,12 @@ def link(left: DataFrame, right: DataFrame, *, threshold: float = THRESHOLD, pai
         codes, counts = np.array([r["votes"] for r in seen], dtype=np.int64), np.array([r["n"] for r in seen], dtype=float)
         m = len(funcs)
         votes = (codes[:, None] // 3 ** np.arange(m)[None, :]) % 3 - 1
-        model = LabelModel(start=np.array([FIRST_GUESS[k] for k in funcs], dtype=float), alarms={i: FALSE_ALARMS[k] for i, k in enumerate(funcs) if k in FALSE_ALARMS}).fit(votes, counts)
+        model = LabelModel().fit(votes, counts, first_guess(votes, list(funcs)))
         post = model.posterior(votes)
         scores = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True) if p >= threshold], schema)
     else:
         scores = spark.createDataFrame([], schema)
+    # at most 3 ** 12 rows of 16 bytes
     good = pairs.join(F.broadcast(scores), "votes").select("va", "vb", "confidence")
     la = lv.select(F.col("vid").alias("va"), F.col("uid").alias("uid_a")).distinct()
     rb = rv.select(F.col("vid").alias("vb"), F.col("uid").alias("uid_b")).distinct()

@@ -5,7 +5,7 @@ import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lamina.llm.linkage import ATTRS, LabelModel, _meet, candidate_pairs, link, variants
+from lamina.llm.linkage import ATTRS, FIRST_GUESS, LabelModel, _meet, candidate_pairs, first_guess, link, variants
 
 DDL = "uid string, given string, family string, dob date, sex string, card string, postal string, phone string, card_digits string, fsa string, phone7 string, votes string"
 
@@ -48,10 +48,10 @@ def test_finds_true_pairs(spark):
     got = {(r.uid_a, r.uid_b): r.confidence for r in link(left, right).collect()}
     hit = truth & set(got)
     assert len(hit) >= 0.95 * len(truth) and len(hit) >= 0.95 * len(got)
-    assert all(0.7 <= c <= 1 for c in got.values())
+    assert all(0.5 <= c <= 1 for c in got.values())
 
 
-def test_common_keys_lose_no_pair_that_agrees_twice(spark):
+def test_all_pairs_of_a_common_key_are_candidates(spark):
     rng = random.Random(2)
     left, right = [], []
     for i in range(300):
@@ -60,26 +60,7 @@ def test_common_keys_lose_no_pair_that_agrees_twice(spark):
         left.append(record(f"L|{i}", p))
         right.append(record(f"R|{i}", p))
     lv, rv = (variants(spark.createDataFrame(x, DDL)).select("uid", "vid", *ATTRS) for x in (left, right))
-    plain = candidate_pairs(lv, rv, pairs_per_key=10**9).count()
-    pairs = candidate_pairs(lv, rv, pairs_per_key=100)
-    same = lv.select(F.col("vid").alias("va"), "uid").join(pairs, "va").join(rv.select(F.col("vid").alias("vb"), F.col("uid").alias("ub")), "vb").filter(F.substring("uid", 3, 9) == F.substring("ub", 3, 9))
-    assert plain == 300 * 300
-    assert same.count() == 300 and pairs.count() < 5_000
-
-
-def test_common_keys_keep_rows_without_a_further_attribute(spark):
-    def few(uid, n, given=None, family=None, card=None):
-        return (uid, given, family, None, None, card, None, "5551234567", str(n), None, "1234567", "x")
-
-    def pairs(left, right, **kw):
-        lv, rv = (variants(spark.createDataFrame(x, DDL)).select("uid", "vid", *ATTRS) for x in (left, right))
-        return candidate_pairs(lv, rv, **kw).count()
-
-    named = [[few(f"{s}|{i}", i, "ANNA", "SMITH") for i in range(20)] for s in "LR"]
-    assert pairs(*named, pairs_per_key=100) == 400
-    # bare rows meet everybody, rows with a card only bare ones and their like
-    mixed = [[few(f"{s}|{i}", i, card=f"{s}{i:09}" if i < 15 else None) for i in range(20)] for s in "LR"]
-    assert pairs(*mixed, pairs_per_key=100) == 400 - 15 * 15
+    assert candidate_pairs(lv, rv).count() == 300 * 300
 
 
 def test_common_key_finds_pairs_that_agree_only_nearly(spark):
@@ -101,10 +82,7 @@ def test_common_key_finds_pairs_that_agree_only_nearly(spark):
     more = world(spark)
     left, right = (spark.createDataFrame(x, DDL).union(m.withColumn("uid", F.concat("uid", F.lit("w")))) for x, m in zip((left, right), more[:2], strict=True))
     got = {(r.uid_a, r.uid_b) for r in link(left, right).collect()}
-    capped = {(r.uid_a, r.uid_b) for r in link(left, right, pairs_per_key=2_000).collect()}
-    print("recall", len(truth & got) / len(truth), "capped", len(truth & capped) / len(truth), "precision", len(got & (truth | {(a + "w", b + "w") for a, b in more[2]})) / len(got))
     assert len(truth & got) >= 0.95 * len(truth)
-    assert len(truth & capped) <= 0.2 * len(truth)
 
 
 def test_sub_blocks_hold_every_pair_once(spark):
@@ -135,9 +113,23 @@ def test_label_model_learns_accuracies_and_correlation():
     votes = np.stack(cols, 1)
     votes[rng.random(votes.shape) < 0.1] = 0
     u, n = np.unique(votes, axis=0, return_counts=True)
-    m = LabelModel().fit(u, n.astype(float))
+    p = 1 / (1 + np.exp(-u.sum(1)))
+    m = LabelModel().fit(u, n.astype(float), np.stack([p, 1 - p], 1))
     got = m.accuracies()
     assert got[0] > got[3] and abs(got[0] - 0.95) < 0.1
     assert m.parents[0][4] == 3 or m.parents[0][3] == 4
     p = m.posterior(votes)
     assert ((p > 0.5) == y).mean() > 0.9
+
+
+def test_relatives_are_no_matches():
+    """Votes of households: a class of their own keeps pairs that share all but the person apart, however many there are."""
+    rng = np.random.default_rng(1)
+    names = list(FIRST_GUESS)
+    agree = {"match": dict.fromkeys(names, 0.93), "twin": dict.fromkeys(names, 0.95) | dict.fromkeys(("card", "card_typo", "given", "initial"), 0.06), "other": dict.fromkeys(names, 0.08)}
+    kinds = rng.choice(list(agree), 6000, p=[0.5, 0.2, 0.3])
+    votes = np.array([[1 if rng.random() < agree[k][v] else -1 for v in names] for k in kinds])
+    votes[rng.random(votes.shape) < 0.15] = 0
+    u, n = np.unique(votes, axis=0, return_counts=True)
+    p = LabelModel().fit(u, n.astype(float), first_guess(u, names)).posterior(votes)
+    assert ((p >= 0.5) == (kinds == "match")).mean() > 0.98
