@@ -58,6 +58,6 @@ def connected_groups(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     if not done:
         return seeds.select(F.col("u").alias("record_uid"), F.col("u").alias("group_id"))
     labels = reduce(DataFrame.unionByName, done)
-    # who never left is the seed of its group
-    own = seeds.join(labels.select(F.col("child").alias("u")), "u", "left_anti").select(F.col("u").alias("record_uid"), F.col("u").alias("group_id"))
+    # who never left is the seed of its group, and every group has somebody who left
+    own = labels.select("seed").distinct().select(F.col("seed").alias("record_uid"), F.col("seed").alias("group_id"))
     return labels.select(F.col("child").alias("record_uid"), F.col("seed").alias("group_id")).unionByName(own)
