@@ -25,7 +25,10 @@ from lamina.operators.quality import quarantine
 
 @dataclass(frozen=True)
 class EntitySpec:
-    """Dedupe keys, casts, code mappings (column -> domain, system, target), patient systems, derived columns, rule."""
+    """Dedupe keys, casts, code mappings (column -> domain, system, target), patient systems, derived columns, rule.
+
+    Names and lists in the specs below that sources dictate (columns, domains, placeholder codes) are fixed values.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -56,8 +59,8 @@ SPECS = {
         EntitySpec(
             "emergency_visit", ("ed_visit_id",), _times("arrival_ts", "triage_ts", "physician_seen_ts", "admit_decision_ts", "bed_assigned_ts", "departure_ts"), {}, ("patient_id", ("EHR",)),
             {
-                "ctas_level": lambda: level_1_to_5("triage_score"), "arrival_to_triage_min": _lag("arrival_ts", "triage_ts"), "triage_to_physician_min": _lag("triage_ts", "physician_seen_ts"),
-                "decision_to_bed_min": _lag("admit_decision_ts", "bed_assigned_ts"), "arrival_to_decision_min": _lag("arrival_ts", "admit_decision_ts"), "ed_length_of_stay_min": _lag("arrival_ts", "departure_ts"),
+                "ctas_level": lambda: level_1_to_5("triage_score"), "arrival_to_triage_min": _lag("arrival_ts", "triage_ts"), "arrival_to_physician_min": _lag("arrival_ts", "physician_seen_ts"),
+                "physician_to_decision_min": _lag("physician_seen_ts", "admit_decision_ts"), "decision_to_bed_min": _lag("admit_decision_ts", "bed_assigned_ts"), "ed_length_of_stay_min": _lag("arrival_ts", "departure_ts"),
                 "left_without_being_seen": lambda: left_unseen("physician_seen_ts", "departure_ts"), "resulted_in_admission": lambda: flag("resulted_in_admission"),
             }, "arrival_ts IS NOT NULL",
         ),

@@ -6,7 +6,7 @@ asked measures of a fact.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,7 +54,7 @@ MEASURES: dict[str, Measure] = {
     "average_length_of_stay": Measure(_A, "avg", "length_of_stay_days"), "median_length_of_stay": Measure(_A, "median", "length_of_stay_days"), "total_patient_days": Measure(_A, "sum", "length_of_stay_days"),
     "icu_days": Measure(_A, "sum", "icu_days"), "readmissions_30d": Measure(_A, "count_if", "is_readmission"), "index_admissions": Measure(_A, "count_if", "is_index"),
     "readmission_rate": Measure(_A, "ratio", "int(is_readmission)", "int(is_index)"),
-    "ed_visits": Measure(_E, "count"), "median_triage_wait": Measure(_E, "median", "arrival_to_triage_min"), "median_physician_wait": Measure(_E, "median", "triage_to_physician_min"),
+    "ed_visits": Measure(_E, "count"), "median_triage_wait": Measure(_E, "median", "arrival_to_triage_min"), "median_physician_wait": Measure(_E, "median", "arrival_to_physician_min"),
     "p90_ed_length_of_stay": Measure(_E, "percentile", "ed_length_of_stay_min", p=0.9),
     # a visit without length of stay counts as met, one without level has the longer target
     "ed_target_met": Measure(_E, "share", "coalesce(ed_length_of_stay_min, 0) <= IF(coalesce(ctas_level, 0) <= 2, 480, 240)"),
@@ -149,6 +149,68 @@ def pareto(fact: DataFrame, item: str, amount: str) -> DataFrame:
     return g.withColumn("cumulative_share", F.sum("amount").over(w) / F.sum("amount").over(Window.partitionBy()))
 
 
+def period_over_period(m: DataFrame, period: str, values: list[str], keys: list[str]) -> DataFrame:
+    """Each value with that of the period before (of the same keys) and the difference; periods that are absent are skipped."""
+    w = Window.partitionBy(*keys).orderBy(period)  # one row per key and period
+    return m.withColumns({f"previous_{v}": F.lag(v).over(w) for v in values}).withColumns({f"{v}_change": F.col(v) - F.col(f"previous_{v}") for v in values})
+
+
+def in_bands(value: Column, edges: Iterable[tuple[float, str]], above: str) -> Column:
+    """Label of the first band whose upper edge is not exceeded; null stays null."""
+    out = F.when(value.isNull(), F.lit(None))
+    for edge, label in edges:
+        out = out.when(value <= edge, label)
+    return out.otherwise(above)
+
+
+#: upper edges in days and labels (fixed values)
+LEAD_BANDS = ((7, "0-7"), (14, "8-14"), (29, "15-29"))
+AGEING_BANDS = ((30, "0-30"), (60, "31-60"), (90, "61-90"))
+
+
+def no_show_by_lead(fact: DataFrame) -> DataFrame:
+    """Kept and missed appointments and the no-show rate per band of lead time."""
+    band = in_bands(F.col("lead_time_days"), LEAD_BANDS, "30+").alias("lead_band")
+    return compute(fact.withColumn("lead_band", band), ["completed_appointments", "no_shows", "no_show_rate"], ["lead_band"])
+
+
+def repeat_cohort(fact: DataFrame, who: str, happened: Column, least: int = 2) -> DataFrame:
+    """Those to whom it happened at least so often, with the count."""
+    return fact.filter(happened).groupBy(who).agg(F.count("*").alias("times")).filter(F.col("times") >= least)
+
+
+def ageing(fact: DataFrame, *, date: str, amount: str, by: Iterable[str] = ()) -> DataFrame:
+    """Open amounts per band of age, counted from the newest row."""
+    last = fact.agg(F.max(date).alias("_last"))
+    aged = fact.filter(F.col(amount) > 0).crossJoin(F.broadcast(last))  # one row
+    band = in_bands(F.datediff("_last", date), AGEING_BANDS, "over 90").alias("age_band")
+    return aged.groupBy(*by, band).agg(F.sum(amount).alias("outstanding"), F.count("*").alias("lines"))
+
+
+def rate_spread(fact: DataFrame, group: str, part: Column, whole: Column, least: int = 20) -> DataFrame:
+    """Percentage per group with enough rows, and the spread between the highest and the lowest."""
+    g = fact.filter(whole).groupBy(group).agg(F.count("*").alias("n"), (F.count_if(part) * 100.0 / F.count("*")).alias("pct")).filter(F.col("n") >= least)
+    w = Window.partitionBy()  # one row per group
+    return g.withColumn("spread", F.max("pct").over(w) - F.min("pct").over(w))
+
+
+def monotone(m: DataFrame, level: str, value: str) -> DataFrame:
+    """Values by level, and whether each is at least the one of the level before."""
+    w = Window.orderBy(level)  # one row per level
+    return m.withColumn("rises", F.coalesce(F.col(value) >= F.lag(value).over(w), F.lit(True)))
+
+
+def funnel(fact: DataFrame, steps: Mapping[str, str]) -> DataFrame:
+    """Rows that meet the first condition, the first two, and so on, each with its share of the step before."""
+    cond, cols = F.lit(True), []
+    for sql in steps.values():
+        cond = cond & F.coalesce(F.expr(sql), F.lit(False))
+        cols.append(F.count_if(cond))
+    one = fact.agg(*[c.alias(f"s{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("step"), F.col(f"s{i}").alias("n"), F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"s{i - 1}" if i else "s0")).alias("of_previous")) for i, name in enumerate(steps)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def outliers(fact: DataFrame, group: str, value: str, deviations: float = 3.0) -> DataFrame:
     """Rows far from their group's mean."""
     s = fact.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))

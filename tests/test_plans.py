@@ -87,7 +87,16 @@ def test_facts(spark):
     assert (f.transfer_count, f.icu_days, f.first_bed_id, f.total_charges, f.is_index, f.is_readmission) == (1, 2.0, "b1", 12.5, True, False)
     doc = spark.createDataFrame([(1, "d1", T(2020, 1, 1), T(2023, 1, 1), False), (2, "d1", T(2023, 1, 1), T(9999, 12, 31), True)], "doctor_key int, doctor_id string, effective_from_ts timestamp, effective_to_ts timestamp, is_current boolean")
     dia = spark.createDataFrame([(8, "I104")], "diagnosis_key int, diagnosis_code string")
-    got = facts.build_fact(adm, facts.FACTS["fact_admission"], {"dim_doctor": doc, "dim_diagnosis": dia}, {"dim_doctor": "doctor_id", "dim_diagnosis": "diagnosis_code"}, batch_id="b", loaded="2024-02-01 00:00:00").first()
+    rest = ["dim_patient", "dim_hospital", "dim_department", "dim_admission_type", "dim_discharge_disposition", "dim_insurance_provider"]
+    adm = adm.withColumn("expected_discharge_ts", F.lit(None).cast("timestamp"))
+    kw = {"batch_id": "b", "loaded": "2024-02-01 00:00:00"}
+    got = facts.build_fact(adm, facts.FACTS["fact_admission"], {"dim_doctor": doc, "dim_diagnosis": dia}, {"dim_doctor": "doctor_id", "dim_diagnosis": "diagnosis_code"}, without=rest, **kw).first()
+    with pytest.raises(KeyError, match="dim_patient"):  # nothing is left out silently
+        facts.build_fact(adm, facts.FACTS["fact_admission"], {"dim_doctor": doc, "dim_diagnosis": dia}, {"dim_doctor": "doctor_id", "dim_diagnosis": "diagnosis_code"}, **kw)
+    with pytest.raises(KeyError, match="discharge_ts"):
+        facts.build_fact(adm.drop("discharge_ts"), facts.FACTS["fact_admission"], {"dim_doctor": doc, "dim_diagnosis": dia}, {"dim_doctor": "doctor_id", "dim_diagnosis": "diagnosis_code"}, without=rest, **kw)
+    med = facts.with_dim_flag(spark.createDataFrame([(1, 5), (2, -1)], "o int, medication_key int"), spark.createDataFrame([(5, True), (5, False), (6, True)], "medication_key int, is_high_alert boolean"), "medication_key", "is_high_alert")
+    assert rows(med, "o", "is_high_alert") == [(1, True), (2, False)]
     assert (got.attending_doctor_key, got.primary_diagnosis_key, got.admission_date_key, got.admission_time_key, got.batch_id) == (2, 8, 20240101, 0, "b")
     b = facts.bed_occupancy(beds, spark.createDataFrame([("b1", "d"), ("b9", "d")], "bed_id string, department_id string"), last="2024-01-03", days=3)
     assert b.count() == 6 and float(b.filter("bed_id = 'b1' and day = '2024-01-01'").first().available_hours) == 0.0
@@ -117,6 +126,19 @@ def test_measures(spark):
     assert measures.scorecard(f, ["n"], ["d"], {"n": Measure("f", "count")}).count() == 3
 
 
+def test_report_shapes(spark):
+    m = spark.createDataFrame([("a", 1, 5), ("a", 2, 8), ("a", 4, 6), ("b", 1, 3)], "d string, p int, n int")
+    assert sorted((r.d, r.p, r.n_change) for r in measures.period_over_period(m, "p", ["n"], ["d"]).collect()) == [("a", 1, None), ("a", 2, 3), ("a", 4, -2), ("b", 1, None)]
+    a = spark.createDataFrame([(3, True, False), (7, False, True), (8, True, False), (40, False, True), (None, True, False)], "lead_time_days int, is_completed boolean, is_no_show boolean")
+    assert {r.lead_band: r.no_show_rate for r in measures.no_show_by_lead(a).collect()} == {"0-7": 0.5, "8-14": 0.0, "30+": 1.0, None: 0.0}
+    assert rows(measures.repeat_cohort(spark.createDataFrame([("x", True), ("x", True), ("y", True)], "p string, m boolean"), "p", F.col("m"))) == [("x", 2)]
+    o = spark.createDataFrame([(date(2024, 6, 1), 5.0), (date(2024, 5, 2), 1.0), (date(2024, 1, 1), 7.0), (date(2024, 1, 2), 0.0)], "d date, x double")
+    assert rows(measures.ageing(o, date="d", amount="x"), "age_band", "outstanding") == [("0-30", 6.0), ("over 90", 7.0)]
+    f = {r.step: (r.n, r.of_previous) for r in measures.funnel(spark.createDataFrame([(1, 1), (1, 0), (0, 1), (None, 1)], "a int, b int"), {"all": "true", "a": "a = 1", "b": "b = 1"}).collect()}
+    assert f == {"all": (4, 1.0), "a": (2, 0.5), "b": (1, 0.5)}
+    assert [r.rises for r in measures.monotone(spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 6.0)], "l int, v double"), "l", "v").orderBy("l").collect()] == [True, True, False]
+
+
 def test_access(spark):
     df = spark.createDataFrame([(1, "secret", 5), (2, "x", 6)], "h int, name string, n int")
     scope = spark.createDataFrame([("u", 1)], "user_principal_name string, h int")
