@@ -209,26 +209,41 @@ def hl7_parse(spark: SparkSession, d: str) -> DataFrame:
 _ISA = "ISA*00*          *00*          *ZZ*SENDER         *ZZ*RECEIVER       *240101*1200*^*00501*000000001*0*P*:~"
 
 
-@query(f"select '000000001' as interchange_control_number, 'NPI' || l_orderkey as billing_provider_npi, 'C' || l_orderkey as claim_number, 'PAY' || l_orderkey as payer_id, 'SUB' || l_orderkey as subscriber_member_id, '100.00' as billed_amount, '11' as place_of_service, '20240102' as service_date, 'C349' as primary_diagnosis_code, cast(n as varchar) as line_number, 'S' || l_partkey as service_code, '5.50' as line_amount from {_LINES}")
-def edi837_parse(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("l_orderkey").cast("string")
+def claim_files(spark: SparkSession, d: str) -> DataFrame:
+    """Claim files of about two hundred claims, so that claim scope matters.
+
+    Some claims name no payer, some have no lines, and half of the files name no submitter of their own.
+    """
+    k = F.col("l_orderkey")
+    t = k.cast("string")
     line = F.concat(F.lit("LX*"), F.col("n").cast("string"), F.lit("~SV1*HC:S"), F.col("l_partkey").cast("string"), F.lit("*5.50*UN*1~DTP*472*D8*20240102"))
     claims = _joined(_numbered(spark, d), "l_orderkey", line, "~")
-    claim = F.concat(F.lit("HL*1**20~NM1*85*2*H*****XX*NPI"), k, F.lit("~HL*2*1*22~SBR*P*18*******CI~NM1*IL*1*A*B****MI*SUB"), k, F.lit("~NM1*PR*2*P*****PI*PAY"), k, F.lit("~CLM*C"), k, F.lit("*100.00***11:B:1~DTP*472*D8*20240102~HI*ABK:C349~"), "body")
-    # about two hundred claims to a file, so that claim scope matters
+    payer = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("~NM1*PR*2*P*****PI*PAY"), t))
+    lines = F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("~"), "body"))
+    claim = F.concat(F.lit("HL*1**20~NM1*85*2*H*****XX*H"), (k % 27).cast("string"), F.lit("~HL*2*1*22~SBR*P*18*******CI~NM1*IL*1*A*B****MI*C"), t, payer, F.lit("~CLM*C"), t, F.lit("*100.00***11:B:1~DTP*472*D8*20240102~HI*ABK:I110"), lines)
     body = claims.select(F.pmod("l_orderkey", F.lit(199)).alias("file_no"), F.col("l_orderkey").alias("n"), claim.alias("s")).groupBy("file_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "~").alias("body"))
-    docs = body.select(F.col("file_no").cast("string").alias("file"), F.concat(F.lit(_ISA + "GS*HC~ST*837*0001~BHT*0019*00*1*20240101~NM1*41*2*S*****46*SUBMIT~NM1*40*2*R*****46*RECV~"), "body", F.lit("~SE*9*0001~GE*1*1~IEA*1*000000001~")).alias("content"))
-    return edi.parse_claims(docs).select("interchange_control_number", "billing_provider_npi", "claim_number", "payer_id", "subscriber_member_id", "billed_amount", "place_of_service", "service_date", "primary_diagnosis_code", "line_number", "service_code", "line_amount")
+    names = F.when(F.col("file_no") % 2 == 0, "NM1*41*2*S*****46*SUBMIT~NM1*40*2*R*****46*RECV~").otherwise("")
+    return body.select(F.col("file_no").cast("string").alias("file"), F.concat(F.lit(_ISA + "GS*HC~ST*837*0001~BHT*0019*00*1*20240101~"), names, "body", F.lit("~SE*9*0001~GE*1*1~IEA*1*000000001~")).alias("content"))
 
 
-@query("select 'C' || o_orderkey as claim_number, case o_orderstatus when 'F' then '4' else '1' end as claim_status_code, '80.00' as paid_amount, '7.00' as patient_responsibility, 'ACH' as payment_method, '20240203' as payment_date, 'PAYER' as payer_name, 3::int as adjustments, 12.50::decimal(18, 2) as adjustment_amount, 45::varchar as adjustment_reason from orders")
-def edi835_parse(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""select '000000001' as interchange_control_number, case when l_orderkey % 199 % 2 = 0 then 'SUBMIT' else 'SENDER' end as submitter_id, case when l_orderkey % 199 % 2 = 0 then 'RECV' else 'RECEIVER' end as receiver_id, 'H' || (l_orderkey % 27) as billing_provider_npi, 'C' || l_orderkey as claim_number, case when l_orderkey % 11 = 0 then 'CI' else 'PAY' || l_orderkey end as payer_id,
+'C' || l_orderkey as subscriber_member_id, '100.00' as billed_amount, '11' as place_of_service, '20240102' as service_date, 'I110' as primary_diagnosis_code, case when l_orderkey % 17 <> 0 then cast(n as varchar) end as line_number, case when l_orderkey % 17 <> 0 then 'S' || l_partkey end as service_code, case when l_orderkey % 17 <> 0 then '5.50' end as line_amount,
+case when l_orderkey % 17 = 0 then 'Claim has no service lines' end as parse_error from {_LINES} where l_orderkey % 17 <> 0 or n = 1""")
+def edi837_parse(spark: SparkSession, d: str) -> DataFrame:
+    return edi.parse_claims(claim_files(spark, d)).select("interchange_control_number", "submitter_id", "receiver_id", "billing_provider_npi", "claim_number", "payer_id", "subscriber_member_id", "billed_amount", "place_of_service", "service_date", "primary_diagnosis_code", "line_number", "service_code", "line_amount", "parse_error")
+
+
+def remittance_files(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     claim = F.concat(F.lit("CLP*C"), F.col("o_orderkey").cast("string"), F.lit("*"), F.when(F.col("o_orderstatus") == "F", "4").otherwise("1"), F.lit("*100.00*80.00*7.00*MC~CAS*CO*45*12.50**97*1.00~CAS*PR*2*3.00~NM1*QC*1*A*B~DTM*232*20240101"))
     body = o.select(F.pmod("o_orderkey", F.lit(97)).alias("file_no"), F.col("o_orderkey").alias("n"), claim.alias("s")).groupBy("file_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "~").alias("body"))
     fix = "GS*HP~ST*835*0001~BPR*I*500.00*C*ACH*CCP*01*9*DA*1*9**01*9*DA*1*20240203~TRN*1*CHK1*9~DTM*405*20240203~N1*PR*PAYER~N1*PE*PROV~LX*1~"
-    docs = body.select(F.col("file_no").cast("string").alias("file"), F.concat(F.lit(_ISA + fix), "body", F.lit("~SE*9*0001~GE*1*1~IEA*1*000000001~")).alias("content"))
-    r = edi.parse_remittances(docs)
+    return body.select(F.col("file_no").cast("string").alias("file"), F.concat(F.lit(_ISA + fix), "body", F.lit("~SE*9*0001~GE*1*1~IEA*1*000000001~")).alias("content"))
+
+
+@query("select 'C' || o_orderkey as claim_number, case o_orderstatus when 'F' then '4' else '1' end as claim_status_code, '80.00' as paid_amount, '7.00' as patient_responsibility, 'ACH' as payment_method, '20240203' as payment_date, 'PAYER' as payer_name, 3::int as adjustments, 12.50::decimal(18, 2) as adjustment_amount, 45::varchar as adjustment_reason from orders")
+def edi835_parse(spark: SparkSession, d: str) -> DataFrame:
+    r = edi.parse_remittances(remittance_files(spark, d))
     return r.select("claim_number", "claim_status_code", "paid_amount", "patient_responsibility", "payment_method", "payment_date", "payer_name", F.size("adjustments").alias("adjustments"), "adjustment_amount", "adjustment_reason")
 
 
