@@ -14,7 +14,7 @@ def apply_row_policy(df: DataFrame, *, user: str, scope: DataFrame, key: str, ro
     if mine.filter(F.col("is_all_hospitals") | F.col("role_name").isin(*bypass)).limit(1).count():
         return df
     keys = scope.filter(F.col("user_principal_name") == user).select(key).distinct()
-    return df.join(F.broadcast(keys), key, "left_semi")  # one user's grants
+    return df.join(keys, key, "left_semi")
 
 
 def partial_mask(c: Column | str, prefix: int, pad: str, suffix: int) -> Column:
@@ -46,6 +46,12 @@ def allowed_tables(grants: DataFrame, roles: Iterable[str]) -> DataFrame:
     return mine.filter("effect = 'GRANT'").select("table_name").distinct().join(mine.filter("effect = 'DENY'").select("table_name").distinct(), "table_name", "left_anti")
 
 
+def allowed_columns(df: DataFrame, table: str, hidden: DataFrame, roles: Iterable[str]) -> DataFrame:
+    """``df`` without the columns that are hidden (``table_name, column_name, role_name``) from any of the roles."""
+    mine = hidden.filter((F.col("table_name") == table) & F.col("role_name").isin(*roles)).select("column_name").distinct().collect()  # columns of one table
+    return df.drop(*[r["column_name"] for r in mine])
+
+
 def deidentified(fact: DataFrame, joins: Iterable[tuple[DataFrame, str]], keep: list[str]) -> DataFrame:
     """Star join on surrogate keys, reduced to columns without identifiers."""
     for dim, key in joins:

@@ -105,10 +105,20 @@ def failing_rows(df: DataFrame, rule: Rule) -> DataFrame:
     return wide.filter(~F.coalesce(v.cast("boolean"), F.lit(False))).select(*df.columns).withColumn("_dq_rule_id", F.lit(rule.rule_id))
 
 
+def breached_rows(df: DataFrame, rules: Iterable[Rule], results: DataFrame) -> DataFrame | None:
+    """Rows to set aside: those failing a rule that is breached and whose action is 'Quarantine'; None if no rule asks for it.
+
+    A row that fails several such rules comes once per rule.
+    """
+    hit = {r["rule_id"] for r in results.filter("is_breach and action = 'Quarantine' and status = 'OK'").select("rule_id").collect()}  # one row per rule
+    parts = [failing_rows(df, r) for r in rules if r.rule_id in hit]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def with_rule_keys(results: DataFrame, dim_rule: DataFrame) -> DataFrame:
     """Surrogate keys of the rules; -1 where the catalogue lacks one."""
     d = dim_rule.select("rule_id", "dq_rule_key").dropDuplicates(["rule_id"])
-    return results.join(F.broadcast(d), "rule_id", "left").withColumn("dq_rule_key", F.coalesce("dq_rule_key", F.lit(-1)))
+    return results.join(d, "rule_id", "left").withColumn("dq_rule_key", F.coalesce("dq_rule_key", F.lit(-1)))
 
 
 def gate(results: DataFrame) -> None:

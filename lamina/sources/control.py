@@ -11,17 +11,38 @@ from pyspark.sql import functions as F
 
 DEFAULT_WATERMARK = "1900-01-01 00:00:00"
 BATCH = "batch_id string, pipeline_name string, source_system string, entity_name string, target_table string, load_type string, watermark_from string, watermark_to string, status string, rows_read long, rows_written long, duration_seconds long, error_message string, start_ts timestamp, end_ts timestamp"
+REGISTRY = "source_system string, entity_name string, connection_type string, target_table string, load_type string, watermark_column string, key_columns string, is_active boolean, sla_minutes int, priority int"
+#: how each kind of source is read (fixed values)
+CONNECTION_TYPES = ("relational", "api", "csv", "json", "message", "spreadsheet")
 NEXT = {"RUNNING": ("STAGED", "FAILED", "NO_DATA"), "STAGED": ("SUCCESS", "FAILED"), "SUCCESS": (), "FAILED": (), "NO_DATA": ()}
 _KEY = ["source_system", "entity_name"]
 
 
+def source_registry(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Registry from one dict per entity; what a row leaves out is null, active, and loaded in full.
+
+    Raises on an unknown connection type, on a repeated entity and on an incremental entity without watermark column.
+    """
+    names = [c.split()[0] for c in REGISTRY.split(", ")]
+    full = [{"is_active": True, "load_type": "full", "priority": 1} | r for r in rows]
+    keys = [(r["source_system"], r["entity_name"]) for r in full]
+    for r, k in zip(full, keys, strict=True):
+        if r["connection_type"] not in CONNECTION_TYPES:
+            raise ValueError(f"{k}: unknown connection type {r['connection_type']}")
+        if r["load_type"] == "incremental" and not r.get("watermark_column"):
+            raise ValueError(f"{k}: an incremental entity needs a watermark column")
+    if len(set(keys)) < len(keys):
+        raise ValueError("entities repeat")
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in full], REGISTRY)
+
+
 def entities_to_ingest(registry: DataFrame, watermarks: DataFrame, connection_type: str | None = None) -> DataFrame:
     """Active entities with their watermark, in order."""
     r = registry.filter("is_active")
     if connection_type:
         r = r.filter(F.col("connection_type") == connection_type)
     w = watermarks.select(*_KEY, "watermark_value")
-    return r.join(F.broadcast(w), _KEY, "left").withColumn("watermark_value", F.coalesce("watermark_value", F.lit(DEFAULT_WATERMARK))).orderBy(*_KEY)
+    return r.join(w, _KEY, "left").withColumn("watermark_value", F.coalesce("watermark_value", F.lit(DEFAULT_WATERMARK))).orderBy(*_KEY)
 
 
 def batch_start(log: DataFrame, *, batch_id: str, now: str, **fields: str) -> DataFrame:

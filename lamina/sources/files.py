@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.session import pin
+
 
 def whole_files(spark: SparkSession, glob: str) -> DataFrame:
     """``file, content, modified`` of every file matching the pattern; no match gives no rows."""
@@ -38,6 +40,15 @@ def text_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return r.csv(path)
 
 
+def within_errors(df: DataFrame, most: int = 50) -> DataFrame:
+    """Rows of a table read with ``bad_rows`` whose malformed lines number at most ``most``; more of them are an error."""
+    kept = pin(df)  # the corrupt column cannot be asked alone
+    n = kept.filter("_corrupt is not null").count()
+    if n > most:
+        raise ValueError(f"{n} malformed lines, at most {most} are allowed")
+    return kept.filter("_corrupt is null").drop("_corrupt")
+
+
 def json_envelope(spark: SparkSession, path: str, record: T.StructType | str, field: str = "data") -> DataFrame:
     """Multi-line JSON pages: the records of the ``field`` array, with a given schema."""
     kind = record if isinstance(record, str) else record.simpleString()

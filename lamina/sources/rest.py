@@ -60,6 +60,50 @@ def page_of(rows: list[dict], *, key: str, watermark: str, limit: int | None = N
     return {"data": page, "pagination": {"returned": len(page), "total_matching": total, "limit": n, "has_more": more, "next_cursor": nxt}}
 
 
+class RestError(Exception):
+    """An answer that is no page: status and message."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(f"{status} {message}")
+        self.status = status
+
+
+class PageServer:
+    """Server side of the protocol in memory: tokens that expire, a request limit per window, unknown collections, bad cursors.
+
+    ``collections`` maps a name to (rows, key column, watermark column). ``clock`` gives seconds.
+    """
+
+    def __init__(self, collections: dict[str, tuple[list[dict], str, str]], client: tuple[str, str], *, token_seconds: int = 900, limit: int = 120, window: int = 60, clock: Callable[[], float] = time.time):
+        self.collections, self.client, self.token_seconds, self.limit, self.window, self.clock = collections, client, token_seconds, limit, window, clock
+        self.tokens: dict[str, float] = {}
+        self.calls: list[float] = []
+
+    def token(self, client_id: str, secret: str) -> str:
+        if (client_id, secret) != self.client:
+            raise RestError(401, "unknown client")
+        t = base64.urlsafe_b64encode(f"{client_id}:{len(self.tokens)}".encode()).decode()
+        self.tokens[t] = self.clock() + self.token_seconds
+        return t
+
+    def get(self, name: str, params: dict, token: str) -> dict:
+        now = self.clock()
+        if self.tokens.get(token, -1) <= now:
+            raise RestError(401, "token missing or expired")
+        self.calls = [c for c in self.calls if c > now - self.window]
+        if len(self.calls) >= self.limit:
+            raise RestError(429, "too many requests")
+        self.calls.append(now)
+        if name not in self.collections:
+            raise RestError(404, f"no collection {name}")
+        rows, key, watermark = self.collections[name]
+        extra = {k: v for k, v in params.items() if k not in ("limit", "cursor", "updated_since")}
+        try:
+            return page_of(rows, key=key, watermark=watermark, limit=None if params.get("limit") is None else int(params["limit"]), cursor=params.get("cursor"), updated_since=params.get("updated_since"), filters=extra)
+        except ValueError as e:
+            raise RestError(400, str(e)) from e
+
+
 def all_pages(fetch: Callable[[dict], dict], limit: int = 1_000, updated_since: str | None = None) -> Iterator[dict]:
     """Follow cursors until the server gives none."""
     cursor = None
