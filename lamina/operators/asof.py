@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.hot import HOT_PARTS
-from lamina.session import pin, ship
+from lamina.session import ship, written
 
 #: 2**16 s is about 18 hours.
 FLOOR_LEVEL = 16
@@ -80,19 +80,22 @@ def as_of(
         .filter("_e is not null and _f is not null and _t is not null")
         .distinct()
     )
-    e = pin(events.select(F.struct(*event_id).alias("_id"), event_entity.alias("_e"), F.col(event_at).cast("timestamp").alias("_at")).filter("_e is not null and _at is not null"))
+    e = written(events.select(F.struct(*event_id).alias("_id"), event_entity.alias("_e"), F.col(event_at).cast("timestamp").alias("_at")).filter("_e is not null and _at is not null"))
     stat = e.agg(F.count("*").alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
     lo, hi = (F.lit(x).cast("timestamp") for x in (stat["lo"], stat["hi"]))
-    part = v.withColumns({"_a": F.greatest("_f", lo), "_b": F.least("_t", hi + F.expr("interval 1 second"))})
-    nodes = interval_nodes(part.filter((F.col("_f") < F.col("_t")) & (F.col("_f") <= hi) & (F.col("_t") > lo)), "_a", "_b", floor).drop("_a", "_b")
     # fewer than hot_parts entities, by the threshold
     most = max(1, stat["n"] // hot_parts)
-    hot = F.broadcast(e.groupBy("_e").agg(F.ceil(F.count("*") / most).alias("_salts")).filter("_salts > 1"))
-    salts = F.coalesce("_salts", F.lit(1))
-    nodes = nodes.join(hot, "_e", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    hot = [(r["_e"], r["n"]) for r in e.groupBy("_e").agg(F.ceil(F.count("*") / most).alias("n")).filter("n > 1").collect()]
+    salts = F.lit(1).cast("long")
+    if hot:
+        parts = F.create_map(*[x for k, n in hot for x in (F.lit(k), F.lit(n).cast("long"))])
+        salts = F.when(F.col("_e").isin(*[k for k, _ in hot]), F.element_at(parts, F.col("_e"))).otherwise(salts)
+    cut = v.withColumns({"_a": F.greatest("_f", lo), "_b": F.least("_t", hi + F.expr("interval 1 second"))})
+    nodes = interval_nodes(cut.filter((F.col("_f") < F.col("_t")) & (F.col("_f") <= hi) & (F.col("_t") > lo)), "_a", "_b", floor).drop("_a", "_b")
+    # written, so that the optimizer broadcasts them by their size or not at all
+    nodes = written(nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))))
     levels = nodes.filter("_salt = 0").groupBy("_e").agg(F.collect_set("_level").alias("_levels"))  # at most 24 numbers
-    keyed = e.join(hot, "_e", "left").withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), salts)).drop("_salts")
-    keyed = keyed.join(levels, "_e").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_node", F.expr(f"shiftright(unix_seconds(_at) + {SHIFT}L, _level)"))
+    keyed = e.withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), salts)).join(levels, "_e").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_node", F.expr(f"shiftright(unix_seconds(_at) + {SHIFT}L, _level)"))
     hit = keyed.join(nodes, ["_e", "_level", "_node", "_salt"]).filter((F.col("_f") <= F.col("_at")) & (F.col("_at") < F.col("_t")))
     best = hit.groupBy("_id").agg(F.min(F.struct((-F.unix_micros("_f")).alias("k"), F.col("_v"))).alias("b"))
     names = {c: f"{c}_version" if c in event_id else c for c in take}

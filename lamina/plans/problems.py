@@ -10,7 +10,7 @@ from lamina.operators.asof import as_of, latest_rows
 from lamina.operators.history import snapshot, version_history
 from lamina.operators.intervals import spans
 from lamina.operators.orphans import missing_references, orphan_report
-from lamina.session import pin, table
+from lamina.session import table, written
 
 TS = "yyyy-MM-dd HH:mm:ss"
 DOCTOR_ATTRS = ("primary_department_id", "specialty", "sub_specialty", "employment_type", "fte", "is_active")
@@ -91,7 +91,7 @@ def p6_bed_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def _admission_orphans(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, Column]]:
     a = _admissions(spark, d, ["primary_diagnosis_code", "attending_physician_id", "admission_ts"])
-    a = pin(a.select("admission_id", "admission_ts", plain_code("primary_diagnosis_code").alias("code"), plain_id("attending_physician_id").alias("doctor")))
+    a = written(a.select("admission_id", "admission_ts", plain_code("primary_diagnosis_code").alias("code"), plain_id("attending_physician_id").alias("doctor")))
     keep = ["admission_id", "admission_ts"]
     codes = missing_references(a, table(spark, d, "ref_icd10ca"), ref_key=F.col("code"), parent_key=plain_code("diagnosis_code"), keep=keep)
     doctors = missing_references(a, table(spark, d, "dim_doctor"), ref_key=F.col("doctor"), parent_key=plain_id("doctor_id"), keep=keep)

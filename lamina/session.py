@@ -54,12 +54,28 @@ def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+_tables: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: like :func:`pin`, with a size the optimizer knows, but without its row order."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    _tables.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete all tables this application has pinned; results that read them must have been written before."""
+    """Delete all tables this application has pinned or written; results that read them must have been written before."""
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    conf, new = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for t in _tables:
+        path = new(t)
+        path.getFileSystem(conf).delete(path, True)
+    _tables.clear()
     if not made.isEmpty():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.get())
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        path = new(made.get())
+        fs = path.getFileSystem(conf)
         for f in fs.listStatus(path) if fs.exists(path) else []:
             fs.delete(f.getPath(), True)
 
