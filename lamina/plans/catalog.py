@@ -576,10 +576,8 @@ def correlation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, avg_value, ntile(3) over (order by avg_value, user_id)::int as tier from (select user_id, cast(round(avg(value), 4) as decimal(18, 4)) as avg_value from events group by 1)")
 def user_tiers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     u = table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).cast("decimal(18,4)").alias("avg_value"))
-    return u.withColumn("tier", F.ntile(3).over(Window.orderBy("avg_value", "user_id")))
+    return measures.tiers(u, ["avg_value", "user_id"], 3)
 
 
 @query("with s as (select event_type, avg(value) m, stddev_samp(value) sd from events group by 1) select event_id, round((value - m) / sd, 4) as z from events join s using (event_type) where abs((value - m) / sd) > 3")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.conforming import surrogate_keys
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -211,6 +213,15 @@ def funnel(fact: DataFrame, steps: Mapping[str, str]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def tiers(df: DataFrame, order: list[str], k: int, out: str = "tier") -> DataFrame:
+    """Rows in ``k`` tiers of equal size by order, the first ones longer where it does not divide; no window over all rows."""
+    n = df.count()
+    short, longer = divmod(n, k)
+    at = F.col("_n") - 1
+    tier = F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / max(1, short))) + 1
+    return surrogate_keys(df, order, "_n").withColumn(out, tier.cast("int")).drop("_n")
+
+
 def outliers(fact: DataFrame, group: str, value: str, deviations: float = 3.0) -> DataFrame:
     """Rows far from their group's mean."""
     s = fact.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))

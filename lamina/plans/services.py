@@ -10,7 +10,7 @@ from lamina.functions.spelling import plain_id
 from lamina.operators import access, conforming, identity, quality
 from lamina.plans import catalog, emitters, feeds, star
 from lamina.session import pin, scratch_path, table
-from lamina.sources import commit, control, edi, files, hl7
+from lamina.sources import commit, control, edi, files, hl7, rest
 from lamina.sources.store import TableStore
 
 QUERIES: dict = {}
@@ -87,6 +87,79 @@ def dotted_columns(spark: SparkSession, d: str) -> DataFrame:
     return files.unprefix(wide)
 
 
+def _workbook(rows: list[list[str]]) -> bytes:
+    """A workbook of one sheet with inline texts."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in r) + "</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query("select cast(n_nationkey as varchar) as k, n_name as name from nation")
+def spreadsheet_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Workbooks with three lines above the header, read back by header."""
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string"), "n_name").orderBy("n_nationkey").collect()  # the 25 rows of the sheet
+    sc, folder = spark.sparkContext, scratch_path(spark, "xlsx")
+    for i, part in enumerate((rows[:10], rows[10:])):
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}.xlsx")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(_workbook([["title"], [""], [""], ["name", "k"], *[[r[1], r[0]] for r in part], ["", ""]]))
+        out.close()
+    return files.spreadsheet(spark, folder, ["k", "name"])
+
+
+@query("select n_nationkey::varchar as id, n_name as name from nation where n_regionkey <> 0")
+def rest_pull(spark: SparkSession, d: str) -> DataFrame:
+    """Pages pulled over HTTP with token, cursors and retries; the server fails the first request of every page once."""
+    import json
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    rows = [r.asDict() for r in table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.format_string("2024-01-%02d", F.col("n_regionkey") + 1).alias("updated_at")).collect()]
+    server = rest.PageServer({"nation": (rows, "id", "updated_at")}, ("me", "pw"))
+    failed: set[str] = set()
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, status: int, body: dict) -> None:
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_POST(self) -> None:  # noqa: N802
+            form = dict(urllib.parse.parse_qsl(self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.reply(200, {"access_token": server.token(form["client_id"], form["client_secret"])})
+
+        def do_GET(self) -> None:  # noqa: N802
+            if self.path not in failed:
+                failed.add(self.path)
+                return self.reply(503, {})
+            u = urllib.parse.urlparse(self.path)
+            try:
+                self.reply(200, server.get(u.path.rsplit("/", 1)[1], dict(urllib.parse.parse_qsl(u.query)), self.headers["Authorization"].removeprefix("Bearer ")))
+            except rest.RestError as e:
+                self.reply(e.status, {"error": str(e)})
+
+        def log_message(self, *args) -> None:
+            pass
+
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    http = ThreadingHTTPServer(("0.0.0.0", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://{host}:{http.server_port}"
+    try:
+        got = rest.pull(spark, "id string, name string", base_url=base, entities="nation", token_url=f"{base}/token", client_id="me", client_secret="pw", limit="4", updated_since="2024-01-01")
+        return pin(got.select("id", "name"))
+    finally:
+        http.shutdown()
+
+
 # --- sinks -------------------------------------------------------------------------------------
 
 _ENTITY = commit.Entity("ERP", "orders", "raw_orders", "full")

@@ -487,3 +487,25 @@ def satisfaction_by_wait(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("satisfaction_by_wait", satisfaction_by_wait, f"with w as (select arrival_to_physician_min as m, cast(s.overall_score as int) as o from {_ED} e join {_SURVF} s using (encounter_id) where arrival_ts is not null and arrival_to_physician_min is not null), c as (select quantile_cont(m, 1.0 / 3) a, quantile_cont(m, 2.0 / 3) b from w) select (case when m <= a then 1 when m <= b then 2 else 3 end)::int as third, count(*) as n, round(avg(o), 6)::double as mean_score from w, c group by 1")
+_add("panel_size", lambda spark, d: measures.compute(silver(spark, d, "appointment").withColumn("patient_key", F.col("patient_golden_id")).filter("is_completed"), ["distinct_patients_seen", "completed_appointments"], ["doctor_id"]), f"select doctor_id, count(distinct patient_golden_id) as distinct_patients_seen, count(*) as completed_appointments from {_AP} where scheduled_ts is not null and is_completed group by 1")
+
+
+def medication_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Cost per class of drug and its share of orders on the formulary, which is what the dimension knows."""
+    m = _alerts(spark, d).withColumn("drug_class", F.substring("din", 1, 2))
+    return m.groupBy("drug_class").agg(F.sum("total_cost").cast("decimal(22,4)").alias("cost"), F.round(F.avg((F.col("medication_key") >= 0).cast("double")), 6).alias("formulary_share"))
+
+
+_add("medication_by_class", medication_by_class, f"select left(din2, 2) as drug_class, cast(sum(total_cost) as decimal(22, 4)) as cost, round(count(*) filter (where din2 in (select din from ({feeds.dim_sql('dim_medication')}))) / count(*), 6)::double as formulary_share from {_MEDF} group by 1")
+
+
+def failing_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Pass rate per severity and the rule that fails most rows in each."""
+    from lamina.operators import quality
+
+    rules = [quality.Rule("1", "discharge_ts >= admission_ts", severity="Error"), quality.Rule("2", "payer_id IS NOT NULL", severity="Error"), quality.Rule("3", "department_id IS NOT NULL"), quality.Rule("4", "discharge_disposition_code IS NOT NULL")]
+    r = quality.evaluate(table(spark, d, "admission"), rules)
+    return r.groupBy("severity").agg(F.round(F.sum("rows_passed") * 100.0 / F.sum("rows_evaluated"), 4).cast("double").alias("pass_rate"), F.max(F.struct("rows_failed", "rule_id"))["rule_id"].alias("worst"))
+
+
+_add("failing_rules", failing_rules, "with r as (select 'Error' as severity, '1' as rule_id, count(*) n, count(*) filter (where discharge_ts >= admission_ts) p from admission union all select 'Error', '2', count(*), count(payer_id) from admission union all select 'Warning', '3', count(*), count(department_id) from admission union all select 'Warning', '4', count(*), count(discharge_disposition_code) from admission) select severity, round(sum(p) * 100.0 / sum(n), 4)::double as pass_rate, arg_max(rule_id, (n - p, rule_id)) as worst from r group by 1")
