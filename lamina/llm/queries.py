@@ -178,7 +178,34 @@ u as (
   union all select patient_golden_id, uid, m, 'primary_phone' from j where p is not null
 )"""
 
+def _fusion_sql(rounds: int = fusion.ROUNDS) -> str:
+    """The estimation of :mod:`fusion` for two sources, all rounds written out."""
+    n_false, low, high, floor = fusion.FALSE_VALUES, 0.05, 0.99, 0.05
+    far = f"{1 << 62}"
+    out = f"""{_CLAIMS}, cl as (
+  select patient_golden_id e, f, split_part(uid, '|', 1) src, uid, v, max(m) m from (
+    select patient_golden_id, uid, m, 'health_card_number' f, c v from j union all select patient_golden_id, uid, m, 'date_of_birth', strftime(d, '%Y-%m-%d') from j
+    union all select patient_golden_id, uid, m, 'postal_code', z from j union all select patient_golden_id, uid, m, 'primary_phone', p from j) where v is not null group by all
+), val as (
+  select e, f, v, (count(*) filter (where src = 'EHR'))::double n0, (count(*) filter (where src = 'SCHED'))::double n1,
+    coalesce(epoch_us(min(m) filter (where src = 'EHR')), {far}) t0, coalesce(epoch_us(min(m) filter (where src = 'SCHED')), {far}) t1 from cl group by 1, 2, 3
+), p0 as (select distinct f, 0.8::double a0, 0.8::double a1, 0.2::double d00, 0.2::double d11, 0.2::double d01 from val)"""
+    dep = lambda shared, base: f"least(0.95, greatest({floor}, ((({shared}) + {fusion.COPY_WEIGHT * fusion.COPY_PRIOR}) / (({base}) + {fusion.COPY_WEIGHT}) - {1 / n_false}) / {1 - 1 / n_false}))"
+    for r in range(1, rounds + 1):
+        out += f""", w{r} as (
+  select val.*, (1 - pow(1 - d00, n0)) / d00 * case when n1 > 0 and t1 < t0 then 1 - d01 else 1.0 end * ln({n_false} * a0 / (1 - a0)) + (1 - pow(1 - d11, n1)) / d11 * case when n0 > 0 and t0 <= t1 then 1 - d01 else 1.0 end * ln({n_false} * a1 / (1 - a1)) w from val join p{r - 1} using (f)
+), s{r} as (
+  select *, case when post > 0.5 + 1e-9 then 0.0 else 1 - post end lost from (select *, exp(w) / (sum(exp(w)) over (partition by e, f) + {n_false}) post from w{r})
+), p{r} as (
+  select f, least({high}, greatest({low}, sum(n0 * post) / sum(n0))) a0, least({high}, greatest({low}, sum(n1 * post) / sum(n1))) a1, {dep("sum(case when n0 > 1 then n0 * lost else 0 end)", "sum(n0 * lost)")} d00, {dep("sum(case when n1 > 1 then n1 * lost else 0 end)", "sum(n1 * lost)")} d11,
+    {dep("sum(case when n0 > 0 and n1 > 0 then (n0 + n1) * lost else 0 end)", "sum(n0 * lost) + sum(n1 * lost)")} d01 from s{r} group by f
+)"""
+    best = f"select e, f, v from (select cl.*, row_number() over (partition by e, f order by round(w, 9) desc, m desc nulls last, uid, v) rn from cl join s{rounds} using (e, f, v)) where rn = 1"
+    return f"{out} select e as patient_golden_id, " + ", ".join(f"max(v) filter (where f = '{c}') as {c}" for c in GOLDEN_FIELDS) + f" from ({best}) group by 1"
+
+
 SQL = {
+    "p4_golden_record": _fusion_sql(),
     "p4_found": f"{_CLAIMS} select patient_golden_id, field_name, uid record_uid from (select *, row_number() over (partition by patient_golden_id, field_name order by m desc, uid) rn from u) where rn = 1",
     "p5_found": f"{_TIES} select record_uid, group_id from g",
     "p8_rules": "select count(distinct doc_id) as items, 0::bigint as torn, 0::bigint as over_capacity, 0::bigint as mixed, 0::bigint as twins from documents where text <> ''",
