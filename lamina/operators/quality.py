@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import logging
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -62,6 +64,16 @@ def _verdict(df: DataFrame, r: Rule) -> tuple[DataFrame, Column]:
     raise ValueError(r.kind)
 
 
+@contextmanager
+def _quiet() -> Iterator[None]:
+    log = logging.getLogger("SQLQueryContextLogger")
+    before, log.disabled = log.disabled, True
+    try:
+        yield
+    finally:
+        log.disabled = before
+
+
 def evaluate(df: DataFrame, rules: Iterable[Rule], *, batch_id: str | None = None) -> DataFrame:
     """One result row per rule; all row rules of a table share one aggregate.
 
@@ -78,13 +90,15 @@ def evaluate(df: DataFrame, rules: Iterable[Rule], *, batch_id: str | None = Non
     good, broken = [], []
     wide = df
     for r in rules:
-        try:
-            w2, v = _verdict(wide, r)
-            w2.select(v.cast("boolean"))
-            wide = w2
-            good.append((r, v))
-        except AnalysisException:
-            broken.append(r)
+        # an expression that cannot be resolved is a result here, not an error to be logged
+        with _quiet():
+            try:
+                w2, v = _verdict(wide, r)
+                w2.select(v.cast("boolean"))
+                wide = w2
+                good.append((r, v))
+            except AnalysisException:
+                broken.append(r)
     passed = [F.count_if(F.coalesce(v.cast("boolean"), F.lit(False))).alias(f"p{i}") for i, (_, v) in enumerate(good)]
     one = wide.agg(F.count("*").alias("n"), *passed)
     rows = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action"), F.lit(float(r.threshold)).alias("threshold"), F.col(f"p{i}").alias("p"), F.lit("OK").alias("status")) for i, (r, _) in enumerate(good)]

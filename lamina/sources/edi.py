@@ -1,12 +1,15 @@
 """X12 claims (837P) and remittances (835) to rows, in Spark expressions only.
 
-A file is split by its own delimiters into numbered segments. Claim scope is found with
-running windows inside the file: a claim's context is what held at its own CLM segment, so
-a claim never takes over the provider, subscriber or payer of the next one.
+A file is split by its own delimiters at the first segment of every claim. Each such part is a
+small array of segments: what stands before the next claim's first segment is the next claim's
+context, so a running window over the parts of a file, not over its segments, finds what held
+at each claim, and a claim never takes over the provider, subscriber or payer of the next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,54 +30,60 @@ def split_segments(files: DataFrame, content: str = "content", file: str = "file
     return x.select("file", "pos", F.split("_s", F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E"))).alias("e"))
 
 
-def _el(i: int) -> Column:
-    return F.nullif(F.get("e", F.lit(i)), F.lit(""))
-
+def _at(e: Column, i: int | Column) -> Column:
+    """Element of a segment, null if blank."""
+    return F.nullif(F.get(e, F.lit(i) if isinstance(i, int) else i), F.lit(""))
 
-def _tag(*names: str) -> Column:
-    return F.get("e", F.lit(0)).isin(*names)
 
+def _is(tag: str, qualifier: str | None = None) -> Callable[[Column], Column]:
+    """Test of a segment by its tag and first element."""
+    return lambda e: (F.get(e, F.lit(0)) == tag) & (F.lit(True) if qualifier is None else F.coalesce(F.get(e, F.lit(1)) == qualifier, F.lit(False)))
 
-def _running(cond: Column, value: Column) -> Column:
-    """The value at the latest segment so far that meets the condition."""
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.last(F.when(cond, F.struct(value.alias("v"))), ignorenulls=True).over(w)["v"]
 
-
-def _after(c: Column) -> Column:
-    """Second component of a composite, the whole value if there is no colon."""
-    parts = F.split(c, ":")
-    return F.nullif(F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(c), F.lit(""))
+def _parts(files: DataFrame, content: str, file: str, tag: str) -> DataFrame:
+    """``file, claim_no, segs``: the segments from each ``tag`` to the next one; part 0 is what comes before the first."""
+    t = F.col(content)
+    quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    x = files.filter(F.length(t) >= HEADER).select(F.col(file).alias("file"), t.alias("_t"), quoted(F.substring(t, 4, 1)).alias("_sep"), quoted(F.substring(t, HEADER, 1)).alias("_end"))
+    cut = F.concat(F.col("_end"), F.lit(f"[\r\n]*(?={tag}(?:"), F.col("_sep"), F.lit("|"), F.col("_end"), F.lit("))"))
+    x = x.select("file", "_sep", "_end", F.posexplode(F.split("_t", cut)).alias("claim_no", "_p"))
+    segs = F.filter(F.transform(F.split("_p", F.col("_end")), lambda s: F.regexp_replace(s, "[\r\n]", "")), lambda s: F.trim(s) != "")
+    return x.select("file", "claim_no", F.transform(segs, lambda s: F.split(s, F.col("_sep"))).alias("segs"))
 
 
-def _claims_counted(s: DataFrame, ctx: dict[str, Column], tag: str) -> DataFrame:
-    """Segments with running context and the number of the claim they belong to; those before the first claim go."""
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return s.withColumns(ctx | {"claim_no": F.sum(F.when(_tag(tag), 1).otherwise(0)).over(w)}).filter("claim_no > 0")
+def _in_context(parts: DataFrame, ctx: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]) -> DataFrame:
+    """Claims with the context that held at their first segment: per name the value at the latest segment before it that passes the test."""
+    w = Window.partitionBy("file").orderBy("claim_no").rowsBetween(Window.unboundedPreceding, -1)
 
+    def latest(test: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+        hit = F.filter("segs", test)
+        return F.when(F.size(hit) > 0, F.struct(value(F.get(hit, F.size(hit) - 1)).alias("v")))
 
-def _first(cond: Column, value: Column) -> Column:
-    """Aggregate: the value at the first segment that meets the condition."""
-    return F.min(F.when(cond, F.struct("pos", value.alias("v"))))["v"]
+    own = parts.withColumns({f"_{n}": latest(*how) for n, how in ctx.items()})
+    return own.select("file", "claim_no", "segs", *[F.last(f"_{n}", ignorenulls=True).over(w)["v"].alias(n) for n in ctx]).filter("claim_no > 0")
 
 
-def _header(first: Column, i: int) -> Column:
-    """Sender or receiver: as the transaction names it, else as the interchange does."""
-    return F.coalesce(first, _running(_tag("ISA"), F.nullif(F.trim(_el(i)), F.lit(""))))
+def _after(c: Column) -> Column:
+    """Second component of a composite, the whole value if there is no colon."""
+    parts = F.split(c, ":")
+    return F.nullif(F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(c), F.lit(""))
 
 
-def _line_parts(segs: Column) -> Column:
-    """Service lines of a claim from its LX and SV1 segments in order: a line is an LX with the first SV1 before the next LX."""
-    el = lambda e, i: F.nullif(F.get(e, F.lit(i)), F.lit(""))
-    at = lambda tag: F.filter(F.transform(segs, lambda x, i: F.struct(i.alias("i"), x["e"].alias("e"))), lambda x: F.get(x["e"], F.lit(0)) == tag)
-    lx, sv = at("LX"), at("SV1")
+def _first(test: Callable[[Column], Column]) -> Column:
+    """First segment of the part that passes the test."""
+    return F.get(F.filter("segs", test), F.lit(0))
 
-    def line(x: Column, k: Column) -> Column:
-        nxt = F.coalesce(F.get(lx, k + 1)["i"], F.size(segs))
-        one = F.get(F.filter(sv, lambda y: (y["i"] > x["i"]) & (y["i"] < nxt)), F.lit(0))["e"]
-        return F.struct((k + 1).alias("line_no"), el(x["e"], 1).alias("line_number"), _after(el(one, 1)).alias("service_code"), el(one, 2).alias("line_amount"), el(one, 4).alias("line_units"))
 
-    return F.transform(lx, line)
+def _with_lines(claims: DataFrame) -> DataFrame:
+    """A row per service line instead of ``segs``: a line is an LX with the first SV1 before the next LX; a claim without lines stays."""
+    last = F.size("segs") - 1
+    lx = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(F.get("segs", i), F.lit(0)) == "LX")
+    rows = claims.withColumn("_lx", lx).select("*", F.posexplode_outer("_lx").alias("_k", "_i"))
+    own = F.slice("segs", F.col("_i") + 1, F.coalesce(F.get("_lx", F.col("_k") + 1), last + 1) - F.col("_i"))
+    rows = rows.withColumn("_own", F.when(F.col("_i").isNotNull(), own)).drop("segs", "_lx", "_i")
+    rows = rows.select("*", F.get("_own", F.lit(0)).alias("_a"), F.get(F.filter("_own", _is("SV1")), F.lit(0)).alias("_b")).drop("_own")
+    a, b = F.col("_a"), F.col("_b")
+    return rows.withColumns({"line_no": F.col("_k") + 1, "line_number": _at(a, 1), "service_code": _after(_at(b, 1)), "line_amount": _at(b, 2), "line_units": _at(b, 4)}).drop("_k", "_a", "_b")
 
 
 def parse_claims(files: DataFrame, content: str = "content", file: str = "file") -> DataFrame:
@@ -82,24 +91,25 @@ def parse_claims(files: DataFrame, content: str = "content", file: str = "file")
 
     ``claim_no`` and ``line_no`` count claims of the file and lines of the claim. The payer is the one the claim's
     subscriber loop names, else the loop's own payer field, else the one named last. Equal (claim, line, service) rows
-    of a file collapse to the first. One shuffle by file serves all windows and aggregates.
+    of a file collapse to the first. One shuffle by file serves both windows.
     """
-    nm1 = lambda q: _tag("NM1") & (_el(1) == q)
-    loop = _running(nm1("PR") | _tag("SBR"), F.when(nm1("PR"), _el(9)))  # null from an SBR on until the payer is named
+    nth = lambda i: lambda e: _at(e, i)
+    trimmed = lambda i: lambda e: F.nullif(F.trim(_at(e, i)), F.lit(""))
+    payer, loop = _is("NM1", "PR"), lambda e: _is("NM1", "PR")(e) | _is("SBR")(e)
     ctx = {
-        "interchange_control_number": _running(_tag("ISA"), _el(13)), "transaction_set": _running(_tag("ST"), _el(1)), "submitter_id": _header(_running(nm1("41"), _el(9)), 6),
-        "receiver_id": _header(_running(nm1("40"), _el(9)), 8), "transaction_date": _running(_tag("BHT"), _el(4)), "billing_provider_npi": _running(nm1("85"), _el(9)),
-        "subscriber_member_id": _running(nm1("IL"), _el(9)), "payer_id": F.coalesce(loop, _running(_tag("SBR"), _el(9)), _running(nm1("PR") & _el(9).isNotNull(), _el(9))),
+        "interchange_control_number": (_is("ISA"), nth(13)), "transaction_set": (_is("ST"), nth(1)), "_sub": (_is("NM1", "41"), nth(9)), "_rec": (_is("NM1", "40"), nth(9)), "_from": (_is("ISA"), trimmed(6)), "_to": (_is("ISA"), trimmed(8)),
+        "transaction_date": (_is("BHT"), nth(4)), "billing_provider_npi": (_is("NM1", "85"), nth(9)), "subscriber_member_id": (_is("NM1", "IL"), nth(9)),
+        # null from an SBR on until the payer is named
+        "_loop": (loop, lambda e: F.when(payer(e), _at(e, 9))), "_sbr": (_is("SBR"), nth(9)), "_named": (lambda e: payer(e) & _at(e, 9).isNotNull(), nth(9)),
     }
-    s = _claims_counted(split_segments(files, content, file), ctx, "CLM")
-    at = lambda i: F.max(F.when(_tag("CLM"), _el(i)))
-    out = s.groupBy("file", "claim_no").agg(
-        *[F.max(F.when(_tag("CLM"), F.col(c))).alias(c) for c in ctx], at(1).alias("claim_number"), at(2).alias("billed_amount"),
-        F.get(F.split(at(5), ":"), F.lit(0)).alias("place_of_service"), _first(_tag("DTP") & (_el(1) == "472"), _el(3)).alias("service_date"), _first(_tag("HI"), _after(_el(1))).alias("primary_diagnosis_code"),
-        F.sort_array(F.collect_list(F.when(_tag("LX", "SV1"), F.struct("pos", "e")))).alias("_segs"),
+    c = _in_context(_parts(files, content, file, "CLM"), ctx)
+    clm = F.get("segs", F.lit(0))
+    c = c.select(
+        "file", "claim_no", "interchange_control_number", "transaction_set", F.coalesce("_sub", "_from").alias("submitter_id"), F.coalesce("_rec", "_to").alias("receiver_id"), "transaction_date", "billing_provider_npi", "subscriber_member_id", F.coalesce("_loop", "_sbr", "_named").alias("payer_id"),
+        _at(clm, 1).alias("claim_number"), _at(clm, 2).alias("billed_amount"), F.get(F.split(_at(clm, 5), ":"), F.lit(0)).alias("place_of_service"), _at(_first(_is("DTP", "472")), 3).alias("service_date"), _after(_at(_first(_is("HI")), 1)).alias("primary_diagnosis_code"),
+        "segs",
     )
-    out = out.withColumn("_line", F.explode_outer(_line_parts(F.col("_segs")))).drop("_segs").select("*", "_line.*").drop("_line")
-    out = out.withColumn("parse_error", F.when(F.col("line_no").isNull(), F.lit(NO_LINES)))
+    out = _with_lines(c).withColumn("parse_error", F.when(F.col("line_no").isNull(), F.lit(NO_LINES)))
     rn = F.row_number().over(Window.partitionBy("file", "claim_number", "line_number", "service_code").orderBy("claim_no", "line_no"))
     return out.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
@@ -110,18 +120,15 @@ def parse_remittances(files: DataFrame, content: str = "content", file: str = "f
     ``adjustment_group``, ``adjustment_reason`` and ``adjustment_amount`` are the first triple; amounts of the claim
     itself are never repeated.
     """
-    ctx = {
-        "interchange_control_number": _running(_tag("ISA"), _el(13)), "check_or_eft_number": _running(_tag("TRN"), _el(2)), "payment_method": _running(_tag("BPR"), _el(4)),
-        "payment_amount": _running(_tag("BPR"), _el(2)), "payment_date": _running(_tag("BPR"), _el(16)), "payer_name": _running(_tag("N1") & (_el(1) == "PR"), _el(2)),
-    }
-    s = _claims_counted(split_segments(files, content, file), ctx, "CLP")
-    ks = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.size("e") - 3) / 3).cast("int")))
-    triple = lambda k: F.struct(_el(1).alias("group"), F.nullif(F.get("e", 2 + k * 3), F.lit("")).alias("reason"), F.get("e", 3 + k * 3).try_cast("decimal(18,2)").alias("amount"))
-    cas = F.when(_tag("CAS"), F.struct("pos", F.filter(F.transform(ks, triple), lambda t: t["reason"].isNotNull()).alias("t")))
-    at = lambda i: F.max(F.when(_tag("CLP"), _el(i)))
-    out = s.withColumn("_cas", cas).groupBy("file", "claim_no").agg(
-        *[F.max(F.when(_tag("CLP"), F.col(c))).alias(c) for c in ctx], at(1).alias("claim_number"), at(2).alias("claim_status_code"), at(3).alias("billed_amount"), at(4).alias("paid_amount"),
-        at(5).alias("patient_responsibility"), F.flatten(F.transform(F.sort_array(F.collect_list("_cas")), lambda x: x["t"])).alias("adjustments"),
+    nth = lambda i: lambda e: _at(e, i)
+    ctx = {"interchange_control_number": (_is("ISA"), nth(13)), "check_or_eft_number": (_is("TRN"), nth(2)), "payment_method": (_is("BPR"), nth(4)), "payment_amount": (_is("BPR"), nth(2)), "payment_date": (_is("BPR"), nth(16)), "payer_name": (_is("N1", "PR"), nth(2))}
+    c = _in_context(_parts(files, content, file, "CLP"), ctx)
+    clp = F.get("segs", F.lit(0))
+    ks = lambda e: F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.size(e) - 3) / 3).cast("int")))
+    triple = lambda e: lambda k: F.struct(_at(e, 1).alias("group"), _at(e, 2 + k * 3).alias("reason"), F.get(e, 3 + k * 3).try_cast("decimal(18,2)").alias("amount"))
+    adjusted = F.flatten(F.transform(F.filter("segs", _is("CAS")), lambda e: F.filter(F.transform(ks(e), triple(e)), lambda t: t["reason"].isNotNull())))
+    out = c.select(
+        "file", "claim_no", *ctx, _at(clp, 1).alias("claim_number"), _at(clp, 2).alias("claim_status_code"), _at(clp, 3).alias("billed_amount"), _at(clp, 4).alias("paid_amount"), _at(clp, 5).alias("patient_responsibility"), adjusted.alias("adjustments"),
     )
     one = F.get("adjustments", F.lit(0))
     return out.withColumns({"adjustment_group": one["group"], "adjustment_reason": one["reason"], "adjustment_amount": one["amount"]})
