@@ -35,8 +35,8 @@ BUCKETS = 1 << 17
 DIM = 12
 #: Labelled documents used for training at most; the choice is by a hash of doc_id, so it is the same on every run.
 TRAIN_DOCS = 8_000
-#: Weight of the corpus as a prior, per judged document: so much clean mass, spread over the ordinary buckets by their share.
-PRIOR = 0.03
+#: Weight of the corpus as a prior: clean mass, spread over the ordinary buckets by their share; a base and as much again per judged document.
+PRIOR_BASE, PRIOR = 20.0, 0.02
 #: A bucket is ordinary when at least this share of all segments holds it.
 ORDINARY = 3e-4
 #: Score from which a document counts as abusive.
@@ -203,7 +203,7 @@ def train(docs: list[tuple[str, float]], usual: np.ndarray | None = None, rounds
         if len(common):
             segs = segs + [[int(f)] for f in common]
             target = np.concatenate([target, np.zeros(len(common))])
-            weight = np.concatenate([weight, PRIOR * len(pick) * usual[common]])
+            weight = np.concatenate([weight, (PRIOR_BASE + PRIOR * len(pick)) * usual[common]])
         model = SubwordBag()
         model.fit(segs, target, weight, epochs)
         return model
