@@ -35,8 +35,8 @@ BUCKETS = 1 << 17
 DIM = 12
 #: Labelled documents used for training at most; the choice is by a hash of doc_id, so it is the same on every run.
 TRAIN_DOCS = 8_000
-#: Weight of the corpus as a prior: clean mass, spread over the ordinary buckets by their share; a base and as much again per judged document.
-PRIOR_BASE, PRIOR = 20.0, 0.02
+#: Weight of the corpus as a prior, per judged document: so much clean mass, spread over the ordinary buckets by their share.
+PRIOR = 0.054
 #: A bucket is ordinary when at least this share of all segments holds it.
 ORDINARY = 3e-4
 #: Score from which a document counts as abusive.
@@ -203,7 +203,7 @@ def train(docs: list[tuple[str, float]], usual: np.ndarray | None = None, rounds
         if len(common):
             segs = segs + [[int(f)] for f in common]
             target = np.concatenate([target, np.zeros(len(common))])
-            weight = np.concatenate([weight, (PRIOR_BASE + PRIOR * len(pick)) * usual[common]])
+            weight = np.concatenate([weight, PRIOR * len(pick) * usual[common]])
         model = SubwordBag()
         model.fit(segs, target, weight, epochs)
         return model
@@ -246,13 +246,17 @@ _BINS = 20
 
 
 def calibrate(score: np.ndarray, flagged: np.ndarray, seen: dict[int, int]) -> float:
-    """Log-odds of the score 0.5: judged documents are weighted to the rate of all, which the cut itself gives."""
+    """Log-odds of the score 0.5: judged documents are weighted to the rate of all, which the cut itself gives.
+
+    Of several rates that agree with their own cut the lowest is taken: the search begins where next to nothing is abusive.
+    """
     cut = _cut(score, flagged)
     bins, n = np.array(sorted(seen)), np.array([seen[b] for b in sorted(seen)])
     share = flagged.mean() if len(flagged) else 0.0
     if not 0 < share < 1 or not n.sum():
         return cut
-    for _ in range(10):
+    cut = _cut(score, flagged, 999 * share / (1 - share))
+    for _ in range(20):
         rate = np.clip(n[bins >= cut * _BINS].sum() / n.sum(), 1e-6, share)
         new = _cut(score, flagged, (1 - rate) / rate * share / (1 - share))
         if new == cut:
