@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "std_string", "std_postal_code", "std_phone", "parse_birth_date", "plausible_birth_date", "health_card_valid", "age_band", "row_hash_of", "with_row_hash", "token_of",
-    "postal_area", "name_sound", "record_uid", "rank_by", "name_similarity", "minutes_between", "stay_days", "stay_hours", "level_1_to_5", "without_codes", "left_unseen",
+    "postal_area", "name_sound", "record_uid", "rank_by", "name_similarity", "names_alike", "minutes_between", "stay_days", "stay_hours", "level_1_to_5", "without_codes", "left_unseen",
     "is_cancelled", "date_key", "time_key", "calendar_columns", "minute_columns", "split_member", "members", "new_batch_id", "cast_columns", "compact_date", "days_between",
     "denied_amount", "sorted_set", "flag", "decimal_text", "AGE_BANDS", "UNKNOWN_KEY", "NOT_APPLICABLE_KEY", "LATE_KEY",
 ]
@@ -116,6 +116,14 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(5))
 
 
+def names_alike(a: Column | str, b: Column | str, least: float) -> Column:
+    """``name_similarity(a, b) >= least``, counting edits no further than that."""
+    a, b = _col(a), _col(b)
+    longest = F.greatest(F.length(a), F.length(b), F.lit(5))
+    edits = F.call_function("levenshtein", a, b, F.ceil(F.lit(1 - least) * longest).cast("int"))  # -1: more than that
+    return (a == b) | ((edits >= 0) & (1 - edits / longest >= least))
+
+
 def minutes_between(a: Column | str, b: Column | str) -> Column:
     """Minutes from a to b; null where either is null or b comes first."""
     s = _col(b).cast("timestamp").cast("long") - _col(a).cast("timestamp").cast("long")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.scalar import age_band, name_similarity, postal_area, record_uid, token_of
+from lamina.functions.scalar import age_band, names_alike, postal_area, record_uid, token_of
 from lamina.operators.hot import lookup_join
 from lamina.session import pin, pin_counted
 
@@ -51,18 +51,37 @@ def oversized(b: DataFrame, most: int = REPORT_FROM) -> DataFrame:
     return block_sizes(b).filter(F.col("records") > most)
 
 
-def block_pairs(b: DataFrame, tile: int = TILE) -> DataFrame:
-    """Distinct ``uid_a < uid_b`` that share a block, however large it is.
+def _met(b: DataFrame, tile: int, people: DataFrame | None = None, uid: str = "record_uid") -> DataFrame:
+    """Every pair that shares a block, once, with ``uid_a < uid_b`` and the attributes of ``people`` as ``a_`` and ``b_`` columns.
 
     A large block is cut into tiles: its records fall into parts by a hash, and every two parts meet in one
-    tile, so that no task gets a whole block and no pair is lost.
+    tile, so that no task gets a whole block and no pair is lost. A pair comes from the largest block it shares:
+    records bring their larger blocks along, so that pairs need no comparison among each other and never move.
     """
-    sized = b.join(block_sizes(b).filter("records > 1").select("block", F.ceil(F.col("records") / tile).alias("_n")), "block")
-    part = sized.withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")))
-    low = part.select("block", F.col("record_uid").alias("x"), F.col("_p").alias("i"), F.explode(F.expr("sequence(_p, _n - 1)")).alias("j"))
-    high = part.select("block", F.col("record_uid").alias("y"), F.explode(F.expr("sequence(0L, _p)")).alias("i"), F.col("_p").alias("j"))
-    met = low.join(high, ["block", "i", "j"]).filter("x <> y and (i < j or x < y)")
-    return met.select(F.least("x", "y").alias("uid_a"), F.greatest("x", "y").alias("uid_b")).distinct()
+    largest_first = F.struct((-F.col("records")).alias("n"), "block")
+    own = b.join(block_sizes(b).filter("records > 1"), "block").groupBy("record_uid").agg(F.sort_array(F.collect_set(largest_first)).alias("own"))
+    attributes = [] if people is None else [c for c in people.columns if c != uid]
+    if attributes:
+        own = own.join(people.withColumnRenamed(uid, "record_uid"), "record_uid")
+    part = own.select("record_uid", *attributes, "own", F.posexplode("own").alias("_k", "_o")).select("record_uid", *attributes, F.col("_o.block").alias("block"), F.ceil(-F.col("_o.n") / tile).cast("int").alias("_n"), F.slice(F.col("own.block"), F.lit(1), F.col("_k")).alias("_larger"))
+    part = part.withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")).cast("int"))
+    side = lambda s: [F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_larger", *attributes)]
+    low = part.select("block", *side("x"), F.col("_p").alias("i"), F.explode(F.expr("sequence(_p, _n - 1)")).alias("j"))
+    high = part.select("block", *side("y"), F.explode(F.expr("sequence(0, _p)")).alias("i"), F.col("_p").alias("j"))
+    x, y = F.col("_x_record_uid"), F.col("_y_record_uid")
+    met = low.join(high, ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__larger) = 0 or size(_y__larger) = 0 or not arrays_overlap(_x__larger, _y__larger)")
+    sides = [F.when(x < y, F.col(f"_{one}_{c}")).otherwise(F.col(f"_{other}_{c}")).alias(f"{s}_{c}") for s, one, other in (("a", "x", "y"), ("b", "y", "x")) for c in attributes]
+    return met.select(F.least(x, y).alias("uid_a"), F.greatest(x, y).alias("uid_b"), *sides)
+
+
+def block_pairs(b: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct ``uid_a < uid_b`` that share a block, however large it is; see :func:`paired`."""
+    return _met(b, tile)
+
+
+def paired(b: DataFrame, people: DataFrame, tile: int = TILE, uid: str = "record_uid") -> DataFrame:
+    """:func:`block_pairs` :func:`with_sides`: attributes travel with the records, of which there are few, not with the pairs."""
+    return _met(b, tile, people, uid)
 
 
 def with_sides(pairs: DataFrame, people: DataFrame, uid: str = "record_uid") -> DataFrame:
@@ -80,6 +99,11 @@ class Comparator:
     field: str
     levels: tuple[tuple[Callable[[Column, Column], Column], float], ...]
     otherwise: float = 0.0
+    #: comes last where a score is asked for from some height only
+    costly: bool = False
+
+    def most(self) -> float:
+        return max(0.0, float(self.otherwise), *[float(p) for _, p in self.levels])
 
     def points(self) -> Column:
         a, b = F.col(f"a_{self.field}"), F.col(f"b_{self.field}")
@@ -101,26 +125,37 @@ def _swapped(a: Column, b: Column) -> Column:
 COMPARATORS = (
     Comparator("card", ((_same, 12),), -6),
     Comparator("birth_date", ((_same, 6), (_swapped, 5), (lambda a, b: F.abs(F.datediff(a, b)) <= 31, 2)), -5),
-    Comparator("family", ((lambda a, b: name_similarity(a, b) >= 0.90, 4),), -3),
-    Comparator("given", ((lambda a, b: name_similarity(a, b) >= 0.88, 3),), -2),
+    Comparator("family", ((lambda a, b: names_alike(a, b, 0.90), 4),), -3, costly=True),
+    Comparator("given", ((lambda a, b: names_alike(a, b, 0.88), 3),), -2, costly=True),
     Comparator("sex", ((lambda a, b: (a == "UNKNOWN") | (b == "UNKNOWN"), 0), (_same, 1)), -3),
     Comparator("postal", ((_same, 3), (lambda a, b: F.substring(a, 1, 3) == F.substring(b, 1, 3), 1)), -1),
     Comparator("phone", ((_same, 2.5),), -0.5),
 )
 
 
-def score(sides: DataFrame, comparators: tuple[Comparator, ...] = COMPARATORS, out: str = "match_score") -> DataFrame:
-    return sides.withColumn(out, reduce(lambda a, b: a + b, [c.points() for c in comparators]))
+def score(sides: DataFrame, comparators: tuple[Comparator, ...] = COMPARATORS, out: str = "match_score", at_least: float | None = None) -> DataFrame:
+    """Sum of all points; with ``at_least``, only pairs that reach it: costly comparisons are made where they can still matter."""
+    total = lambda points: reduce(lambda a, b: a + b, points)
+    if at_least is not None:
+        sides = sides.filter(total([F.lit(c.most()) if c.costly else c.points() for c in comparators]) >= at_least - 1e-6)
+    scored = sides.withColumn(out, total([c.points() for c in comparators]))
+    return scored if at_least is None else scored.filter(F.col(out) >= at_least)
 
 
-def decide(scored: DataFrame, overrides: DataFrame | None = None, link_at: float = LINK_AT, review_at: float = REVIEW_AT) -> DataFrame:
-    """``decision``: an override, else AUTO_LINK, REVIEW or DISTINCT by score. Either order of an override pair counts; NO_MATCH wins."""
+def decide(scored: DataFrame, overrides: DataFrame | Column | None = None, link_at: float = LINK_AT, review_at: float = REVIEW_AT) -> DataFrame:
+    """``decision``: an override, else AUTO_LINK, REVIEW or DISTINCT by score. Either order of an override pair counts; NO_MATCH wins.
+
+    Overrides that follow from the pair itself may be a column (MATCH, NO_MATCH or null) and need no join.
+    """
     s = F.col("match_score")
     auto = F.when(s >= link_at, "AUTO_LINK").when(s >= review_at, "REVIEW").otherwise("DISTINCT")
     if overrides is None:
         return scored.withColumn("decision", auto)
+    ruled = lambda o: F.when(o == "MATCH", "AUTO_LINK").when(o == "NO_MATCH", "DISTINCT").otherwise(auto)
+    if isinstance(overrides, Column):
+        return scored.withColumn("decision", ruled(overrides))
     o = overrides.filter(F.col("decision").isin("MATCH", "NO_MATCH")).groupBy(F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b")).agg(F.max("decision").alias("_o"))
-    return scored.join(o, ["uid_a", "uid_b"], "left").withColumn("decision", F.when(F.col("_o") == "MATCH", "AUTO_LINK").when(F.col("_o") == "NO_MATCH", "DISTINCT").otherwise(auto)).drop("_o")
+    return scored.join(o, ["uid_a", "uid_b"], "left").withColumn("decision", ruled(F.col("_o"))).drop("_o")
 
 
 def review_queue(decided: DataFrame) -> DataFrame:

@@ -424,9 +424,8 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return identity.blocks(_people(spark, d), {k: [F.col(c) for c in cols] for k, cols in _KEYS.items()})
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    sides = identity.with_sides(identity.block_pairs(_blocks(spark, d)), _people(spark, d))
-    return identity.score(sides).select("uid_a", "uid_b", "match_score")
+def _scored(spark: SparkSession, d: str, at_least: float | None = None) -> DataFrame:
+    return identity.score(identity.paired(_blocks(spark, d), _people(spark, d)), at_least=at_least).select("uid_a", "uid_b", "match_score")
 
 
 @query(f"select uid_a, uid_b from {_PAIRS}")

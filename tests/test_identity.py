@@ -106,3 +106,36 @@ def test_pairwise_evaluation_counts_without_pairs(spark):
     p = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "record_uid int, patient_golden_id string")
     r = idn.pairwise_evaluation(t, p).first()
     assert (r.tp, r.fp, r.fn) == (1, 2, 0)
+
+
+def _wide(df):
+    """Operators through which pairs would move between tasks, after the join that makes them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("Join")]
+
+
+def _crowd(spark, n=60):
+    """Records of two large blocks and some small ones, with attributes; and their blocks."""
+    p = spark.range(n).select(F.format_string("r%03d", F.col("id")).alias("record_uid"), (F.col("id") % 7).cast("string").alias("card"), F.date_add(F.lit("1980-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("birth_date"), F.when(F.col("id") % 5 == 0, "SMITHSON").otherwise("SMITHSEN").alias("family"), F.lit("ANN").alias("given"), F.lit("F").alias("sex"), F.when(F.col("id") % 2 == 0, "K1A0B1").alias("postal"), (F.col("id") % 4).cast("string").alias("phone"))
+    return p, idn.blocks(p, {"card": [F.col("card")], "area": [F.col("given"), F.col("postal")], "phone": [F.col("phone"), F.col("sex")]})
+
+
+def test_overrides_of_the_pair_itself_need_no_join(spark):
+    """match_override: as a column, overrides decide like the same ones in a table, and no pair moves."""
+    p, b = _crowd(spark)
+    s = idn.score(idn.paired(b, p, 4)).select("uid_a", "uid_b", "match_score")
+    n = F.right("uid_a", F.lit(1)).cast("int") % 3
+    rule = F.when(n == 0, "NO_MATCH").when(n == 1, "MATCH")
+    table = s.select(F.col("uid_b").alias("uid_a"), F.col("uid_a").alias("uid_b"), rule.alias("decision"))
+    by_rule = idn.decide(s, rule)
+    assert rows(by_rule, "uid_a", "uid_b", "decision") == rows(idn.decide(s, table), "uid_a", "uid_b", "decision")
+    assert "Exchange" not in _wide(by_rule)
+
+
+def test_paired_is_pairs_with_sides_and_no_pair_moves(spark):
+    p, b = _crowd(spark)
+    for tile in (3, 1000):
+        got = idn.paired(b, p, tile)
+        want = idn.with_sides(b.withColumnRenamed("record_uid", "uid_a").join(b.withColumnRenamed("record_uid", "uid_b"), "block").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct(), p)
+        assert rows(got.select(*want.columns).withColumns({c: F.coalesce(c, F.lit("")) for c in want.columns if "birth" not in c})) == rows(want.withColumns({c: F.coalesce(c, F.lit("")) for c in want.columns if "birth" not in c}))
+        assert "Exchange" not in _wide(got)
