@@ -136,10 +136,13 @@ COMPARATORS = (
 def score(sides: DataFrame, comparators: tuple[Comparator, ...] = COMPARATORS, out: str = "match_score", at_least: float | None = None) -> DataFrame:
     """Sum of all points; with ``at_least``, only pairs that reach it: costly comparisons are made where they can still matter."""
     total = lambda points: reduce(lambda a, b: a + b, points)
-    if at_least is not None:
-        sides = sides.filter(total([F.lit(c.most()) if c.costly else c.points() for c in comparators]) >= at_least - 1e-6)
-    scored = sides.withColumn(out, total([c.points() for c in comparators]))
-    return scored if at_least is None else scored.filter(F.col(out) >= at_least)
+    if at_least is None:
+        return sides.withColumn(out, total([c.points() for c in comparators]))
+    # the partition number keeps the tests out of the join, whose loop they would make too long to compile
+    apart = 0.0 * F.spark_partition_id()
+    bound = total([F.lit(c.most()) if c.costly else c.points() for c in comparators])
+    near = sides.withColumn("_most", bound + apart).filter(F.col("_most") >= at_least - 1e-6).drop("_most")
+    return near.withColumn(out, total([c.points() for c in comparators]) + apart).filter(F.col(out) >= at_least)
 
 
 def decide(scored: DataFrame, overrides: DataFrame | Column | None = None, link_at: float = LINK_AT, review_at: float = REVIEW_AT) -> DataFrame:

@@ -139,3 +139,13 @@ def test_paired_is_pairs_with_sides_and_no_pair_moves(spark):
         want = idn.with_sides(b.withColumnRenamed("record_uid", "uid_a").join(b.withColumnRenamed("record_uid", "uid_b"), "block").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct(), p)
         assert rows(got.select(*want.columns).withColumns({c: F.coalesce(c, F.lit("")) for c in want.columns if "birth" not in c})) == rows(want.withColumns({c: F.coalesce(c, F.lit("")) for c in want.columns if "birth" not in c}))
         assert "Exchange" not in _wide(got)
+
+
+def test_scores_from_some_height_are_those_of_all_pairs(spark):
+    """review_queue: who cannot reach the height is dropped before the costly comparisons, nobody else is."""
+    p, b = _crowd(spark)
+    sides = idn.paired(b, p)
+    every = idn.score(sides).select("uid_a", "uid_b", "match_score")
+    for least in (-30.0, 2.5, 8.0, 14.0, 100.0):
+        assert rows(idn.score(sides, at_least=least).select("uid_a", "uid_b", "match_score")) == rows(every.filter(F.col("match_score") >= least))
+    assert 0 < every.filter("match_score >= 14").count() < every.count()
