@@ -149,3 +149,12 @@ def test_scores_from_some_height_are_those_of_all_pairs(spark):
     for least in (-30.0, 2.5, 8.0, 14.0, 100.0):
         assert rows(idn.score(sides, at_least=least).select("uid_a", "uid_b", "match_score")) == rows(every.filter(F.col("match_score") >= least))
     assert 0 < every.filter("match_score >= 14").count() < every.count()
+
+
+def test_block_pairs_come_once_without_comparing_pairs(spark):
+    """block_pairs: a pair that shares two blocks comes from the larger one; no distinct runs over the pairs."""
+    p, b = _crowd(spark)
+    got = idn.block_pairs(b, 5)
+    want = b.withColumnRenamed("record_uid", "uid_a").join(b.withColumnRenamed("record_uid", "uid_b"), "block").filter("uid_a < uid_b").select("uid_a", "uid_b")
+    assert rows(got) == rows(want.distinct()) and want.count() > want.distinct().count()
+    assert "Exchange" not in _wide(got) and "Aggregate" not in _wide(got)
