@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.scalar import age_band, names_alike, postal_area, record_uid, token_of
 from lamina.operators.hot import lookup_join
-from lamina.session import pin, pin_counted
+from lamina.session import pin, written, written_counted
 
 #: the common columns of every source
 CONTRACT = ("record_uid", "source_system", "source_id", "given", "family", "birth_date", "sex", "card", "postal", "phone", "updated_ts")
@@ -165,26 +167,70 @@ def review_queue(decided: DataFrame) -> DataFrame:
     return decided.filter("decision = 'REVIEW'").select("uid_a", "uid_b", "match_score")
 
 
+#: ties a task holds before it thins them again
+HELD = 500_000
+
+
+def _thin(ties: pa.Table) -> pa.Table:
+    """Ties ``u, v, s`` without those that close a circle: each member tied to one of its group, with the group's smallest ``s``."""
+    n = ties.num_rows
+    names = pa.chunked_array(ties["u"].chunks + ties["v"].chunks, ties["u"].type).combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    u, v, root = code[:n], code[n:], np.arange(len(names.dictionary))
+    while (root[u] != root[v]).any():
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+    weakest = np.full(len(root), np.inf)
+    np.minimum.at(weakest, root[u], ties["s"].to_numpy())
+    member = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"u": names.dictionary.take(pa.array(root[member])), "v": names.dictionary.take(pa.array(member)), "s": pa.array(weakest[root[member]])})
+
+
+def spanning(links: DataFrame, score: str = "match_score") -> DataFrame:
+    """Links ``uid_a, uid_b, score`` that tie the same records together, far fewer: each task leaves out those that close a circle.
+
+    The smallest score of a person's links stays what it was; the other scores do not.
+    """
+
+    def thin(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows > HELD:
+                # what is left is at most one tie per record of the task
+                held = _thin(pa.Table.from_batches(held)).to_batches()
+                rows = min(sum(b.num_rows for b in held), HELD // 2)
+        if held:
+            yield from _thin(pa.Table.from_batches(held)).to_batches()
+
+    ties = links.select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v"), F.col(score).cast("double").alias("s")).filter("u is not null and v is not null and u <> v and s is not null")
+    kind = ties.schema["u"].dataType.simpleString()
+    return ties.mapInArrow(thin, f"u {kind}, v {kind}, s double").select(F.col("u").alias("uid_a"), F.col("v").alias("uid_b"), F.col("s").alias(score))
+
+
 def components(vertices: DataFrame, edges: DataFrame, uid: str = "record_uid") -> DataFrame:
     """``record_uid, component``: the smallest identifier of each connected component.
 
     Every round, each vertex chooses the neighbour (or itself) whose hash is smallest, and the edges
     are contracted to the chosen ones, so that the graph shrinks by a constant factor whatever its shape; loops
     and repeats drop out. The trees of those that left are then resolved from the last to the first. Runs until no edge
-    is left. Edges between unknown vertices count; a null side ties nothing.
+    is left. Edges between unknown vertices count; a null side ties nothing. Edges that close a circle
+    within the task that made them never leave it.
     """
-    e = edges.select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v")).filter("u is not null and v is not null and u <> v")
-    graph, n = pin_counted(_both_ways(e))
+    e = spanning(edges.select("uid_a", "uid_b", F.lit(0.0).alias("match_score"))).select(F.col("uid_a").alias("u"), F.col("uid_b").alias("v"))
+    graph, n = written_counted(_both_ways(e))
     trees: list[DataFrame] = []
     while n:
         mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("r"))
         low = graph.groupBy("u").agg(F.min(mark("v")).alias("m"), F.count("*").alias("cnt")).select("u", F.least("m", mark("u"))["r"].alias("p"), "cnt")
-        low = pin(low)
+        low = written(low)
         # who is nobody's choice leaves the graph; who is chosen goes on, joined to its own choice
-        trees.append(pin(low.filter("u <> p").select("u", "p").join(low.select(F.col("p").alias("u")).distinct(), "u", "left_anti")))
+        trees.append(written(low.filter("u <> p").select("u", "p").join(low.select(F.col("p").alias("u")).distinct(), "u", "left_anti")))
         one = lookup_join(graph, low, "u", n).select("v", F.col("p").alias("pu"))
         two = lookup_join(one, low.withColumnRenamed("u", "v"), "v", n)
-        graph, n = pin_counted(_both_ways(two.filter("pu <> p").select(F.col("pu").alias("u"), F.col("p").alias("v"))))
+        graph, n = written_counted(_both_ways(two.filter("pu <> p").select(F.col("pu").alias("u"), F.col("p").alias("v"))))
     done: list[DataFrame] = []  # u, root; the sets of the rounds shrink, so reading the later ones again stays cheap
     for tree in reversed(trees):
         if done:
@@ -192,7 +238,7 @@ def components(vertices: DataFrame, edges: DataFrame, uid: str = "record_uid") -
             tree = tree.join(later, "p", "left").select("u", F.coalesce("root", "p").alias("root"))
         else:
             tree = tree.select("u", F.col("p").alias("root"))
-        done.append(pin(tree))
+        done.append(written(tree))
     every = vertices.select(F.col(uid).alias("u")).distinct()
     if not done:
         return every.select(F.col("u").alias(uid), F.col("u").alias("component"))

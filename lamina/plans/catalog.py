@@ -445,7 +445,7 @@ def match_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with recursive e as (select uid_a a, uid_b b from {_SCORE} where match_score >= 14), s as (select a, b from e union select b, a from e), r as (select u as v, u as w from {_P} union select r.v, s.b from r join s on s.a = r.w) select v as record_uid, min(w) as component from r group by v""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return identity.components(_people(spark, d).select("record_uid"), identity.decide(_scored(spark, d)).filter("decision = 'AUTO_LINK'"))
+    return identity.components(_people(spark, d).select("record_uid"), identity.decide(_scored(spark, d, identity.LINK_AT)).filter("decision = 'AUTO_LINK'"))
 
 
 @query("""with t as (select source_patient_id u, min(patient_golden_id) g from dim_patient group by 1), p as (select u, case when c = '' then u else c end g from (select 'EHR|' || patient_id u, coalesce(min(regexp_replace(health_card_number, '[^0-9]', '', 'g')), '') c from ehr_patient group by 1 union all select 'SCHED|' || patient_ref, coalesce(min(regexp_replace(health_card, '[^0-9]', '', 'g')), '') from sched_patient group by 1)),

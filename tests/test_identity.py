@@ -158,3 +158,19 @@ def test_block_pairs_come_once_without_comparing_pairs(spark):
     want = b.withColumnRenamed("record_uid", "uid_a").join(b.withColumnRenamed("record_uid", "uid_b"), "block").filter("uid_a < uid_b").select("uid_a", "uid_b")
     assert rows(got) == rows(want.distinct()) and want.count() > want.distinct().count()
     assert "Exchange" not in _wide(got) and "Aggregate" not in _wide(got)
+
+
+def test_spanning_keeps_persons_and_weakest_links(spark, monkeypatch):
+    """connected_components, person_confidence: ties that close a circle go, also when a task thins them in between."""
+    import random
+
+    rng = random.Random(7)
+    monkeypatch.setattr(idn, "HELD", 40)
+    links = spark.createDataFrame([(f"n{x:03}", f"n{y:03}", float(rng.randrange(14, 40))) for g in range(6) for x in range(g * 20, g * 20 + 20) for y in range(x + 1, g * 20 + 20)], "uid_a string, uid_b string, match_score double").coalesce(1)
+    few = idn.spanning(links)
+    assert few.count() == 6 * 19 and links.count() == 6 * 190
+    v = spark.range(125).select(F.format_string("n%03d", F.col("id")).alias("record_uid"))
+    c = idn.components(v, few)
+    assert rows(c) == rows(idn.components(v, links)) == sorted((f"n{i:03}", f"n{i // 20 * 20:03}" if i < 120 else f"n{i:03}") for i in range(125))
+    x, _ = idn.golden_ids(c)
+    assert rows(idn.confidence(x, few)) == rows(idn.confidence(x, links))
