@@ -21,8 +21,8 @@ CONTRACT = ("record_uid", "source_system", "source_id", "given", "family", "birt
 LINK_AT, REVIEW_AT = 14.0, 8.0
 #: blocks with more records are reported (fixed value)
 REPORT_FROM = 200
-#: records of a block that one tile of its pairs takes from either side, on average
-TILE = 1_000
+#: records of a block that one tile of its pairs takes from either side, on average; each record is in as many tiles as its block has such parts
+TILE = 8_000
 
 
 def normalize(df: DataFrame, system: str, columns: dict[str, str], fixes: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -35,13 +35,18 @@ def normalize(df: DataFrame, system: str, columns: dict[str, str], fixes: dict[s
     return df.select(*out)
 
 
-def blocks(df: DataFrame, keys: dict[str, list[Column]], uid: str = "record_uid") -> DataFrame:
-    """``block, record_uid`` of records that have every part of a key; parts are never silently missing."""
+def _keys_of(keys: dict[str, list[Column]]) -> Column:
+    """The blocks of a record, as an array."""
     parts = []
     for name, cols in keys.items():
         whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
         parts.append(F.when(whole, F.concat_ws("|", F.lit(name), *[c.cast("string") for c in cols])))
-    return df.select(F.col(uid).alias("record_uid"), F.explode(F.array_compact(F.array(*parts))).alias("block")).distinct()
+    return F.array_compact(F.array(*parts))
+
+
+def blocks(df: DataFrame, keys: dict[str, list[Column]], uid: str = "record_uid") -> DataFrame:
+    """``block, record_uid`` of records that have every part of a key; parts are never silently missing."""
+    return df.select(F.col(uid).alias("record_uid"), F.explode(_keys_of(keys)).alias("block")).distinct()
 
 
 def block_sizes(b: DataFrame) -> DataFrame:
@@ -53,37 +58,59 @@ def oversized(b: DataFrame, most: int = REPORT_FROM) -> DataFrame:
     return block_sizes(b).filter(F.col("records") > most)
 
 
-def _met(b: DataFrame, tile: int, people: DataFrame | None = None, uid: str = "record_uid") -> DataFrame:
-    """Every pair that shares a block, once, with ``uid_a < uid_b`` and the attributes of ``people`` as ``a_`` and ``b_`` columns.
+def _met(own: DataFrame, tile: int) -> DataFrame:
+    """Every pair that shares a block, once, with ``uid_a < uid_b`` and the attributes as ``a_`` and ``b_`` columns.
 
-    A large block is cut into tiles: its records fall into parts by a hash, and every two parts meet in one
-    tile, so that no task gets a whole block and no pair is lost. A pair comes from the largest block it shares:
-    records bring their larger blocks along, so that pairs need no comparison among each other and never move.
+    ``own`` has ``record_uid``, its sorted blocks as ``own``, and the attributes. A large block is cut into tiles: its
+    records fall into parts by a hash, and every two parts meet in one tile, so that no task gets a whole block and
+    no pair is lost. A pair comes from the first block it shares: records bring their earlier blocks along, so that
+    pairs need no comparison among each other and never move. Both sides of a tile read the same shuffled rows.
     """
-    largest_first = F.struct((-F.col("records")).alias("n"), "block")
-    own = b.join(block_sizes(b).filter("records > 1"), "block").groupBy("record_uid").agg(F.sort_array(F.collect_set(largest_first)).alias("own"))
-    attributes = [] if people is None else [c for c in people.columns if c != uid]
-    if attributes:
-        own = own.join(people.withColumnRenamed(uid, "record_uid"), "record_uid")
-    part = own.select("record_uid", *attributes, "own", F.posexplode("own").alias("_k", "_o")).select("record_uid", *attributes, F.col("_o.block").alias("block"), F.ceil(-F.col("_o.n") / tile).cast("int").alias("_n"), F.slice(F.col("own.block"), F.lit(1), F.col("_k")).alias("_larger"))
-    part = part.withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")).cast("int"))
-    side = lambda s: [F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_larger", *attributes)]
-    low = part.select("block", *side("x"), F.col("_p").alias("i"), F.explode(F.expr("sequence(_p, _n - 1)")).alias("j"))
-    high = part.select("block", *side("y"), F.explode(F.expr("sequence(0, _p)")).alias("i"), F.col("_p").alias("j"))
+    attributes = [c for c in own.columns if c not in ("record_uid", "own")]
+    # at most one block in so many rows, so it is always small
+    large = block_sizes(own.select(F.explode("own").alias("block"))).filter(F.col("records") > tile).select("block", F.ceil(F.col("records") / tile).cast("int").alias("_n"))
+    part = own.filter("record_uid is not null").select("record_uid", *attributes, "own", F.posexplode("own").alias("_k", "block")).join(F.broadcast(large), "block", "left")
+    part = part.select("record_uid", *attributes, "block", F.slice("own", F.lit(1), F.col("_k")).alias("_earlier"), F.coalesce("_n", F.lit(1)).alias("_n")).withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")).cast("int"))
+    tiles = part.withColumn("_q", F.explode(F.expr("sequence(0, _n - 1)"))).select("record_uid", *attributes, "block", "_earlier", "_p", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j")).repartition("block", "i", "j")
+    # the partition number keeps the tests above the shuffle, which is the same for both sides and hence made once
+    side = lambda s, at: tiles.filter(F.col("_p") == F.col(at) + 0 * F.spark_partition_id()).select("block", "i", "j", *[F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_earlier", *attributes)])
     x, y = F.col("_x_record_uid"), F.col("_y_record_uid")
-    met = low.join(high, ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__larger) = 0 or size(_y__larger) = 0 or not arrays_overlap(_x__larger, _y__larger)")
+    met = side("x", "i").join(side("y", "j"), ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__earlier) = 0 or size(_y__earlier) = 0 or not arrays_overlap(_x__earlier, _y__earlier)")
     sides = [F.when(x < y, F.col(f"_{one}_{c}")).otherwise(F.col(f"_{other}_{c}")).alias(f"{s}_{c}") for s, one, other in (("a", "x", "y"), ("b", "y", "x")) for c in attributes]
     return met.select(F.least(x, y).alias("uid_a"), F.greatest(x, y).alias("uid_b"), *sides)
 
 
+def _own(b: DataFrame) -> DataFrame:
+    return b.filter("record_uid is not null").groupBy("record_uid").agg(F.sort_array(F.collect_set("block")).alias("own"))
+
+
 def block_pairs(b: DataFrame, tile: int = TILE) -> DataFrame:
     """Distinct ``uid_a < uid_b`` that share a block, however large it is; see :func:`paired`."""
-    return _met(b, tile)
+    return _met(_own(b), tile)
 
 
 def paired(b: DataFrame, people: DataFrame, tile: int = TILE, uid: str = "record_uid") -> DataFrame:
     """:func:`block_pairs` :func:`with_sides`: attributes travel with the records, of which there are few, not with the pairs."""
-    return _met(b, tile, people, uid)
+    return _met(_own(b).join(people.withColumnRenamed(uid, "record_uid"), "record_uid"), tile)
+
+
+def _gathered(people: DataFrame, keys: dict[str, list[Column]], attributes: list[str]) -> DataFrame:
+    """``record_uid, own`` and attributes: the records go once to where all rows of an identifier are; each has the blocks of all of them."""
+    rows = people.filter("record_uid is not null").select("record_uid", _keys_of(keys).alias("own"), *attributes).repartition("record_uid")
+    whole = F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("own")
+    if not attributes:
+        return rows.groupBy("record_uid").agg(whole)
+    return rows.groupBy("record_uid").agg(whole, F.collect_list(F.struct(*attributes)).alias("_r")).select("record_uid", "own", F.explode("_r").alias("_r")).select("record_uid", "own", "_r.*")
+
+
+def pairs_by(people: DataFrame, keys: dict[str, list[Column]], tile: int = TILE) -> DataFrame:
+    """:func:`block_pairs` of :func:`blocks`, without a table of blocks: the records of ``people`` carry theirs."""
+    return _met(_gathered(people, keys, []), tile)
+
+
+def paired_by(people: DataFrame, keys: dict[str, list[Column]], tile: int = TILE) -> DataFrame:
+    """:func:`paired` of :func:`blocks`, without a table of blocks: the records of ``people`` carry theirs."""
+    return _met(_gathered(people, keys, [c for c in people.columns if c != "record_uid"]), tile)
 
 
 def with_sides(pairs: DataFrame, people: DataFrame, uid: str = "record_uid") -> DataFrame:

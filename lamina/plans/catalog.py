@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar as fn
@@ -420,17 +420,21 @@ _SCORE = f"""(select uid_a, uid_b, case when a.card = b.card then 12.0 else -6.0
  from {_PAIRS} p join {_P} a on a.u = uid_a join {_P} b on b.u = uid_b)"""
 
 
+def _keys() -> dict[str, list[Column]]:
+    return {k: [F.col(c) for c in cols] for k, cols in _KEYS.items()}
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return identity.blocks(_people(spark, d), {k: [F.col(c) for c in cols] for k, cols in _KEYS.items()})
+    return identity.blocks(_people(spark, d), _keys())
 
 
 def _scored(spark: SparkSession, d: str, at_least: float | None = None) -> DataFrame:
-    return identity.score(identity.paired(_blocks(spark, d), _people(spark, d)), at_least=at_least).select("uid_a", "uid_b", "match_score")
+    return identity.score(identity.paired_by(_people(spark, d), _keys()), at_least=at_least).select("uid_a", "uid_b", "match_score")
 
 
 @query(f"select uid_a, uid_b from {_PAIRS}")
 def block_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return identity.block_pairs(_blocks(spark, d))
+    return identity.pairs_by(_people(spark, d), _keys())
 
 
 @query(f"select block, n as records from {_SIZES} where n > 10")

@@ -174,3 +174,30 @@ def test_spanning_keeps_persons_and_weakest_links(spark, monkeypatch):
     assert rows(c) == rows(idn.components(v, links)) == sorted((f"n{i:03}", f"n{i // 20 * 20:03}" if i < 120 else f"n{i:03}") for i in range(125))
     x, _ = idn.golden_ids(c)
     assert rows(idn.confidence(x, few)) == rows(idn.confidence(x, links))
+
+
+def _moved_into_tiles(df):
+    """Shuffles by tile that were really made."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("Exchange hashpartitioning(block" in line and ", i#" in line and "ReusedExchange" not in line for line in plan.splitlines())
+
+
+def test_tiles_are_shuffled_once_for_both_sides(spark):
+    """block_pairs: both sides of a tile read the same shuffled rows, whether blocks are cut or not."""
+    p, b = _crowd(spark)
+    for tile in (5, 1000):
+        assert _moved_into_tiles(idn.block_pairs(b, tile)) == _moved_into_tiles(idn.paired(b, p, tile)) == 1
+
+
+def test_records_that_carry_their_blocks_make_the_same_pairs(spark):
+    """block_pairs: identifiers that repeat, with other blocks, or are missing; blocks of any size."""
+    p, _ = _crowd(spark, 40)
+    p = p.unionByName(p.filter("card < '3'").withColumn("card", F.lit("5")).withColumn("phone", F.lit(None).cast("string"))).unionByName(p.limit(9).withColumn("record_uid", F.lit(None).cast("string")))
+    keys = {"card": [F.col("card")], "area": [F.col("given"), F.col("postal")], "phone": [F.col("phone"), F.col("sex")]}
+    b = idn.blocks(p, keys).filter("record_uid is not null")
+    want = b.withColumnRenamed("record_uid", "uid_a").join(b.withColumnRenamed("record_uid", "uid_b"), "block").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct()
+    text = lambda df: df.select("uid_a", "uid_b", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("a_card", "b_card", "a_phone", "b_phone")])
+    for tile in (3, 1000):
+        assert rows(idn.pairs_by(p, keys, tile)) == rows(idn.block_pairs(idn.blocks(p, keys), tile)) == rows(want)
+        assert rows(text(idn.paired_by(p, keys, tile))) == rows(text(idn.with_sides(want, p)))
