@@ -75,7 +75,7 @@ def _met(own: DataFrame, tile: int) -> DataFrame:
     # the partition number keeps the tests above the shuffle, which is the same for both sides and hence made once
     side = lambda s, at: tiles.filter(F.col("_p") == F.col(at) + 0 * F.spark_partition_id()).select("block", "i", "j", *[F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_earlier", *attributes)])
     x, y = F.col("_x_record_uid"), F.col("_y_record_uid")
-    met = side("x", "i").join(side("y", "j"), ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__earlier) = 0 or size(_y__earlier) = 0 or not arrays_overlap(_x__earlier, _y__earlier)")
+    met = side("x", "i").join(side("y", "j"), ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__earlier) = 0 or size(_y__earlier) = 0 or case when size(_x__earlier) = 1 and size(_y__earlier) = 1 then _x__earlier[0] <> _y__earlier[0] else not arrays_overlap(_x__earlier, _y__earlier) end")
     sides = [F.when(x < y, F.col(f"_{one}_{c}")).otherwise(F.col(f"_{other}_{c}")).alias(f"{s}_{c}") for s, one, other in (("a", "x", "y"), ("b", "y", "x")) for c in attributes]
     return met.select(F.least(x, y).alias("uid_a"), F.greatest(x, y).alias("uid_b"), *sides)
 
@@ -108,9 +108,25 @@ def pairs_by(people: DataFrame, keys: dict[str, list[Column]], tile: int = TILE)
     return _met(_gathered(people, keys, []), tile)
 
 
-def paired_by(people: DataFrame, keys: dict[str, list[Column]], tile: int = TILE) -> DataFrame:
-    """:func:`paired` of :func:`blocks`, without a table of blocks: the records of ``people`` carry theirs."""
-    return _met(_gathered(people, keys, [c for c in people.columns if c != "record_uid"]), tile)
+def paired_by(people: DataFrame, keys: dict[str, list[Column]], tile: int = TILE, at_least: float | None = None) -> DataFrame:
+    """:func:`paired` of :func:`blocks`, without a table of blocks: the records of ``people`` carry theirs.
+
+    With ``at_least``, pairs whose score cannot reach it may be missing: where a field must agree for that, blocks
+    are split by its values, and only pairs that lack it on either side come from the whole blocks.
+    """
+    own = _gathered(people, keys, [c for c in people.columns if c != "record_uid"])
+    kinds = dict(people.dtypes)
+    must = [] if at_least is None else [c.field for c in COMPARATORS if kinds[c.field] in ("string", "date", "int", "bigint") and c.must_agree(COMPARATORS, at_least)]
+    if not must:
+        return _met(own, tile)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in must])
+    # the length keeps block and values apart
+    value = F.concat_ws("|", *[F.concat_ws(":", F.length(F.col(c).cast("string")), F.col(c).cast("string")) for c in must])
+    agreeing = _met(own.filter(known).withColumn("own", F.transform("own", lambda o: F.concat_ws("|", value, o))), tile)
+    if people.filter(~known).isEmpty():
+        return agreeing
+    lacking = reduce(lambda a, b: a | b, [F.col(f"{s}_{c}").isNull() for c in must for s in "ab"])
+    return agreeing.unionByName(_met(own, tile).filter(lacking))
 
 
 def with_sides(pairs: DataFrame, people: DataFrame, uid: str = "record_uid") -> DataFrame:
@@ -134,6 +150,13 @@ class Comparator:
     def most(self) -> float:
         return max(0.0, float(self.otherwise), *[float(p) for _, p in self.levels])
 
+    def must_agree(self, among: tuple[Comparator, ...], at_least: float) -> bool:
+        """Whether a pair that has the field on both sides, but not equal, stays below ``at_least`` whatever else agrees."""
+        if not self.levels or self.levels[0][0] is not _same:
+            return False
+        rest = sum(c.most() for c in among if c is not self)
+        return rest + max(float(self.otherwise), *[float(p) for _, p in self.levels[1:]], -np.inf) < at_least - 1e-6
+
     def points(self) -> Column:
         a, b = F.col(f"a_{self.field}"), F.col(f"b_{self.field}")
         out = F.when(a.isNull() | b.isNull(), 0.0)
@@ -167,11 +190,17 @@ def score(sides: DataFrame, comparators: tuple[Comparator, ...] = COMPARATORS, o
     total = lambda points: reduce(lambda a, b: a + b, points)
     if at_least is None:
         return sides.withColumn(out, total([c.points() for c in comparators]))
-    # the partition number keeps the tests out of the join, whose loop they would make too long to compile
+    # the partition number keeps the tests out of the join, whose loop they would make too long to compile, and apart from each other
     apart = 0.0 * F.spark_partition_id()
-    bound = total([F.lit(c.most()) if c.costly else c.points() for c in comparators])
-    near = sides.withColumn("_most", bound + apart).filter(F.col("_most") >= at_least - 1e-6).drop("_most")
-    return near.withColumn(out, total([c.points() for c in comparators]) + apart).filter(F.col(out) >= at_least)
+    known: dict[int, Column] = {}
+    near = sides
+    steps = [[c for c in comparators if not c.costly], *[[c] for c in sorted((c for c in comparators if c.costly), key=lambda c: c.otherwise - c.most())]]
+    for step in [x for x in steps if x]:
+        made = {comparators.index(c): c.points() + apart for c in step}
+        near = near.withColumns({f"_s{i}": p for i, p in made.items()})
+        known |= {i: F.col(f"_s{i}") for i in made}
+        near = near.filter(total([known.get(i, F.lit(c.most())) for i, c in enumerate(comparators)]) >= at_least - 1e-6)
+    return near.withColumn(out, total([known[i] for i in range(len(comparators))])).filter(F.col(out) >= at_least).drop(*[f"_s{i}" for i in known])
 
 
 def decide(scored: DataFrame, overrides: DataFrame | Column | None = None, link_at: float = LINK_AT, review_at: float = REVIEW_AT) -> DataFrame:

@@ -429,7 +429,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, at_least: float | None = None) -> DataFrame:
-    return identity.score(identity.paired_by(_people(spark, d), _keys()), at_least=at_least).select("uid_a", "uid_b", "match_score")
+    return identity.score(identity.paired_by(_people(spark, d), _keys(), at_least=at_least), at_least=at_least).select("uid_a", "uid_b", "match_score")
 
 
 @query(f"select uid_a, uid_b from {_PAIRS}")

@@ -201,3 +201,18 @@ def test_records_that_carry_their_blocks_make_the_same_pairs(spark):
     for tile in (3, 1000):
         assert rows(idn.pairs_by(p, keys, tile)) == rows(idn.block_pairs(idn.blocks(p, keys), tile)) == rows(want)
         assert rows(text(idn.paired_by(p, keys, tile))) == rows(text(idn.with_sides(want, p)))
+
+
+def test_blocks_are_split_by_what_must_agree(spark):
+    """golden_ids: pairs that cannot be linked without the same card are not made; those that lack a card are."""
+    p, _ = _crowd(spark)
+    keys = {"card": [F.col("card")], "area": [F.col("given"), F.col("postal")], "phone": [F.col("phone"), F.col("sex")]}
+    assert [c.field for c in idn.COMPARATORS if c.must_agree(idn.COMPARATORS, idn.LINK_AT)] == ["card"]
+    for some in (p, p.withColumn("card", F.when(~F.col("record_uid").endswith("1"), F.col("card")))):
+        every = idn.score(idn.paired(idn.blocks(some, keys), some)).select("uid_a", "uid_b", "match_score")
+        for least in (-30.0, 8.0, idn.LINK_AT, 18.0):
+            for tile in (4, 1000):
+                got = idn.score(idn.paired_by(some, keys, tile, least), at_least=least).select("uid_a", "uid_b", "match_score")
+                assert rows(got) == rows(every.filter(F.col("match_score") >= least))
+    made = idn.paired_by(p, keys, at_least=idn.LINK_AT)
+    assert made.filter("a_card <> b_card").isEmpty() and 0 < 3 * made.count() < every.count()
