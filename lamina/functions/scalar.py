@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "std_string", "std_postal_code", "std_phone", "parse_birth_date", "plausible_birth_date", "health_card_valid", "age_band", "row_hash_of", "with_row_hash", "token_of",
-    "postal_area", "name_sound", "record_uid", "rank_by", "name_similarity", "names_alike", "minutes_between", "stay_days", "stay_hours", "level_1_to_5", "without_codes", "left_unseen",
+    "postal_area", "name_sound", "record_uid", "rank_by", "name_similarity", "name_sketch", "names_alike", "minutes_between", "stay_days", "stay_hours", "level_1_to_5", "without_codes", "left_unseen",
     "is_cancelled", "date_key", "time_key", "calendar_columns", "minute_columns", "split_member", "members", "new_batch_id", "cast_columns", "compact_date", "days_between",
     "denied_amount", "sorted_set", "flag", "decimal_text", "AGE_BANDS", "UNKNOWN_KEY", "NOT_APPLICABLE_KEY", "LATE_KEY",
 ]
@@ -116,12 +116,28 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(5))
 
 
-def names_alike(a: Column | str, b: Column | str, least: float) -> Column:
-    """``name_similarity(a, b) >= least``, counting edits no further than that."""
+def name_sketch(v: Column | str, least: float) -> Column:
+    """64 bits for :func:`names_alike`, of which an edit changes few: how many edits the name's own length allows (bits 0-3, at most 15), which characters (4-15) and which two in a row (16-63) it has an odd number of."""
+    v = _col(v)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    one = lambda i: bit(4 + F.ascii(F.substring(v, i, F.lit(1))) % 12)
+    two = lambda i: bit(16 + F.pmod(F.xxhash64(F.substring(v, i, F.lit(2))), F.lit(48)))
+    edits = F.least(F.floor(F.lit(1 - least + 1e-6) * F.greatest(F.length(v), F.lit(5))), F.lit(15)).cast("long")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), edits, lambda bits, i: bits.bitwiseXOR(one(i)).bitwiseXOR(two(i)))
+
+
+def names_alike(a: Column | str, b: Column | str, least: float, sketches: tuple[Column, Column] | None = None) -> Column:
+    """``name_similarity(a, b) >= least``, counting edits no further than that, and with a :func:`name_sketch` of either only where they may be few enough."""
     a, b = _col(a), _col(b)
     longest = F.greatest(F.length(a), F.length(b), F.lit(5))
     edits = F.call_function("levenshtein", a, b, F.ceil(F.lit(1 - least) * longest).cast("int"))  # -1: more than that
-    return (a == b) | ((edits >= 0) & (1 - edits / longest >= least))
+    alike = (edits >= 0) & (1 - edits / longest >= least)
+    if sketches is not None:
+        # an edit takes away and adds one character and two pairs of them at most
+        most = F.greatest(*[s.bitwiseAND(F.lit(15).cast("long")) for s in sketches])
+        bits = lambda mask: F.bit_count(sketches[0].bitwiseXOR(sketches[1]).bitwiseAND(F.lit(mask).cast("long")))
+        alike = (bits(~0xFFFF) <= 4 * most) & (bits(0xFFF0) <= 2 * most) & alike
+    return (a == b) | alike
 
 
 def minutes_between(a: Column | str, b: Column | str) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.scalar import age_band, names_alike, postal_area, record_uid, token_of
+from lamina.functions.scalar import age_band, name_sketch, names_alike, postal_area, record_uid, token_of
 from lamina.operators.hot import lookup_join
 from lamina.session import pin, written, written_counted
 
@@ -23,6 +23,8 @@ LINK_AT, REVIEW_AT = 14.0, 8.0
 REPORT_FROM = 200
 #: records of a block that one tile of its pairs takes from either side, on average; each record is in as many tiles as its block has such parts
 TILE = 8_000
+#: prefix of the columns that are made of a field before records meet
+SKETCH = "sketch_of_"
 
 
 def normalize(df: DataFrame, system: str, columns: dict[str, str], fixes: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -65,18 +67,20 @@ def _met(own: DataFrame, tile: int) -> DataFrame:
     records fall into parts by a hash, and every two parts meet in one tile, so that no task gets a whole block and
     no pair is lost. A pair comes from the first block it shares: records bring their earlier blocks along, so that
     pairs need no comparison among each other and never move. Both sides of a tile read the same shuffled rows.
+    Sketches of the attributes are made in the tile, so that they do not move either.
     """
     attributes = [c for c in own.columns if c not in ("record_uid", "own")]
+    sketches = {f"{SKETCH}{c.field}": c.sketch[1](F.col(c.field)) for c in COMPARATORS if c.sketch is not None and (c.field, c.sketch[0]) in own.dtypes}
     # at most one block in so many rows, so it is always small
     large = block_sizes(own.select(F.explode("own").alias("block"))).filter(F.col("records") > tile).select("block", F.ceil(F.col("records") / tile).cast("int").alias("_n"))
     part = own.filter("record_uid is not null").select("record_uid", *attributes, "own", F.posexplode("own").alias("_k", "block")).join(F.broadcast(large), "block", "left")
     part = part.select("record_uid", *attributes, "block", F.slice("own", F.lit(1), F.col("_k")).alias("_earlier"), F.coalesce("_n", F.lit(1)).alias("_n")).withColumn("_p", F.pmod(F.xxhash64("record_uid"), F.col("_n")).cast("int"))
     tiles = part.withColumn("_q", F.explode(F.expr("sequence(0, _n - 1)"))).select("record_uid", *attributes, "block", "_earlier", "_p", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j")).repartition("block", "i", "j")
     # the partition number keeps the tests above the shuffle, which is the same for both sides and hence made once
-    side = lambda s, at: tiles.filter(F.col("_p") == F.col(at) + 0 * F.spark_partition_id()).select("block", "i", "j", *[F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_earlier", *attributes)])
+    side = lambda s, at: tiles.filter(F.col("_p") == F.col(at) + 0 * F.spark_partition_id()).select("block", "i", "j", *[F.col(c).alias(f"_{s}_{c}") for c in ("record_uid", "_earlier", *attributes)], *[v.alias(f"_{s}_{c}") for c, v in sketches.items()])
     x, y = F.col("_x_record_uid"), F.col("_y_record_uid")
     met = side("x", "i").join(side("y", "j"), ["block", "i", "j"]).filter("i < j or _x_record_uid < _y_record_uid").filter("size(_x__earlier) = 0 or size(_y__earlier) = 0 or case when size(_x__earlier) = 1 and size(_y__earlier) = 1 then _x__earlier[0] <> _y__earlier[0] else not arrays_overlap(_x__earlier, _y__earlier) end")
-    sides = [F.when(x < y, F.col(f"_{one}_{c}")).otherwise(F.col(f"_{other}_{c}")).alias(f"{s}_{c}") for s, one, other in (("a", "x", "y"), ("b", "y", "x")) for c in attributes]
+    sides = [F.when(x < y, F.col(f"_{one}_{c}")).otherwise(F.col(f"_{other}_{c}")).alias(f"{s}_{c}") for s, one, other in (("a", "x", "y"), ("b", "y", "x")) for c in (*attributes, *sketches)]
     return met.select(F.least(x, y).alias("uid_a"), F.greatest(x, y).alias("uid_b"), *sides)
 
 
@@ -146,6 +150,8 @@ class Comparator:
     otherwise: float = 0.0
     #: comes last where a score is asked for from some height only
     costly: bool = False
+    #: (type of the field, what is made of it before records meet); the tests then get those of both sides as a third argument, or None
+    sketch: tuple[str, Callable[[Column], Column]] | None = None
 
     def most(self) -> float:
         return max(0.0, float(self.otherwise), *[float(p) for _, p in self.levels])
@@ -157,28 +163,36 @@ class Comparator:
         rest = sum(c.most() for c in among if c is not self)
         return rest + max(float(self.otherwise), *[float(p) for _, p in self.levels[1:]], -np.inf) < at_least - 1e-6
 
-    def points(self) -> Column:
+    def points(self, sketched: bool = False) -> Column:
         a, b = F.col(f"a_{self.field}"), F.col(f"b_{self.field}")
+        more = () if self.sketch is None else ((F.col(f"a_{SKETCH}{self.field}"), F.col(f"b_{SKETCH}{self.field}")) if sketched else None,)
         out = F.when(a.isNull() | b.isNull(), 0.0)
         for test, p in self.levels:
-            out = out.when(test(a, b), float(p))
+            out = out.when(test(a, b, *more), float(p))
         return out.otherwise(float(self.otherwise))
 
 
-def _same(a: Column, b: Column) -> Column:
+def _same(a: Column, b: Column, *_) -> Column:
     return a == b
 
 
-def _swapped(a: Column, b: Column) -> Column:
+def _exchanged(d: Column) -> Column:
+    """The date with day and month exchanged, null if there is none."""
+    return F.when(F.dayofmonth(d) <= 12, F.make_date(F.year(d), F.dayofmonth(d), F.month(d)))
+
+
+def _swapped(a: Column, b: Column, exchanged: tuple[Column, Column] | None = None) -> Column:
+    if exchanged is not None:
+        return a == exchanged[1]
     return (F.year(a) == F.year(b)) & (F.month(a) == F.dayofmonth(b)) & (F.dayofmonth(a) == F.month(b))
 
 
 #: agreement and disagreement weights (fixed values)
 COMPARATORS = (
     Comparator("card", ((_same, 12),), -6),
-    Comparator("birth_date", ((_same, 6), (_swapped, 5), (lambda a, b: F.abs(F.datediff(a, b)) <= 31, 2)), -5),
-    Comparator("family", ((lambda a, b: names_alike(a, b, 0.90), 4),), -3, costly=True),
-    Comparator("given", ((lambda a, b: names_alike(a, b, 0.88), 3),), -2, costly=True),
+    Comparator("birth_date", ((_same, 6), (_swapped, 5), (lambda a, b, *_: F.abs(F.datediff(a, b)) <= 31, 2)), -5, sketch=("date", _exchanged)),
+    Comparator("family", ((lambda a, b, s: names_alike(a, b, 0.90, s), 4),), -3, costly=True, sketch=("string", lambda v: name_sketch(v, 0.90))),
+    Comparator("given", ((lambda a, b, s: names_alike(a, b, 0.88, s), 3),), -2, costly=True, sketch=("string", lambda v: name_sketch(v, 0.88))),
     Comparator("sex", ((lambda a, b: (a == "UNKNOWN") | (b == "UNKNOWN"), 0), (_same, 1)), -3),
     Comparator("postal", ((_same, 3), (lambda a, b: F.substring(a, 1, 3) == F.substring(b, 1, 3), 1)), -1),
     Comparator("phone", ((_same, 2.5),), -0.5),
@@ -188,19 +202,21 @@ COMPARATORS = (
 def score(sides: DataFrame, comparators: tuple[Comparator, ...] = COMPARATORS, out: str = "match_score", at_least: float | None = None) -> DataFrame:
     """Sum of all points; with ``at_least``, only pairs that reach it: costly comparisons are made where they can still matter."""
     total = lambda points: reduce(lambda a, b: a + b, points)
+    made_before = [f"{s}_{SKETCH}{c.field}" for c in comparators for s in "ab" if c.sketch is not None]
+    points = lambda c: c.points(f"a_{SKETCH}{c.field}" in sides.columns)
     if at_least is None:
-        return sides.withColumn(out, total([c.points() for c in comparators]))
+        return sides.withColumn(out, total([points(c) for c in comparators])).drop(*made_before)
     # the partition number keeps the tests out of the join, whose loop they would make too long to compile, and apart from each other
     apart = 0.0 * F.spark_partition_id()
     known: dict[int, Column] = {}
     near = sides
     steps = [[c for c in comparators if not c.costly], *[[c] for c in sorted((c for c in comparators if c.costly), key=lambda c: c.otherwise - c.most())]]
     for step in [x for x in steps if x]:
-        made = {comparators.index(c): c.points() + apart for c in step}
+        made = {comparators.index(c): points(c) + apart for c in step}
         near = near.withColumns({f"_s{i}": p for i, p in made.items()})
         known |= {i: F.col(f"_s{i}") for i in made}
         near = near.filter(total([known.get(i, F.lit(c.most())) for i, c in enumerate(comparators)]) >= at_least - 1e-6)
-    return near.withColumn(out, total([known[i] for i in range(len(comparators))])).filter(F.col(out) >= at_least).drop(*[f"_s{i}" for i in known])
+    return near.withColumn(out, total([known[i] for i in range(len(comparators))])).filter(F.col(out) >= at_least).drop(*[f"_s{i}" for i in known], *made_before)
 
 
 def decide(scored: DataFrame, overrides: DataFrame | Column | None = None, link_at: float = LINK_AT, review_at: float = REVIEW_AT) -> DataFrame:

@@ -1,6 +1,7 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lamina.functions import scalar
 from lamina.operators import identity as idn
 
 
@@ -216,3 +217,35 @@ def test_blocks_are_split_by_what_must_agree(spark):
                 assert rows(got) == rows(every.filter(F.col("match_score") >= least))
     made = idn.paired_by(p, keys, at_least=idn.LINK_AT)
     assert made.filter("a_card <> b_card").isEmpty() and 0 < 3 * made.count() < every.count()
+
+
+def test_sketches_decide_like_the_comparisons_they_save(spark):
+    """match_decision: names and dates of pairs are told apart by numbers made once per record, with the same scores."""
+    import random
+
+    rng = random.Random(11)
+    names = ["", "A", "AB", "ABCDE", "Customer#000000123", "Ålesund-Østby", "李小龙", "😀😀😀😀😀", "X" * 200]
+    for _ in range(50):
+        n = list(rng.choice(names))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(n) + 1)
+            n[at : at + rng.randrange(2)] = rng.choice(["", "A", "1", "é", "😀"])
+        names.append("".join(n))
+    v = spark.createDataFrame([(n,) for n in sorted(set(names))], "n string")
+    for least in (0.5, 0.88, 0.9):
+        side = lambda s, least=least: v.select(F.col("n").alias(s), scalar.name_sketch("n", least).alias(f"{s}_s"))
+        got = side("a").crossJoin(side("b")).select("a", "b", scalar.names_alike("a", "b", least, (F.col("a_s"), F.col("b_s"))).alias("got"), (scalar.name_similarity("a", "b") >= least).alias("want"))
+        assert got.filter("not got <=> want").isEmpty() and got.filter("want and a <> b").count() > 20
+    p, b = _crowd(spark)
+    p = p.withColumn("birth_date", F.when(F.col("record_uid") == "r003", F.lit("1980-03-01").cast("date")).otherwise(F.col("birth_date")))
+    made = idn.paired(b, p, 4)
+    assert {f"a_{idn.SKETCH}{c}" for c in ("birth_date", "family", "given")} <= set(made.columns)
+    plain = made.drop(*[c for c in made.columns if idn.SKETCH in c])
+    scored = idn.score(made)
+    assert scored.columns == idn.score(plain).columns
+    for least in (None, 8.0):
+        assert rows(idn.score(made, at_least=least), "uid_a", "uid_b", "match_score") == rows(idn.score(plain, at_least=least), "uid_a", "uid_b", "match_score")
+    # made in the tile: the shuffles carry no sketch, and no field of a date is taken out of a pair
+    plan = scored.select("uid_a", "uid_b", "match_score")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "year(" not in plan[: plan.index("Join")] and "sketch_of_" in plan
+    assert all("sketch_of_" not in x for x in plan[plan.index("Exchange hashpartitioning(block") :].split("\n")[1:4])
