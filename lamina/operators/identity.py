@@ -268,7 +268,8 @@ def spanning(links: DataFrame, score: str = "match_score") -> DataFrame:
     def thin(batches):
         held, rows = [], 0
         for b in batches:
-            held.append(b)
+            # without the batch's notes on nulls, which a thinned table has not
+            held.append(pa.RecordBatch.from_arrays(b.columns, names=["u", "v", "s"]))
             rows += b.num_rows
             if rows > HELD:
                 # what is left is at most one tie per record of the task

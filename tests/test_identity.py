@@ -177,6 +177,22 @@ def test_spanning_keeps_persons_and_weakest_links(spark, monkeypatch):
     assert rows(idn.confidence(x, few)) == rows(idn.confidence(x, links))
 
 
+def test_spanning_thins_scores_that_are_never_null(spark, monkeypatch):
+    """connected_components: batches that come after a task thinned its ties join them, with scores that cannot be null, as those of decisions are."""
+    monkeypatch.setattr(idn, "HELD", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 15)
+    try:
+        links = spark.range(1, 400, numPartitions=1).select(F.lit("n000").alias("uid_a"), F.format_string("n%03d", F.col("id")).alias("uid_b"), (F.col("id") + 14.0).alias("match_score"))
+        links = links.unionByName(links.select(F.col("uid_b").alias("uid_a"), F.format_string("n%03d", F.substring("uid_b", 2, 3).cast("int") % 399 + 1).alias("uid_b"), F.lit(14.0).alias("match_score"))).coalesce(1)
+        assert not links.schema["match_score"].nullable
+        few = idn.spanning(links)
+        assert few.count() == 399 and rows(few.agg(F.min("match_score"))) == [(14.0,)]
+        v = spark.range(401).select(F.format_string("n%03d", F.col("id")).alias("record_uid"))
+        assert rows(idn.components(v, links)) == sorted((f"n{i:03}", "n000" if i < 400 else f"n{i:03}") for i in range(401))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def _moved_into_tiles(df):
     """Shuffles by tile that were really made."""
     df.collect()
