@@ -193,6 +193,33 @@ def test_spanning_thins_scores_that_are_never_null(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def _thinned_like_sql(spark, folder, monkeypatch, name):
+    """The query on customers with many links, thinned in between, and its SQL in DuckDB; persons, some of one record."""
+    import duckdb
+
+    from lamina.plans import registry
+    from lamina.session import ship
+
+    c = duckdb.sql("select i as c_custkey, format('Customer#{:09d}', i) as c_name, (i % 2)::int as c_nationkey, case when i % 60 = 7 then i * 20.0 else (i % 3) * 100.0 end as c_acctbal, case when i % 4 = 0 then 'BUILDING' else 'MACHINERY' end as c_mktsegment from range(240) t(i)")
+    c.write_parquet(f"{folder}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{folder}/customer.parquet'")
+    monkeypatch.setattr(idn, "HELD", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 15)
+    try:
+        want = con.execute(registry.SQL[name])
+        names = [x[0] for x in want.description]
+        return rows(registry.QUERIES[name](ship(spark), str(folder)), *names), sorted(want.fetchall())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_person_confidence_with_thinned_links(spark, tmp_path, monkeypatch):
+    """person_confidence: the weakest link of each person is the same when tasks thin their links before the last batch."""
+    got, want = _thinned_like_sql(spark, tmp_path, monkeypatch, "person_confidence")
+    assert got == want and len({r[-1] for r in want}) > 1 and max(r[1] for r in want) > 40
+
+
 def _moved_into_tiles(df):
     """Shuffles by tile that were really made."""
     df.collect()
