@@ -220,6 +220,12 @@ def test_person_confidence_with_thinned_links(spark, tmp_path, monkeypatch):
     assert got == want and len({r[-1] for r in want}) > 1 and max(r[1] for r in want) > 40
 
 
+def test_golden_ids_with_thinned_links(spark, tmp_path, monkeypatch):
+    """golden_ids: every record has the identifier it has in SQL when tasks thin their links before the last batch."""
+    got, want = _thinned_like_sql(spark, tmp_path, monkeypatch, "golden_ids")
+    assert got == want and len(got) == 240 and 3 < len({g for _, g in want}) < 20
+
+
 def _moved_into_tiles(df):
     """Shuffles by tile that were really made."""
     df.collect()
